@@ -58,11 +58,8 @@ def fold(col: Column) -> Column:
         F.transform(F.split(one_to_one, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)),
         "",
     )
-    return (
-        F.when(col.rlike(r"^[\x00-\x7F]*$"), col)
-        .when(one_to_one.rlike("[" + "".join(re.escape(ch) for ch in longer) + "]"), one_to_many)
-        .otherwise(one_to_one)
-    )
+    has_longer = F.translate(col, "".join(longer), "") != col
+    return F.when(col.rlike(r"^[\x00-\x7F]*$"), col).when(has_longer, one_to_many).otherwise(one_to_one)
 
 
 def match_key(col: Column) -> Column:

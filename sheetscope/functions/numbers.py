@@ -18,10 +18,28 @@ def is_numeric(data_type: T.DataType) -> bool:
     return isinstance(data_type, NUMERIC)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_literal(value: str) -> str:
+    """A string as SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def known_sql(name: str, data_type: T.DataType) -> str:
+    """SQL text of the column with NaN read as null.
+
+    Expressions made for every column of a schema are built as text: one parser
+    call costs far less on the driver than a tree of function calls.
+    """
+    return f"nanvl({quoted(name)}, null)" if isinstance(data_type, FLOATING) else quoted(name)
+
+
 def known(name: str, data_type: T.DataType) -> Column:
-    """The column with NaN read as null, quoted so any name works."""
-    col = F.col(f"`{name.replace('`', '``')}`")
-    return F.nanvl(col, F.lit(None)) if isinstance(data_type, FLOATING) else col
+    """The column with NaN read as null."""
+    return F.expr(known_sql(name, data_type))
 
 
 def finite(col: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetscope.functions.names import safe_column_name
-from sheetscope.functions.numbers import FLOATING, INTEGRAL, TEMPORAL, finite, known
+from sheetscope.functions.numbers import FLOATING, INTEGRAL, TEMPORAL, finite, known, text_literal
 
 # Accepted type names and the logical type each stands for.
 TYPE_ALIASES = {
@@ -95,62 +95,63 @@ def _is_switch(col: Column) -> Column:
     return (F.length(col) <= _LONGEST_SWITCH) & F.lower(col).isin(*SWITCH_TEXTS)
 
 
-def _has_clock(col: Column) -> Column:
-    return F.date_trunc("day", col) != col
+def _parsed(field: T.StructField, i: int) -> list[Column]:
+    """The known value and, for text, the number and the moment it spells."""
+    col = known(field.name, field.dataType)
+    parts = [col.alias(f"v{i}")]
+    if isinstance(field.dataType, T.StringType):
+        parts += [text_to_number(col).alias(f"n{i}"), text_to_timestamp(col).alias(f"t{i}")]
+    return parts
 
 
-def logical_type_of(name: str, data_type: T.DataType) -> Column:
-    """Aggregate that yields the logical type of one column in a single pass.
-
-    Rules in order: nothing known is Text; only switch texts is Toggle; only
-    numbers is Int or Numeric; only dates is Date or DateTime; else Text. Every
-    rule is a map-side ``bool_and``, so the result costs one row per task.
-    """
-    col = known(name, data_type)
+def _kind_sql(data_type: T.DataType, i: int) -> str:
+    """SQL aggregate that yields the logical type of parsed column ``i``."""
+    value, number, moment = f"v{i}", f"n{i}", f"t{i}"
+    whole = "bool_and(if(isnan({0}) or abs({0}) = double('inf'), false, rint({0}) = {0}))"
+    clock = "if(bool_or(date_trunc('day', {0}) <> {0}), 'DateTime', 'Date')"
     if isinstance(data_type, T.BooleanType):
-        kind = F.lit("Toggle")
+        kind = "'Toggle'"
     elif isinstance(data_type, INTEGRAL):
-        kind = F.when(F.bool_and(col.isin(0, 1)), "Toggle").otherwise("Int")
+        kind = f"if(bool_and({value} in (0, 1)), 'Toggle', 'Int')"
     elif isinstance(data_type, FLOATING):
-        kind = F.when(F.bool_and((F.abs(col) != float("inf")) & (F.rint(col) == col)), "Int").otherwise("Numeric")
+        kind = f"if({whole.format(value)}, 'Int', 'Numeric')"
     elif isinstance(data_type, T.DecimalType):
-        kind = F.lit("Numeric")
+        kind = "'Numeric'"
     elif isinstance(data_type, T.DateType):
-        kind = F.lit("Date")
+        kind = "'Date'"
     elif isinstance(data_type, TEMPORAL):
-        kind = F.when(F.bool_or(_has_clock(col)), "DateTime").otherwise("Date")
+        kind = clock.format(value)
     elif isinstance(data_type, T.StringType):
-        number = text_to_number(col)
-        moment = text_to_timestamp(col)
-        whole = F.when(F.isnan(number) | (F.abs(number) == float("inf")), False).otherwise(F.rint(number) == number)
+        switches = ", ".join(f"'{text}'" for text in SWITCH_TEXTS)
         kind = (
-            F.when(F.bool_and(_is_switch(col)), "Toggle")
-            .when(F.bool_and(F.when(col.isNotNull(), number.isNotNull())), F.when(F.bool_and(whole), "Int").otherwise("Numeric"))
-            .when(
-                F.bool_and(F.when(col.isNotNull(), moment.isNotNull())),
-                F.when(F.bool_or(_has_clock(moment)), "DateTime").otherwise("Date"),
-            )
-            .otherwise("Text")
+            f"case when bool_and(length({value}) <= {_LONGEST_SWITCH} and lower({value}) in ({switches})) then 'Toggle' "
+            f"when count({number}) = count({value}) then if({whole.format(number)}, 'Int', 'Numeric') "
+            f"when count({moment}) = count({value}) then {clock.format(moment)} else 'Text' end"
         )
     elif isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StringType):
-        kind = F.lit("ChoiceList")
+        kind = "'ChoiceList'"
     else:
-        kind = F.lit("Text")
-    return F.when(F.count(col) == 0, "Text").otherwise(kind)
+        kind = "'Text'"
+    return f"if(count({value}) = 0, 'Text', {kind})"
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """One row per column: ``position, column, inferred, logical_type``."""
+    """One row per column: ``position, column, inferred, logical_type``.
+
+    Rules in order: nothing known is Text; only switch texts is Toggle; only
+    numbers is Int or Numeric; only dates is Date or DateTime; else Text. Each value
+    is parsed once and every rule is a map-side aggregate, so a table of any size
+    sends one row per task.
+    """
     fields = df.schema.fields
-    kinds = df.agg(*[logical_type_of(f.name, f.dataType).alias(f"k{i}") for i, f in enumerate(fields)])
-    rows = [
-        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.col(f"k{i}").alias("inferred"))
-        for i, f in enumerate(fields)
-    ]
-    return (
-        kinds.select(F.inline(F.array(*rows)))
-        .withColumn("logical_type", canonical_type(F.col("inferred")))
+    parsed = df.select([part for i, field in enumerate(fields) for part in _parsed(field, i)])
+    kinds = ", ".join(f"'k{i}', {_kind_sql(field.dataType, i)}" for i, field in enumerate(fields))
+    rows = ", ".join(
+        f"named_struct('position', {i}, 'column', {text_literal(field.name)}, 'inferred', m.k{i})"
+        for i, field in enumerate(fields)
     )
+    found = parsed.agg(F.expr(f"named_struct({kinds})").alias("m")).selectExpr(f"inline(array({rows}))")
+    return found.withColumn("logical_type", canonical_type(F.col("inferred")))
 
 
 def to_logical(col: Column, data_type: T.DataType, logical: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetscope.functions.names import compact_token, compact_token_name, contains_any
-from sheetscope.functions.numbers import known
+from sheetscope.functions.numbers import known, known_sql, text_literal
 from sheetscope.operators.profile import MAX_GROUPS, column_roles
 from sheetscope.sources.tables import union_all
 
@@ -74,38 +74,26 @@ def _pair_rows(df: DataFrame, table_no: int, table: str, categories: Sequence[st
     parts = []
     for block_no, block in enumerate(blocks):
         first = block_no * CATEGORIES_PER_JOB
-        values = df.select(
-            *[known(c, types[c]).alias(f"c{i}") for i, c in enumerate(block)],
-            *[known(m, types[m]).cast("double").alias(f"m{j}") for j, m in enumerate(measures)],
-        )
         keys = [f"c{i}" for i in range(len(block))]
-        aggregates = []
-        for j in range(len(measures)):
-            aggregates += [
-                F.count(f"m{j}").alias(f"n{j}"), F.sum(f"m{j}").alias(f"s{j}"), F.avg(f"m{j}").alias(f"a{j}"),
-                F.min(f"m{j}").alias(f"lo{j}"), F.max(f"m{j}").alias(f"hi{j}"),
-            ]
-        if len(block) == 1:
-            grouped = values.groupBy("c0").agg(*aggregates).withColumn("_cat", F.lit(0))
-        else:
-            which = F.coalesce(*[F.when(F.grouping(k) == 0, i) for i, k in enumerate(keys)])
-            grouped = values.groupingSets([[F.col(k)] for k in keys], *keys).agg(*aggregates, which.alias("_cat"))
-        label = F.coalesce(*[F.when(F.col("_cat") == i, F.col(k).cast("string")) for i, k in enumerate(keys)])
-        name = F.element_at(F.array(*[F.lit(c) for c in block]), F.col("_cat") + 1)
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(j).alias("metric_no"), F.lit(m).alias("metric"), F.col(f"n{j}").alias("effectif"),
-                    F.col(f"s{j}").alias("somme"), F.col(f"a{j}").alias("moyenne"),
-                    F.col(f"lo{j}").alias("min"), F.col(f"hi{j}").alias("max"),
-                )
-                for j, m in enumerate(measures)
-            ]
+        values = df.selectExpr(
+            *[f"{known_sql(c, types[c])} as c{i}" for i, c in enumerate(block)],
+            *[f"cast({known_sql(m, types[m])} as double) as m{j}" for j, m in enumerate(measures)],
+        )
+        cells = ", ".join(
+            f"named_struct('metric_no', {j}, 'metric', {text_literal(m)}, 'effectif', count(m{j}), 'somme', sum(m{j}), "
+            f"'moyenne', avg(m{j}), 'min', min(m{j}), 'max', max(m{j}))"
+            for j, m in enumerate(measures)
+        )
+        which = "case " + " ".join(f"when grouping(c{i}) = 0 then {i}" for i in range(len(block))) + " end"
+        grouped = values.groupingSets([[F.col(k)] for k in keys], *keys).agg(
+            F.expr(f"{which} as _cat"), F.expr(f"array({cells}) as _cells")
         )
+        label = "case " + " ".join(f"when _cat = {i} then cast(c{i} as string)" for i in range(len(block))) + " end"
+        names = ", ".join(text_literal(c) for c in block)
         parts.append(
-            grouped.select(
-                F.lit(table_no).alias("table_no"), F.lit(table).alias("table"), F.lit(rows).cast("bigint").alias("n_rows"),
-                (F.col("_cat") + first).alias("group_no"), name.alias("group_by"), label.alias("grp"), F.inline(cells),
+            grouped.selectExpr(
+                f"{table_no} as table_no", f"{text_literal(table)} as table", f"{rows}L as n_rows",
+                f"_cat + {first} as group_no", f"array({names})[_cat] as group_by", f"{label} as grp", "inline(_cells)",
             ).filter("grp is not null and effectif > 0")
         )
     return parts

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetscope.functions.names import contains_any
-from sheetscope.functions.numbers import FLOATING, INTEGRAL, NESTED, TEMPORAL, is_numeric, known
-from sheetscope.functions.types import canonical_type, logical_type_of
+from sheetscope.functions.numbers import FLOATING, INTEGRAL, NESTED, TEMPORAL, is_numeric, known_sql, text_literal
 from sheetscope.sources.tables import union_all
 
 TOP_VALUES = 5
@@ -28,7 +27,7 @@ UNIQUE_SHARE = 0.9
 IDENTIFIER_WORDS = ("id", "code", "uuid", "matricule")
 
 # Relative error asked of the distinct-count sketch, and the registers it implies.
-SKETCH_ERROR = 0.05
+SKETCH_ERROR = 0.1
 _REGISTERS = 2 ** math.ceil(2 * math.log2(1.106 / SKETCH_ERROR))
 # A text longer than this is counted by its digest, so the shuffle stays narrow.
 _LONG_TEXT = 64
@@ -41,51 +40,43 @@ def largest_estimate(distinct: int) -> int:
     of empty registers alone. An estimate above this bound therefore proves that
     there are more than ``distinct`` values.
     """
-    return math.ceil(_REGISTERS * math.log(_REGISTERS / (_REGISTERS - distinct)))
+    return math.floor(_REGISTERS * math.log(_REGISTERS / (_REGISTERS - distinct)) + 0.5)
 
 
-def column_metrics(df: DataFrame, table: str, sketch: bool = False, infer: bool = False) -> DataFrame:
+def column_metrics(
+    df: DataFrame, table: str, ranges: bool = True, sketch: bool = False
+) -> DataFrame:
     """Counts and ranges of every column, from one aggregate over the table.
 
     Columns: table, position, column, spark_type, is_numeric, n_rows, non_null,
-    n_null, min, max, avg; ``approx_unique`` with ``sketch`` and ``logical_type``
-    with ``infer``.
+    n_null, min, max, avg (null without ``ranges``), and ``approx_unique`` with
+    ``sketch``.
     """
-    fields = df.schema.fields
-    aggregates = [F.count(F.lit(1)).alias("n_rows")]
-    rows = []
-    for i, field in enumerate(fields):
-        col = known(field.name, field.dataType)
-        aggregates.append(F.count(col).alias(f"c{i}"))
-        low = high = mean = F.lit(None).cast("double")
-        if is_numeric(field.dataType):
-            aggregates += [F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}"), F.avg(col).alias(f"avg{i}")]
-            low, high, mean = (F.col(f"{k}{i}").cast("double") for k in ("lo", "hi", "avg"))
-        parts = [
-            F.lit(table).alias("table"),
-            F.lit(i).alias("position"),
-            F.lit(field.name).alias("column"),
-            F.lit(field.dataType.simpleString()).alias("spark_type"),
-            F.lit(is_numeric(field.dataType)).alias("is_numeric"),
-            F.col("n_rows"),
-            F.col(f"c{i}").alias("non_null"),
-            (F.col("n_rows") - F.col(f"c{i}")).alias("n_null"),
-            low.alias("min"),
-            high.alias("max"),
-            mean.alias("avg"),
-        ]
+    aggregates, rows = ["'n_rows', count(1)"], []
+    for i, field in enumerate(df.schema.fields):
+        col = known_sql(field.name, field.dataType)
+        numeric = is_numeric(field.dataType)
+        aggregates.append(f"'c{i}', count({col})")
+        low = high = mean = "cast(null as double)"
+        if ranges and numeric:
+            aggregates.append(f"'lo{i}', min({col}), 'hi{i}', max({col}), 'avg{i}', avg({col})")
+            low, high, mean = (f"cast(m.{part}{i} as double)" for part in ("lo", "hi", "avg"))
+        row = (
+            f"'table', {text_literal(table)}, 'position', {i}, 'column', {text_literal(field.name)}, "
+            f"'spark_type', {text_literal(field.dataType.simpleString())}, 'is_numeric', {str(numeric).lower()}, "
+            f"'n_rows', m.n_rows, 'non_null', m.c{i}, 'n_null', m.n_rows - m.c{i}, "
+            f"'min', {low}, 'max', {high}, 'avg', {mean}"
+        )
         if sketch:
             if isinstance(field.dataType, NESTED):
-                estimate = F.lit(None).cast("bigint")
+                row += ", 'approx_unique', cast(null as bigint)"
             else:
-                aggregates.append(F.approx_count_distinct(col, SKETCH_ERROR).alias(f"u{i}"))
-                estimate = F.col(f"u{i}")
-            parts.append(estimate.alias("approx_unique"))
-        if infer:
-            aggregates.append(logical_type_of(field.name, field.dataType).alias(f"t{i}"))
-            parts.append(canonical_type(F.col(f"t{i}")).alias("logical_type"))
-        rows.append(F.struct(*parts))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+                aggregates.append(f"'u{i}', approx_count_distinct({col}, {SKETCH_ERROR}D)")
+                row += f", 'approx_unique', m.u{i}"
+        rows.append(f"named_struct({row})")
+    return df.agg(F.expr(f"named_struct({', '.join(aggregates)})").alias("m")).selectExpr(
+        f"inline(array({', '.join(rows)}))"
+    )
 
 
 def _storage_classes(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str | None, list[T.StructField]]]:
@@ -112,27 +103,27 @@ def _frequency_passes(df: DataFrame, columns: Sequence[str] | None, digest: bool
     """
     passes = []
     for cast, fields in _storage_classes(df, columns):
-        values = []
+        cells = []
         for field in fields:
-            col = known(field.name, field.dataType)
+            col = known_sql(field.name, field.dataType)
             if cast is not None:
-                col = col.cast(cast)
+                col = f"cast({col} as {cast})"
             elif digest and isinstance(field.dataType, T.StringType):
-                col = F.when(F.octet_length(col) > _LONG_TEXT, F.concat(F.lit("sha:"), F.sha2(col, 256))).otherwise(col)
-            values.append(F.struct(F.lit(field.name).alias("column"), col.alias("value")))
-        if len(fields) == 1:
-            long = df.select(values[0].alias("v")).select("v.column", "v.value")
+                col = f"if(octet_length({col}) > {_LONG_TEXT}, concat('sha:', sha2({col}, 256)), {col})"
+            cells.append((text_literal(field.name), col))
+        if len(cells) == 1:
+            tall = df.selectExpr(f"{cells[0][0]} as column", f"{cells[0][1]} as value")
         else:
-            wide = df.select([v.getField("value").alias(f.name) for v, f in zip(values, fields)])
-            long = wide.unpivot([], [F.col(f"`{f.name}`") for f in fields], "column", "value")
-        passes.append(long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+            values = ", ".join(f"{name}, {col}" for name, col in cells)
+            tall = df.selectExpr(f"stack({len(cells)}, {values}) as (column, value)")
+        passes.append(tall.filter("value is not null").groupBy("column", "value").agg(F.expr("count(1) as n")))
     return passes
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, n_unique``: exact distinct non-null values."""
     parts = [
-        freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+        freq.groupBy("column").agg(F.expr("count(1) as n_unique"))
         for freq in _frequency_passes(df, columns, digest=True)
     ]
     return union_all(parts)
@@ -146,21 +137,25 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         if not isinstance(f.dataType, NESTED) and (columns is None or f.name in columns)
     ]
     parts = [
-        freq.select("column", F.col("value").cast("string").alias("value"), "n")
+        freq.selectExpr("column", "cast(value as string) as value", "n")
         for freq in _frequency_passes(df, chosen, digest=False)
     ]
     return union_all(parts)
 
 
+def _of_table(df: DataFrame, table: str, *columns: str) -> DataFrame:
+    return df.selectExpr(f"{text_literal(table)} as table", "column", *columns)
+
+
 def table_stats(df: DataFrame, table: str) -> DataFrame:
     """``column_metrics`` with the exact distinct count of each column."""
     distinct = distinct_counts(df)
     return (
         column_metrics(df, table)
         .join(distinct, "column", "left")
-        .select(
+        .selectExpr(
             "table", "position", "column", "spark_type", "is_numeric", "n_rows", "non_null", "n_null",
-            F.coalesce("n_unique", F.lit(0).cast("bigint")).alias("n_unique"), "min", "max", "avg",
+            "coalesce(n_unique, 0L) as n_unique", "min", "max", "avg",
         )
     )
 
@@ -172,7 +167,7 @@ def profile_stats(tables: dict[str, DataFrame]) -> DataFrame:
 
 def profile_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row, known and missing counts per column."""
-    return union_all([column_metrics(df, table) for table, df in tables.items()]).select(
+    return union_all([column_metrics(df, table, ranges=False) for table, df in tables.items()]).select(
         "table", "column", "n_rows", "non_null", "n_null"
     )
 
@@ -190,7 +185,7 @@ def profile_numeric(tables: dict[str, DataFrame]) -> DataFrame:
 def profile_distinct(tables: dict[str, DataFrame]) -> DataFrame:
     """Distinct known values per column."""
     return union_all(
-        [distinct_counts(df).select(F.lit(table).alias("table"), "column", "n_unique") for table, df in tables.items()]
+        [_of_table(distinct_counts(df), table, "n_unique") for table, df in tables.items()]
     )
 
 
@@ -201,8 +196,7 @@ def profile_top_values(tables: dict[str, DataFrame], top: int = TOP_VALUES) -> D
     for table, df in tables.items():
         others = [f.name for f in df.schema.fields if not is_numeric(f.dataType) and not isinstance(f.dataType, NESTED)]
         if others:
-            counts = value_counts(df, others)
-            parts.append(counts.select(F.lit(table).alias("table"), "column", "value", "n"))
+            parts.append(_of_table(value_counts(df, others), table, "value", "n"))
     return (
         union_all(parts)
         .withColumn("rank", F.row_number().over(best))
@@ -252,7 +246,7 @@ def identifier_like_ordered(df: DataFrame, table: str, order: str) -> DataFrame:
     rows = stats.select("column", "named", nearly_unique.alias("candidate")).collect()
     tested = [r["column"] for r in rows if r["candidate"] and not r["named"]]
     named = F.col("column").isin([r["column"] for r in rows if r["named"]] or [""])
-    base = column_metrics(df, table).select("table", "column")
+    base = column_metrics(df, table, ranges=False).select("table", "column")
     if not tested:
         return base.select("table", "column", named.alias("identifier"))
     order_test = is_increasing(df, order, tested)
@@ -355,7 +349,7 @@ def column_roles(
         doubtful = maybe_category[table] + dense[table] + unproven
         # A category without a measure, or the reverse, forms no pair.
         if doubtful and maybe_category[table] and measures[table]:
-            to_count.append(distinct_counts(df, doubtful).select(F.lit(table).alias("table"), "column", "n_unique"))
+            to_count.append(_of_table(distinct_counts(df, doubtful), table, "n_unique"))
     exact = {(r["table"], r["column"]): r["n_unique"] for r in union_all(to_count).collect()} if to_count else {}
     roles = {}
     for table in tables:

@@ -43,7 +43,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
     def pick(self, *names: str) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in names}

@@ -125,7 +125,7 @@ def _with_gaps(t: Tables):
     ),
 )
 def null_share(t: Tables):
-    stats = union_all([P.column_metrics(df, table) for table, df in _with_gaps(t).items()])
+    stats = union_all([P.column_metrics(df, table, ranges=False) for table, df in _with_gaps(t).items()])
     return rounded(P.null_share(stats), null_share=6)
 
 
@@ -202,7 +202,7 @@ def _pairs_sql() -> str:
             + CASE WHEN regexp_matches(lower(metric), 'salary|salaire|montant|cout|cost|revenue|ca|score|note|budget|amount|duree|duration|temps') THEN 4 ELSE 0 END
             + CASE WHEN regexp_matches(lower(group_by), 'depart|service|team|type|statut|status|region|site|manager|equipe|category|categorie') THEN 2 ELSE 0 END
             + least(n_groups, 10) / 10 AS score
-        FROM kept GROUP BY ALL
+        FROM kept GROUP BY table_no, group_no, metric_no, "table", group_by, metric, n_groups
     ),
     ranked AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, table_no, group_no, metric_no)::INT AS rank FROM scores)
     """

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from sheetscope.plans import q_profile  # noqa: F401
+from sheetscope.plans import q_derive, q_insights, q_profile, q_relations, q_tables  # noqa: F401
 from sheetscope.plans.base import ORACLES, QUERIES  # noqa: F401

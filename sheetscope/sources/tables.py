@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetscope.functions.numbers import quoted, text_literal
+
 PROFILE_SCHEMAS = {
     "columns": "table string, position int, column string, spark_type string, logical_type string, is_numeric boolean",
     "stats": (
@@ -123,23 +125,15 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """
     parts = []
     for table, df in tables.items():
-        fields = df.schema.fields
-        counts = df.agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)],
-        )
-        rows = [
-            F.struct(
-                F.lit(table).alias("table"),
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(declared_type(f.dataType)).alias("logical_type"),
-                F.col("n_rows"),
-                F.col(f"c{i}").alias("filled"),
+        counts, rows = ["'n_rows', count(1)"], []
+        for i, field in enumerate(df.schema.fields):
+            counts.append(f"'c{i}', count({quoted(field.name)})")
+            rows.append(
+                f"named_struct('table', {text_literal(table)}, 'position', {i}, 'column', {text_literal(field.name)}, "
+                f"'logical_type', '{declared_type(field.dataType)}', 'n_rows', m.n_rows, 'filled', m.c{i})"
             )
-            for i, f in enumerate(fields)
-        ]
-        parts.append(counts.select(F.inline(F.array(*rows))))
+        counted = df.agg(F.expr(f"named_struct({', '.join(counts)})").alias("m"))
+        parts.append(counted.selectExpr(f"inline(array({', '.join(rows)}))"))
     return union_all(parts)
 
 
