@@ -53,7 +53,9 @@ def fold(col: Column) -> Column:
     """``fold_name`` over values: plain ASCII is passed through untouched."""
     source, target, longer = _fold_table()
     one_to_one = F.translate(col, source, target)
-    pairs = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
+    pairs = F.str_to_map(
+        F.lit("\x01".join(f"{ch}\x02{folded}" for ch, folded in longer.items())), F.lit("\x01"), F.lit("\x02")
+    )
     one_to_many = F.array_join(
         F.transform(F.split(one_to_one, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)),
         "",

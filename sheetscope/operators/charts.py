@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetscope.functions.numbers import known
-from sheetscope.operators.insights import PERIODS
+from sheetscope.operators.insights import period_start
 
 # The aggregates a chart may ask for.
 AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
@@ -37,11 +37,9 @@ def chart_extremes(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def chart_line(df: DataFrame, x: str, y: str, agg: str, unit: str = "month") -> DataFrame:
     """``x, y`` along time, one point per period, in time order."""
-    if unit not in PERIODS:
-        raise ValueError(f"unit must be one of {PERIODS}")
     if not isinstance(_types(df)[x], (T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError("a line needs a date on x")
-    points = df.filter(F.col(x).isNotNull()).groupBy(F.date_trunc(unit, x).alias("x")).agg(_aggregate(df, y, agg))
+    points = df.filter(F.col(x).isNotNull()).groupBy(period_start(df, x, unit).alias("x")).agg(_aggregate(df, y, agg))
     return points.orderBy("x")
 
 

@@ -46,16 +46,21 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def period_start(df: DataFrame, moment: str, unit: str):
+    """Start of the calendar period of a date, in the type of the column."""
+    if unit not in PERIODS:
+        raise ValueError(f"unit must be one of {PERIODS}")
+    return F.date_trunc(unit, F.col(moment)).cast(df.schema[moment].dataType)
+
+
 def trend(df: DataFrame, moment: str, measure: str, unit: str = "month") -> DataFrame:
     """Measure per period with its gap to the mean period and to the one before.
 
     The windows run over one row per period; the calendar bounds their number.
     """
-    if unit not in PERIODS:
-        raise ValueError(f"unit must be one of {PERIODS}")
     periods = (
         df.filter(F.col(moment).isNotNull())
-        .groupBy(F.date_trunc(unit, moment).alias("period"))
+        .groupBy(period_start(df, moment, unit).alias("period"))
         .agg(F.sum(_column(df, measure)).alias("total"))
     )
     order = W.partitionBy(F.lit(0)).orderBy("period")

@@ -79,80 +79,83 @@ def column_metrics(
     )
 
 
-def _storage_classes(df: DataFrame, columns: Sequence[str] | None) -> list[tuple[str | None, list[T.StructField]]]:
-    """Columns grouped by the type their values can share in one frequency pass."""
-    classes: dict[str, tuple[str | None, list[T.StructField]]] = {}
-    for field in df.schema.fields:
-        if columns is not None and field.name not in columns:
-            continue
-        if isinstance(field.dataType, INTEGRAL):
-            kind = "bigint"
-        elif isinstance(field.dataType, FLOATING):
-            kind = "double"
-        else:
-            kind = field.dataType.simpleString()
-        classes.setdefault(kind, (kind if kind in ("bigint", "double") else None, []))[1].append(field)
-    return list(classes.values())
-
-
-def _frequency_passes(df: DataFrame, columns: Sequence[str] | None, digest: bool) -> list[DataFrame]:
-    """``column, value, n`` per storage type; values keep their type until counted.
-
-    Each pass reads only its own columns. The count combines on the map side, so a
-    value that fills a third of the table costs one row per task in the shuffle.
+def _frequencies(
+    tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None, digest: bool
+) -> list[DataFrame]:
+    """``table, column, value, n`` for the chosen columns, one DataFrame per storage type.
+
+    Values keep their type until they are counted, each scan reads only its own
+    columns, and all tables share one shuffle per type. The count combines on the
+    map side: a value that fills a third of a table costs one row per task.
     """
-    passes = []
-    for cast, fields in _storage_classes(df, columns):
-        cells = []
-        for field in fields:
-            col = known_sql(field.name, field.dataType)
-            if cast is not None:
-                col = f"cast({col} as {cast})"
+    tall: dict[str, list[DataFrame]] = {}
+    for table, df in tables.items():
+        cells: dict[str, list[tuple[str, str]]] = {}
+        for field in df.schema.fields:
+            if columns is not None and field.name not in columns.get(table, ()):
+                continue
+            kind, col = field.dataType.simpleString(), known_sql(field.name, field.dataType)
+            if isinstance(field.dataType, INTEGRAL):
+                kind, col = "bigint", f"cast({col} as bigint)"
+            elif isinstance(field.dataType, FLOATING):
+                kind, col = "double", f"cast({col} as double)"
             elif digest and isinstance(field.dataType, T.StringType):
                 col = f"if(octet_length({col}) > {_LONG_TEXT}, concat('sha:', sha2({col}, 256)), {col})"
-            cells.append((text_literal(field.name), col))
-        if len(cells) == 1:
-            tall = df.selectExpr(f"{cells[0][0]} as column", f"{cells[0][1]} as value")
-        else:
-            values = ", ".join(f"{name}, {col}" for name, col in cells)
-            tall = df.selectExpr(f"stack({len(cells)}, {values}) as (column, value)")
-        passes.append(tall.filter("value is not null").groupBy("column", "value").agg(F.expr("count(1) as n")))
-    return passes
-
-
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column, n_unique``: exact distinct non-null values."""
-    parts = [
-        freq.groupBy("column").agg(F.expr("count(1) as n_unique"))
-        for freq in _frequency_passes(df, columns, digest=True)
+            cells.setdefault(kind, []).append((text_literal(field.name), col))
+        for kind, pairs in cells.items():
+            if len(pairs) == 1:
+                values = df.selectExpr(f"{text_literal(table)} as table", f"{pairs[0][0]} as column", f"{pairs[0][1]} as value")
+            else:
+                listed = ", ".join(f"{name}, {col}" for name, col in pairs)
+                values = df.selectExpr(f"{text_literal(table)} as table", f"stack({len(pairs)}, {listed}) as (column, value)")
+            tall.setdefault(kind, []).append(values.filter("value is not null"))
+    return [
+        union_all(parts).groupBy("table", "column", "value").agg(F.expr("count(1) as n")) for parts in tall.values()
     ]
-    return union_all(parts)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``column, value, n`` for every value as text; nested columns are left out."""
-    chosen = [
-        f.name
-        for f in df.schema.fields
-        if not isinstance(f.dataType, NESTED) and (columns is None or f.name in columns)
-    ]
-    parts = [
-        freq.selectExpr("column", "cast(value as string) as value", "n")
-        for freq in _frequency_passes(df, chosen, digest=False)
-    ]
-    return union_all(parts)
+def profile_distinct(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``table, column, n_unique``: exact distinct known values.
+
+    Columns that hold no value at all have no row. Long texts are told apart by
+    their SHA-256, so the shuffle carries 68 bytes and not the text.
+    """
+    return union_all(
+        [
+            freq.groupBy("table", "column").agg(F.expr("count(1) as n_unique"))
+            for freq in _frequencies(tables, columns, digest=True)
+        ]
+    )
 
 
-def _of_table(df: DataFrame, table: str, *columns: str) -> DataFrame:
-    return df.selectExpr(f"{text_literal(table)} as table", "column", *columns)
+def value_counts(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """``table, column, value, n`` for every value as text; nested columns are left out."""
+    chosen = {
+        table: [
+            f.name
+            for f in df.schema.fields
+            if not isinstance(f.dataType, NESTED) and (columns is None or f.name in columns.get(table, ()))
+        ]
+        for table, df in tables.items()
+    }
+    return union_all(
+        [
+            freq.selectExpr("table", "column", "cast(value as string) as value", "n")
+            for freq in _frequencies(tables, chosen, digest=False)
+        ]
+    )
 
 
-def table_stats(df: DataFrame, table: str) -> DataFrame:
-    """``column_metrics`` with the exact distinct count of each column."""
-    distinct = distinct_counts(df)
+def profile_metrics(tables: dict[str, DataFrame], ranges: bool = True, sketch: bool = False) -> DataFrame:
+    """``column_metrics`` of every table."""
+    return union_all([column_metrics(df, table, ranges, sketch) for table, df in tables.items()])
+
+
+def profile_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """Statistics of every column of every table, with exact distinct counts."""
     return (
-        column_metrics(df, table)
-        .join(distinct, "column", "left")
+        profile_metrics(tables)
+        .join(profile_distinct(tables), ["table", "column"], "left")
         .selectExpr(
             "table", "position", "column", "spark_type", "is_numeric", "n_rows", "non_null", "n_null",
             "coalesce(n_unique, 0L) as n_unique", "min", "max", "avg",
@@ -160,45 +163,24 @@ def table_stats(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def profile_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """Statistics of every column of every table."""
-    return union_all([table_stats(df, table) for table, df in tables.items()])
-
-
 def profile_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Row, known and missing counts per column."""
-    return union_all([column_metrics(df, table, ranges=False) for table, df in tables.items()]).select(
-        "table", "column", "n_rows", "non_null", "n_null"
-    )
+    return profile_metrics(tables, ranges=False).select("table", "column", "n_rows", "non_null", "n_null")
 
 
 def profile_numeric(tables: dict[str, DataFrame]) -> DataFrame:
     """Smallest, largest and mean value of the numeric columns that hold any."""
-    parts = []
-    for table, df in tables.items():
-        numeric = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-        if numeric:
-            parts.append(column_metrics(df.select(numeric), table))
-    return union_all(parts).filter("non_null > 0").select("table", "column", "min", "max", "avg")
-
-
-def profile_distinct(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct known values per column."""
-    return union_all(
-        [_of_table(distinct_counts(df), table, "n_unique") for table, df in tables.items()]
-    )
+    numeric = {table: [f.name for f in df.schema.fields if is_numeric(f.dataType)] for table, df in tables.items()}
+    chosen = {table: df.select(numeric[table]) for table, df in tables.items() if numeric[table]}
+    return profile_metrics(chosen).filter("non_null > 0").select("table", "column", "min", "max", "avg")
 
 
 def profile_top_values(tables: dict[str, DataFrame], top: int = TOP_VALUES) -> DataFrame:
     """The most frequent values of the other columns, as text; ties by value."""
+    others = {table: [f.name for f in df.schema.fields if not is_numeric(f.dataType)] for table, df in tables.items()}
     best = W.partitionBy("table", "column").orderBy(F.col("n").desc(), F.col("value"))
-    parts = []
-    for table, df in tables.items():
-        others = [f.name for f in df.schema.fields if not is_numeric(f.dataType) and not isinstance(f.dataType, NESTED)]
-        if others:
-            parts.append(_of_table(value_counts(df, others), table, "value", "n"))
     return (
-        union_all(parts)
+        value_counts(tables, others)
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= top)
         .select("table", "column", "rank", "value", "n")
@@ -241,7 +223,7 @@ def identifier_like_ordered(df: DataFrame, table: str, order: str) -> DataFrame:
     """
     from sheetscope.operators.ordering import is_increasing
 
-    stats = table_stats(df, table).withColumn("named", named_identifier())
+    stats = profile_stats({table: df}).withColumn("named", named_identifier())
     nearly_unique = F.col("is_numeric") & (F.col("non_null") > 0) & (_unique_share() > UNIQUE_SHARE)
     rows = stats.select("column", "named", nearly_unique.alias("candidate")).collect()
     tested = [r["column"] for r in rows if r["candidate"] and not r["named"]]
@@ -319,13 +301,12 @@ def column_roles(
     tables; each returns one row per column.
     """
     metrics: dict[str, list] = {table: [] for table in tables}
-    sketched = union_all([column_metrics(df, table, sketch=True) for table, df in tables.items()])
-    for row in sketched.collect():
+    for row in profile_metrics(tables, sketch=True).collect():
         metrics[row["table"]].append(row)
     maybe_category: dict[str, list[str]] = {}
     measures: dict[str, dict[str, bool]] = {}
     dense: dict[str, list[str]] = {}
-    to_count = []
+    to_count: dict[str, list[str]] = {}
     for table, df in tables.items():
         types = {f.name: f.dataType for f in df.schema.fields}
         maybe_category[table], measures[table], dense[table] = [], {}, []
@@ -349,8 +330,9 @@ def column_roles(
         doubtful = maybe_category[table] + dense[table] + unproven
         # A category without a measure, or the reverse, forms no pair.
         if doubtful and maybe_category[table] and measures[table]:
-            to_count.append(_of_table(distinct_counts(df, doubtful), table, "n_unique"))
-    exact = {(r["table"], r["column"]): r["n_unique"] for r in union_all(to_count).collect()} if to_count else {}
+            to_count[table] = doubtful
+    counted = {table: tables[table] for table in to_count}
+    exact = {(r["table"], r["column"]): r["n_unique"] for r in profile_distinct(counted, to_count).collect()} if to_count else {}
     roles = {}
     for table in tables:
         filled = {row["column"]: row["non_null"] for row in metrics[table]}

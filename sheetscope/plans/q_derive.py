@@ -43,7 +43,7 @@ def derive_bucket(t: Tables):
 @query(
     "derive_related_avg",
     """
-    SELECT c.*, round(coalesce(s, 0) / greatest(coalesce(n, 0), 1), 4) AS mean_order FROM customer c
+    SELECT c.*, round(coalesce(s, 0) / greatest(coalesce(n, 0), 1), 6) AS mean_order FROM customer c
     LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END) AS s
                FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON c.c_custkey = o.o_custkey
     """,
@@ -54,7 +54,7 @@ def derive_related_avg(t: Tables):
         "price", F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice"))
     )
     plan = [D.RelatedAverage("mean_order", "orders", "o_custkey", "c_custkey", "price")]
-    return rounded(D.derive(t.customer, {"orders": urgent}, plan), mean_order=4)
+    return rounded(D.derive(t.customer, {"orders": urgent}, plan), mean_order=6)
 
 
 @query(
@@ -87,7 +87,7 @@ def derive_null_flag(t: Tables):
     "derive_plan",
     f"""
     SELECT c.*, coalesce(n, 0) AS n_orders, n IS NOT NULL AS has_orders,
-           round(coalesce(s, 0) / greatest(coalesce(n, 0), 1), 4) AS mean_order,
+           round(coalesce(s, 0) / greatest(coalesce(n, 0), 1), 6) AS mean_order,
            CASE WHEN c_acctbal > 7000 THEN 'Haut' WHEN c_acctbal > 4500 THEN 'Moyen' ELSE 'Bas' END AS balance,
            'n_orders,has_orders,mean_order,balance' AS applied, 'age,ghosts' AS failed
     FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS s FROM orders GROUP BY 1) o
@@ -106,7 +106,7 @@ def derive_plan(t: Tables):
     ]
     table, applied, failed = D.apply_plan(t.customer, t.pick("orders"), plan)
     reported = table.withColumns({"applied": F.lit(",".join(applied)), "failed": F.lit(",".join(failed))})
-    return rounded(reported, mean_order=4)
+    return rounded(reported, mean_order=6)
 
 
 @query("chart_bar_count", "SELECT event_type AS x, count(value) AS y FROM events GROUP BY 1")

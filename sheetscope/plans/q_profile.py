@@ -98,7 +98,7 @@ def measure_candidates(t: Tables):
 )
 def column_tags(t: Tables):
     # The tag needs the range only, so the distinct pass is left out.
-    return P.column_tags(union_all([P.column_metrics(df, table) for table, df in t.all().items()]))
+    return P.column_tags(P.profile_metrics(t.all()))
 
 
 def _with_gaps(t: Tables):
@@ -125,7 +125,7 @@ def _with_gaps(t: Tables):
     ),
 )
 def null_share(t: Tables):
-    stats = union_all([P.column_metrics(df, table, ranges=False) for table, df in _with_gaps(t).items()])
+    stats = P.profile_metrics(_with_gaps(t), ranges=False)
     return rounded(P.null_share(stats), null_share=6)
 
 

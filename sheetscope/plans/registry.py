@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from sheetscope.plans import q_derive, q_insights, q_profile, q_relations, q_tables  # noqa: F401
+from sheetscope.plans import (  # noqa: F401
+    q_candidates, q_derive, q_insights, q_profile, q_relations, q_specs, q_tables,
+)
 from sheetscope.plans.base import ORACLES, QUERIES  # noqa: F401
