@@ -10,7 +10,7 @@ from sheetscope.operators import relevance as H
 from sheetscope.plans import catalogs as C
 from sheetscope.plans.base import Tables, query, rounded
 
-WORDS = "list_distinct(list_filter(string_split_regex(lower(strip_accents({})), '[^a-z0-9]+'), w -> w <> ''))"
+WORDS = "list_distinct(regexp_extract_all(lower(strip_accents({})), '[a-z0-9]+'))"
 SCORES = f"""
     WITH {C.COLUMNS_CTE}, {C.QUESTIONS_CTE},
     worded AS (
