@@ -44,21 +44,20 @@ SPARK_TYPES = {
 }
 
 # Texts that read as a switch, those that mean "on", and the date
-# layouts tried after the ISO one.
+# layouts tried after the ISO one, by the shape of text they can read.
 SWITCH_TEXTS = ("true", "false", "vrai", "faux", "oui", "non", "1", "0")
 SWITCH_ON_TEXTS = ("true", "vrai", "oui", "1")
-DATE_LAYOUTS = (
-    "M/d/yyyy[ H:m[:s]]",
-    "d/M/yyyy[ H:m[:s]]",
-    "yyyy/M/d[ H:m[:s]]",
-    "d-M-yyyy[ H:m[:s]]",
-    "d.M.yyyy[ H:m[:s]]",
-    "d MMM yyyy",
-    "MMM d, yyyy",
-    "MMM d yyyy",
-    "d MMMM yyyy",
-    "MMMM d, yyyy",
-)
+DATE_LAYOUTS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy[ H:m[:s]]", "d/M/yyyy[ H:m[:s]]"),
+    r"^\d{4}/\d{1,2}/\d{1,2}": ("yyyy/M/d[ H:m[:s]]",),
+    r"^\d{1,2}-\d{1,2}-\d{4}": ("d-M-yyyy[ H:m[:s]]",),
+    r"^\d{1,2}\.\d{1,2}\.\d{4}": ("d.M.yyyy[ H:m[:s]]",),
+    r"^\d{1,2} \p{L}{3} \d{4}$": ("d MMM yyyy",),
+    r"^\p{L}{3} \d{1,2}, \d{4}$": ("MMM d, yyyy",),
+    r"^\p{L}{3} \d{1,2} \d{4}$": ("MMM d yyyy",),
+    r"^\d{1,2} \p{L}+ \d{4}$": ("d MMMM yyyy",),
+    r"^\p{L}+ \d{1,2}, \d{4}$": ("MMMM d, yyyy",),
+}
 
 _NUMBER = (
     r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
@@ -84,10 +83,16 @@ def text_to_number(col: Column) -> Column:
 
 
 def text_to_timestamp(col: Column) -> Column:
-    """Date or timestamp written in a text, or null. Long texts are never dates."""
+    """Date or timestamp written in a text, or null. Long texts are never dates.
+
+    A layout is tried only on text of its shape: a failed parse costs far more
+    than the pattern that rules it out.
+    """
     text = F.trim(col)
-    tries = [text.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in DATE_LAYOUTS]
+    tries = [F.when(text.rlike(r"^[+-]?\d{4}"), text.try_cast("timestamp_ntz"))]
+    for shape, layouts in DATE_LAYOUTS.items():
+        parsed = [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in layouts]
+        tries.append(F.when(text.rlike(shape), F.coalesce(*parsed)))
     return F.when((F.length(col) <= _LONGEST_DATE) & col.rlike(r"\d"), F.coalesce(*tries))
 
 

@@ -109,8 +109,12 @@ def quantiles(df: DataFrame, measure: str, by: Sequence[str], probabilities: Seq
     )
     brackets = []
     for i, p in enumerate(probabilities):
-        low = F.col("lowest") if p - slack <= 0 else F.element_at("grid", 2 * i + 1)
-        high = F.col("highest") if p + slack >= 1 else F.element_at("grid", 2 * i + 2)
+        # In a small group the slack is less than one rank, so all its values count.
+        low, high = F.col("lowest"), F.col("highest")
+        if p - slack > 0:
+            low = F.when(F.col("n") <= accuracy, low).otherwise(F.element_at("grid", 2 * i + 1))
+        if p + slack < 1:
+            high = F.when(F.col("n") <= accuracy, high).otherwise(F.element_at("grid", 2 * i + 2))
         brackets.append(F.struct(F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high")))
     bracketed = sketch.select(*by, "n", F.array(*brackets).alias("brackets"))
     if by:

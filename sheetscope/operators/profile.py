@@ -6,7 +6,6 @@ frequency pass per storage type gives distinct and top values.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,31 +25,36 @@ UNIQUE_SHARE = 0.9
 # Name parts that mark an identifier.
 IDENTIFIER_WORDS = ("id", "code", "uuid", "matricule")
 
-# Relative error asked of the distinct-count sketch, and the registers it implies.
-SKETCH_ERROR = 0.1
-_REGISTERS = 2 ** math.ceil(2 * math.log2(1.106 / SKETCH_ERROR))
 # A text longer than this is counted by its digest, so the shuffle stays narrow.
 _LONG_TEXT = 64
 
 
-def largest_estimate(distinct: int) -> int:
-    """The highest sketch estimate that ``distinct`` values can ever give.
+def _hash_bits_sql(col: str, words: int) -> tuple[str, str]:
+    """Aggregates and final expression of a bitmap of hashed values.
 
-    Each value sets at most one register, and small estimates come from the share
-    of empty registers alone. An estimate above this bound therefore proves that
-    there are more than ``distinct`` values.
+    A value sets one bit, so the number of bits set never exceeds the number of
+    distinct values: more bits than a limit prove more values than the limit. Unlike
+    a cardinality sketch it is a plain ``bit_or`` and stays in generated code.
     """
-    return math.floor(_REGISTERS * math.log(_REGISTERS / (_REGISTERS - distinct)) + 0.5)
+    bit = f"pmod(xxhash64({col}), {64 * words})"
+    parts = [
+        f"bit_or(if({col} is not null and {bit} div 64 = {w}, shiftleft(1L, cast({bit} % 64 as int)), 0L))"
+        for w in range(words)
+    ]
+    return ", ".join(f"'{{0}}_{w}', {part}" for w, part in enumerate(parts)), " + ".join(
+        f"bit_count(m.{{0}}_{w})" for w in range(words)
+    )
 
 
 def column_metrics(
-    df: DataFrame, table: str, ranges: bool = True, sketch: bool = False
+    df: DataFrame, table: str, ranges: bool = True, bits_for: int = 0
 ) -> DataFrame:
     """Counts and ranges of every column, from one aggregate over the table.
 
     Columns: table, position, column, spark_type, is_numeric, n_rows, non_null,
-    n_null, min, max, avg (null without ``ranges``), and ``approx_unique`` with
-    ``sketch``.
+    n_null, min, max, avg (null without ``ranges``). With ``bits_for`` also
+    ``hash_bits`` of the text and switch columns: a lower bound of their distinct
+    count, wide enough to pass the number given.
     """
     aggregates, rows = ["'n_rows', count(1)"], []
     for i, field in enumerate(df.schema.fields):
@@ -67,12 +71,13 @@ def column_metrics(
             f"'n_rows', m.n_rows, 'non_null', m.c{i}, 'n_null', m.n_rows - m.c{i}, "
             f"'min', {low}, 'max', {high}, 'avg', {mean}"
         )
-        if sketch:
-            if isinstance(field.dataType, NESTED):
-                row += ", 'approx_unique', cast(null as bigint)"
+        if bits_for:
+            if numeric or isinstance(field.dataType, (*NESTED, *TEMPORAL)):
+                row += ", 'hash_bits', cast(null as int)"
             else:
-                aggregates.append(f"'u{i}', approx_count_distinct({col}, {SKETCH_ERROR}D)")
-                row += f", 'approx_unique', m.u{i}"
+                bits, total = _hash_bits_sql(col, -(-2 * bits_for // 64))
+                aggregates.append(bits.format(f"u{i}"))
+                row += f", 'hash_bits', {total.format(f'u{i}')}"
         rows.append(f"named_struct({row})")
     return df.agg(F.expr(f"named_struct({', '.join(aggregates)})").alias("m")).selectExpr(
         f"inline(array({', '.join(rows)}))"
@@ -146,9 +151,9 @@ def value_counts(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]]
     )
 
 
-def profile_metrics(tables: dict[str, DataFrame], ranges: bool = True, sketch: bool = False) -> DataFrame:
+def profile_metrics(tables: dict[str, DataFrame], ranges: bool = True, bits_for: int = 0) -> DataFrame:
     """``column_metrics`` of every table."""
-    return union_all([column_metrics(df, table, ranges, sketch) for table, df in tables.items()])
+    return union_all([column_metrics(df, table, ranges, bits_for) for table, df in tables.items()])
 
 
 def profile_stats(tables: dict[str, DataFrame]) -> DataFrame:
@@ -289,59 +294,91 @@ def profile_digest(stats: DataFrame, top_values: DataFrame, top: int = TOP_VALUE
     return stats.join(listed, ["table", "column"], "left").select("table", "column", line.alias("line"))
 
 
+def _values_between(df: DataFrame, table: str, spans: dict[str, tuple[float, float]]) -> DataFrame:
+    """``table, column, n_unique``: 3 where a value lies strictly inside the span of
+    its column, else 2. It settles "three values or more" with no shuffle of values."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    found, rows = [], []
+    for i, (name, (low, high)) in enumerate(spans.items()):
+        col = f"cast({known_sql(name, types[name])} as double)"
+        found.append(f"'b{i}', bool_or({col} > {_double(low)} and {col} < {_double(high)})")
+        rows.append(
+            f"named_struct('table', {text_literal(table)}, 'column', {text_literal(name)}, 'n_unique', if(m.b{i}, 3L, 2L))"
+        )
+    return df.agg(F.expr(f"named_struct({', '.join(found)})").alias("m")).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _double(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+# Whole numbers up to here are told apart after a cast to double.
+_EXACT_WHOLE = 2.0**53
+
+
 def column_roles(
     tables: dict[str, DataFrame], max_groups: int = MAX_GROUPS
 ) -> dict[str, tuple[list[str], list[str], int]]:
     """Per table: category columns, measure columns and row count.
 
-    Same answer as ``category_candidates`` and ``measure_candidates``, for less:
-    the sketch proves which columns have too many values, and only the doubtful
-    ones are counted exactly. No nearly unique column is shuffled for it, apart
-    from a dense key, whose distinct share decides its role. Two jobs serve all
-    tables; each returns one row per column.
+    Same answer as ``category_candidates`` and ``measure_candidates``, for less. The
+    first job takes ranges, and for text a bitmap that proves which columns have too
+    many values. The second counts the remaining text columns exactly, and looks for
+    a third value in the numeric ones. No nearly unique column is shuffled for it,
+    apart from a dense key, whose distinct share decides its role. Both jobs return
+    one row per column.
     """
+    types = {table: {f.name: f.dataType for f in df.schema.fields} for table, df in tables.items()}
     metrics: dict[str, list] = {table: [] for table in tables}
-    for row in profile_metrics(tables, sketch=True).collect():
+    for row in profile_metrics(tables, bits_for=max_groups).collect():
         metrics[row["table"]].append(row)
-    maybe_category: dict[str, list[str]] = {}
-    measures: dict[str, dict[str, bool]] = {}
+    texts: dict[str, list[str]] = {}
+    numbers: dict[str, list[str]] = {}
     dense: dict[str, list[str]] = {}
-    to_count: dict[str, list[str]] = {}
+    parts, to_count = [], {}
     for table, df in tables.items():
-        types = {f.name: f.dataType for f in df.schema.fields}
-        maybe_category[table], measures[table], dense[table] = [], {}, []
+        texts[table], numbers[table], dense[table] = [], [], []
+        exact: list[str] = []
+        spans: dict[str, tuple[float, float]] = {}
         for row in sorted(metrics[table], key=lambda r: r["position"]):
-            name, estimate = row["column"], row["approx_unique"]
-            if estimate is None or row["non_null"] == 0:
+            name, kind = row["column"], types[table][row["column"]]
+            if row["non_null"] == 0:
+                continue
+            if not row["is_numeric"]:
+                if row["hash_bits"] is not None and row["hash_bits"] <= max_groups:
+                    texts[table].append(name)
+                    exact.append(name)
+                continue
+            if any(word in name.lower() for word in IDENTIFIER_WORDS):
                 continue
-            if row["is_numeric"]:
-                if any(word in name.lower() for word in IDENTIFIER_WORDS):
-                    continue
-                measures[table][name] = estimate > largest_estimate(MIN_MEASURE_VALUES - 1)
-                if (
-                    isinstance(types[name], INTEGRAL)
-                    and row["n_null"] == 0
-                    and row["max"] - row["min"] + 1 == row["non_null"]
-                ):
-                    dense[table].append(name)
-            elif not isinstance(types[name], TEMPORAL) and estimate <= largest_estimate(max_groups):
-                maybe_category[table].append(name)
-        unproven = [n for n, proven in measures[table].items() if not proven and n not in dense[table]]
-        doubtful = maybe_category[table] + dense[table] + unproven
+            numbers[table].append(name)
+            whole = isinstance(kind, INTEGRAL)
+            if whole and row["n_null"] == 0 and row["max"] - row["min"] + 1 == row["non_null"]:
+                dense[table].append(name)
+                exact.append(name)
+            elif not isinstance(kind, FLOATING) and max(abs(row["min"]), abs(row["max"])) >= _EXACT_WHOLE:
+                exact.append(name)
+            elif isinstance(kind, T.DecimalType):
+                exact.append(name)
+            elif row["min"] < row["max"]:
+                spans[name] = (row["min"], row["max"])
         # A category without a measure, or the reverse, forms no pair.
-        if doubtful and maybe_category[table] and measures[table]:
-            to_count[table] = doubtful
-    counted = {table: tables[table] for table in to_count}
-    exact = {(r["table"], r["column"]): r["n_unique"] for r in profile_distinct(counted, to_count).collect()} if to_count else {}
+        if texts[table] and numbers[table]:
+            to_count[table] = exact
+            if spans:
+                parts.append(_values_between(df, table, spans))
+    if to_count:
+        parts.append(profile_distinct({table: tables[table] for table in to_count}, to_count))
+    unique = {(r["table"], r["column"]): r["n_unique"] for r in union_all(parts).collect()} if parts else {}
     roles = {}
     for table in tables:
         filled = {row["column"]: row["non_null"] for row in metrics[table]}
-        categories = [n for n in maybe_category[table] if 2 <= exact.get((table, n), 0) <= max_groups]
-        chosen = [
+        count = lambda name: unique.get((table, name), 1)
+        categories = [n for n in texts[table] if 2 <= count(n) <= max_groups]
+        measures = [
             n
-            for n, proven in measures[table].items()
-            if (proven or exact.get((table, n), 0) >= MIN_MEASURE_VALUES)
-            and not (n in dense[table] and exact.get((table, n), 0) / filled[n] > UNIQUE_SHARE)
+            for n in numbers[table]
+            if count(n) >= MIN_MEASURE_VALUES and not (n in dense[table] and count(n) / filled[n] > UNIQUE_SHARE)
         ]
-        roles[table] = (categories, chosen, metrics[table][0]["n_rows"] if metrics[table] else 0)
+        roles[table] = (categories, measures, metrics[table][0]["n_rows"] if metrics[table] else 0)
     return roles

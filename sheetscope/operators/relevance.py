@@ -44,6 +44,7 @@ def choose_columns(
     them it is in when its table has one that is in; after that the best of the
     rest fill the workbook up to ``min_columns``. Ties go by table and position.
     Counts are aggregated and ranks cut per task, so no workbook sits in one task.
+    ``scores`` is read several times: pass a stored table.
     """
     scored = scores.select("workbook", "table", "position", "column", F.coalesce("score", F.lit(NEUTRAL)).alias("score"))
     hard = scored.filter(F.col("score") >= upper)

@@ -70,18 +70,28 @@ def resolve_tables(sections: DataFrame, roles: DataFrame, tables: DataFrame) ->
     ``roles`` is ``workbook, role, table, position``; ``tables`` is ``workbook,
     table`` with raw, derived and summary tables alike.
     """
-    exact = roles.select("workbook", F.col("role").alias("_name"), F.col("table").alias("_exact"))
-    loose = roles.groupBy("workbook", match_key(F.col("role")).alias("_key")).agg(
-        F.min_by("table", "position").alias("_loose")
+    # An exact match is also a match by key, so one lookup per key serves all three
+    # rules; the roles under one key are the spellings of a single name.
+    by_key = (
+        roles.select(
+            "workbook", match_key(F.col("role")).alias("_key"), F.struct("position", "role", "table").alias("_role"),
+            F.lit(None).cast("string").alias("_named"),
+        )
+        .unionByName(
+            tables.select(
+                "workbook", match_key(F.col("table")).alias("_key"),
+                F.lit(None).cast("struct<position:int,role:string,table:string>").alias("_role"), F.col("table").alias("_named"),
+            )
+        )
+        .groupBy("workbook", "_key")
+        .agg(F.array_sort(F.collect_set("_role")).alias("_roles"), F.min("_named").alias("_named"))
     )
-    named = tables.groupBy("workbook", match_key(F.col("table")).alias("_key")).agg(F.min("table").alias("_named"))
+    exact = F.filter("_roles", lambda r: r["role"] == F.col("table"))
+    first = lambda entries: F.try_element_at(entries, F.lit(1)).getField("table")
     return (
-        sections.withColumn("_name", F.coalesce("table", F.lit("")))
-        .withColumn("_key", match_key(F.col("_name")))
-        .join(exact, ["workbook", "_name"], "left")
-        .join(loose, ["workbook", "_key"], "left")
-        .join(named, ["workbook", "_key"], "left")
-        .select(*sections.columns, F.coalesce("_exact", "_loose", "_named").alias("table_id"))
+        sections.withColumn("_key", match_key(F.coalesce("table", F.lit(""))))
+        .join(by_key, ["workbook", "_key"], "left")
+        .select(*sections.columns, F.coalesce(first(exact), first(F.col("_roles")), "_named").alias("table_id"))
     )
 
 

@@ -12,7 +12,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetscope.operators.crosstab import summary_name_of
+from sheetscope.operators.insights import report
 from sheetscope.plans.base import Tables
+from sheetscope.session import cut_lineage
+
+
+def stored(t: Tables, build) -> DataFrame:
+    """A catalog that a query reads several times: computed once and written out."""
+    kept = t.__dict__.setdefault("_stored", {})
+    if build not in kept:
+        kept[build] = cut_lineage(build(t))
+    return kept[build]
 
 
 def _sheet():
@@ -202,7 +212,7 @@ SECTIONS_CTE = """
 
 def tables(t: Tables) -> DataFrame:
     """``workbook, table`` of every sheet."""
-    return columns(t).select("workbook", "table").distinct()
+    return stored(t, columns).select("workbook", "table").distinct()
 
 
 def roles(t: Tables) -> DataFrame:
@@ -217,7 +227,12 @@ def roles(t: Tables) -> DataFrame:
 def all_columns(t: Tables) -> DataFrame:
     """Raw columns and one derived column per priority sheet."""
     derived = roles(t).select("workbook", "table", F.lit(100).alias("position"), F.lit("nb_dérivé").alias("column"))
-    return columns(t).select("workbook", "table", "position", "column").unionByName(derived)
+    return stored(t, columns).select("workbook", "table", "position", "column").unionByName(derived)
+
+
+def reports(t: Tables) -> DataFrame:
+    """The report of each workbook."""
+    return report(insights(t))
 
 
 ROLES_CTE = """
@@ -239,7 +254,7 @@ def crosstabs(t: Tables) -> DataFrame:
     number = F.col("is_numeric") & F.col("column").startswith("total_")
     pick = lambda condition: F.min(F.when(condition, F.struct("position", "column"))).getField("column")
     both = (
-        columns(t).groupBy("workbook", "table").agg(pick(text).alias("group_by"), pick(number).alias("metric")).dropna()
+        stored(t, columns).groupBy("workbook", "table").agg(pick(text).alias("group_by"), pick(number).alias("metric")).dropna()
     )
     first = W.partitionBy("workbook").orderBy("table")
     return (

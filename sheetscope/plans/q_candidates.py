@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetscope.operators import candidates as K
-from sheetscope.operators import insights as I
 from sheetscope.operators import relevance as H
 from sheetscope.plans import catalogs as C
 from sheetscope.plans.base import Tables, query, rounded
@@ -40,6 +39,10 @@ def _scores(t: Tables):
     return H.score_columns(C.columns(t), C.questions(t))
 
 
+def _chosen(t: Tables):
+    return H.choose_columns(C.stored(t, _scores))
+
+
 @query("relevance_scores", SCORES + "SELECT * REPLACE (round(score, 6) AS score) FROM scores")
 def relevance_scores(t: Tables):
     return rounded(_scores(t), score=6)
@@ -47,7 +50,7 @@ def relevance_scores(t: Tables):
 
 @query("relevance_hysteresis", SCORES + "SELECT * REPLACE (round(score, 6) AS score) FROM chosen")
 def relevance_hysteresis(t: Tables):
-    return rounded(H.choose_columns(_scores(t)), score=6)
+    return rounded(_chosen(t), score=6)
 
 
 @query(
@@ -59,7 +62,7 @@ def relevance_hysteresis(t: Tables):
             OR EXISTS (SELECT 1 FROM chosen k WHERE k.workbook = c.workbook AND k."table" = c."table" AND k."column" = c."column")""",
 )
 def relevance_trim(t: Tables):
-    return H.trim_profile(C.columns(t), H.choose_columns(_scores(t)), C.questions(t))
+    return H.trim_profile(C.columns(t), _chosen(t), C.questions(t))
 
 
 GEO_CTE = f"""
@@ -86,7 +89,7 @@ GEO_CTE = f"""
     GEO_CTE + "SELECT *, NULL::VARCHAR AS geocode, NULL::VARCHAR AS address, NULL::VARCHAR AS geocoded_address FROM geo",
 )
 def geo_columns(t: Tables):
-    return K.geo_columns(C.columns(t), ["workbook"])
+    return K.geo_columns(C.stored(t, C.columns), ["workbook"])
 
 
 @query(
@@ -156,11 +159,11 @@ def _flat(df):
 
 
 def _crosstab_candidates(t: Tables):
-    return K.crosstab_candidates(C.crosstabs(t), I.report(C.insights(t)))
+    return K.crosstab_candidates(C.crosstabs(t), C.stored(t, C.reports))
 
 
 def _trend_candidates(t: Tables):
-    return K.trend_candidates(I.report(C.insights(t)), C.columns(t))
+    return K.trend_candidates(C.stored(t, C.reports), C.stored(t, C.columns))
 
 
 @query("candidate_crosstab", CANDIDATES_CTE + f"SELECT {PUBLIC} FROM every WHERE kind = 'cross_tab'")
@@ -185,7 +188,7 @@ def candidate_promote(t: Tables):
     every = (
         _crosstab_candidates(t).withColumn("kind_no", F.lit(1))
         .unionByName(_trend_candidates(t).withColumn("kind_no", F.lit(2)))
-        .unionByName(K.geo_candidates(K.geo_columns(C.columns(t), ["workbook"])).withColumn("kind_no", F.lit(3)))
+        .unionByName(K.geo_candidates(K.geo_columns(C.stored(t, C.columns), ["workbook"])).withColumn("kind_no", F.lit(3)))
     )
     return rounded(_flat(K.promote(every, ["kind_no", "idx", "source_table"])), score=6)
 

@@ -29,12 +29,12 @@ WITH = f"WITH {C.COLUMNS_CTE}, {PREFIX_CTE} "
 
 @query("fk_by_prefix", WITH + "SELECT * FROM prefix_fk")
 def fk_by_prefix(t: Tables):
-    return R.fk_by_prefix(C.columns(t), ["workbook"])
+    return R.fk_by_prefix(C.stored(t, C.columns), ["workbook"])
 
 
 @query("fk_by_name", WITH + "SELECT * FROM name_fk")
 def fk_by_name(t: Tables):
-    return R.fk_by_name(C.columns(t), ["workbook"])
+    return R.fk_by_name(C.stored(t, C.columns), ["workbook"])
 
 
 @query(
@@ -44,7 +44,7 @@ def fk_by_name(t: Tables):
          WHERE upper("column") <> 'ID' QUALIFY n_tables > 1""",
 )
 def fk_shared_columns(t: Tables):
-    return R.shared_columns(C.columns(t), ["workbook"])
+    return R.shared_columns(C.stored(t, C.columns), ["workbook"])
 
 
 @query(
@@ -54,7 +54,7 @@ def fk_shared_columns(t: Tables):
          FROM (SELECT * FROM prefix_fk UNION ALL SELECT * FROM name_fk) GROUP BY ALL""",
 )
 def fk_apparent(t: Tables):
-    return R.apparent_fk(C.columns(t), ["workbook"])
+    return R.apparent_fk(C.stored(t, C.columns), ["workbook"])
 
 
 # Child and parent columns whose values are compared.
