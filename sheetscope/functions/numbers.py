@@ -50,3 +50,15 @@ def finite(col: Column) -> Column:
 def with_known(df: DataFrame) -> DataFrame:
     """Every floating column of ``df`` with NaN read as null."""
     return df.select([known(f.name, f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def filled(df: DataFrame, *names: str) -> DataFrame:
+    """Rows where every named column is known.
+
+    The plain null test comes first because a file scan can apply it; NaN is told
+    apart afterwards, on floating columns only.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    df = df.filter(" and ".join(f"{quoted(n)} is not null" for n in names))
+    floating = [n for n in names if isinstance(types[n], FLOATING)]
+    return df.filter(" and ".join(f"not isnan({quoted(n)})" for n in floating)) if floating else df

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetscope.functions.names import compact_token, compact_token_name, contains_any
-from sheetscope.functions.numbers import known, known_sql, text_literal
+from sheetscope.functions.numbers import filled, known_sql, quoted, text_literal
 from sheetscope.operators.profile import MAX_GROUPS, column_roles
 from sheetscope.sources.tables import union_all
 
@@ -37,10 +37,9 @@ def crosstab(df: DataFrame, category: str, measure: str, max_groups: int = MAX_G
     Rows that lack either side are left out. The largest groups come first, ties
     by the higher mean. Fewer than two groups give no summary.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    pair = df.select(
-        known(category, types[category]).alias("grp"), known(measure, types[measure]).cast("double").alias("v")
-    ).dropna()
+    pair = filled(df, category, measure).selectExpr(
+        f"{quoted(category)} as grp", f"cast({quoted(measure)} as double) as v"
+    )
     groups = (
         pair.groupBy("grp")
         .agg(

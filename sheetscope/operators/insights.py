@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetscope.functions.numbers import known
+from sheetscope.functions.numbers import filled, known, quoted
 from sheetscope.operators.ordering import running_total
 from sheetscope.session import cut_lineage
 
@@ -33,8 +33,8 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     running share is taken, so a column of any cardinality is handled.
     """
     counts = cut_lineage(
-        df.select(_column(df, column).cast("string").alias("value"))
-        .filter("value is not null")
+        filled(df, column)
+        .selectExpr(f"cast({quoted(column)} as string) as value")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -99,10 +99,9 @@ def quantiles(df: DataFrame, measure: str, by: Sequence[str], probabilities: Seq
     rows below the bracket and keeps only the few distinct values inside it.
     """
     by = list(by)
-    value = _column(df, measure).cast("double")
     slack = 5.0 / accuracy
     grid = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)]
-    rows = df.select(*by, value.alias("v")).filter("v is not null")
+    rows = filled(df, measure).select(*by, F.expr(f"cast({quoted(measure)} as double) as v"))
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
         F.percentile_approx("v", grid, accuracy).alias("grid"),
@@ -186,8 +185,8 @@ def correlation(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def group_gap(df: DataFrame, category: str, measure: str) -> DataFrame:
     """Distance between the highest and the lowest group mean, and which they are."""
     means = (
-        df.select(_column(df, category).cast("string").alias("grp"), _column(df, measure).alias("v"))
-        .dropna()
+        filled(df, category, measure)
+        .selectExpr(f"cast({quoted(category)} as string) as grp", f"{quoted(measure)} as v")
         .groupBy("grp")
         .agg(F.avg("v").alias("mean"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.functions.numbers import known
+from sheetscope.functions.numbers import filled, quoted
 
 KEY_PREFIX = "ID_"
 KEY_NAME = "ID"
@@ -105,12 +105,10 @@ def fk_value_overlap(
     Both sides are reduced to their distinct keys before the join, so a key held
     by a third of the rows weighs one row. ``parent_unique`` tells a real key.
     """
-    child_type = {f.name: f.dataType for f in child.schema.fields}[child_column]
-    parent_type = {f.name: f.dataType for f in parent.schema.fields}[parent_column]
-    wanted = child.select(known(child_column, child_type).alias("k")).dropna().distinct()
+    wanted = filled(child, child_column).selectExpr(f"{quoted(child_column)} as k").distinct()
     held = (
-        parent.select(known(parent_column, parent_type).alias("k"))
-        .dropna()
+        filled(parent, parent_column)
+        .selectExpr(f"{quoted(parent_column)} as k")
         .groupBy("k")
         .agg(F.count(F.lit(1)).alias("n"))
     )
