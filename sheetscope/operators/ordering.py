@@ -23,8 +23,8 @@ def range_slices(df: DataFrame, order: Sequence[Column], slices: int | None = No
     """``df`` with a ``_slice`` number that grows with ``order``.
 
     The order must be total; a slice then holds a fair share of the rows whatever
-    the key distribution. The result is checkpointed because slice numbers must
-    not change when a task is run again.
+    the key distribution. The result is written out because slice numbers must not
+    change when a task is run again.
     """
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(count, *order).withColumn("_slice", F.spark_partition_id())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from sheetscope.operators import profile as P
 from sheetscope.plans.base import (
     COLUMNS, IDENTIFIER_SQL, NUMERIC, SCHEMAS, Tables, each_column, query, rounded, stats_sql, top_values_sql,
 )
+from sheetscope.session import shared_folder
 from sheetscope.sources.tables import load_profile, save_profile, union_all
 
 STATS = f"WITH stats AS ({stats_sql()}) "
@@ -132,8 +133,8 @@ def null_share(t: Tables):
 _DIGEST_TABLES = ("customer", "part", "orders", "lineitem", "events")
 
 
-def _digest_sql() -> str:
-    listed = ", ".join(f"'{t}'" for t in _DIGEST_TABLES)
+def _digest_sql(tables: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{t}'" for t in tables)
     return f"""
     WITH stats AS ({stats_sql()}), top AS ({top_values_sql()}),
     listed AS (SELECT "table", "column", string_agg(value, ', ' ORDER BY rank) AS vals FROM top GROUP BY ALL)
@@ -145,19 +146,18 @@ def _digest_sql() -> str:
     """
 
 
-@query("profile_digest", _digest_sql())
+@query("profile_digest", _digest_sql(_DIGEST_TABLES))
 def profile_digest(t: Tables):
     tables = t.pick(*_DIGEST_TABLES)
     return P.profile_digest(P.profile_stats(tables), P.profile_top_values(tables))
 
 
-@query("profile_roundtrip")
+@query("profile_roundtrip", _digest_sql(("part", "orders", "lineitem")))
 def profile_roundtrip(t: Tables):
     """Profile tables written as parquet and JSON, read back and joined again."""
     tables = t.pick("part", "orders", "lineitem")
     stats, top = P.profile_stats(tables), P.profile_top_values(tables)
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    root = f"{folder}/sheetscope-profile-{t.spark.sparkContext.applicationId}-{abs(hash(t.root))}"
+    root = f"{shared_folder(t.spark)}/profile-{uuid.uuid4().hex}"
     save_profile({"stats": stats}, root)
     save_profile({"top_values": top}, root, "json")
     back = load_profile(t.spark, root, ["stats"])["stats"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's own folder inside the checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, so the
-    rows survive the loss of an executor. Only where no folder is set at all
-    (a bare local session) is a temporary one chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Only where no folder is set at
+    all (a bare local session) is a temporary one chosen.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheetscope-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    The rows survive the loss of an executor, are computed once however often they
+    are read, and their true size is known to the planner.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -138,8 +138,12 @@ def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
-    """One DataFrame from many of the same schema."""
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    """One DataFrame from many of the same schema.
+
+    Halves are joined up pairwise: every union is analysed when it is made, and this
+    keeps the plans that are analysed again small.
+    """
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [pair[0].unionByName(pair[1]) if len(pair) == 2 else pair[0] for pair in pairs]
+    return parts[0]
