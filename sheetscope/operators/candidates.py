@@ -70,7 +70,8 @@ def geo_columns(columns: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     keys. All picks are minima, combined on the map side.
     """
     keys = [*within, "table"]
-    token = search_token(F.col("column"))
+    columns = columns.withColumn("_token", search_token(F.col("column")))
+    token = F.col("_token")
     numeric = F.coalesce("is_numeric", F.lit(False))
     picks = (
         columns.groupBy(*keys)

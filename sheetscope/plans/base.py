@@ -35,7 +35,10 @@ NUMERIC = ("i", "l", "d")
 
 
 class Tables:
-    """The tables of one folder, read when first asked for."""
+    """The tables of one folder, read when first asked for.
+
+    Their schemas are known, so no file is opened before a query runs.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -43,7 +46,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        schema = ", ".join(f"{column} {SPARK_TYPE[kind]}" for column, kind in COLUMNS[name])
+        table = self.spark.read.schema(schema).parquet(f"{self.root}/{name}.parquet")
         setattr(self, name, table)
         return table
 
