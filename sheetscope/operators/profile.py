@@ -280,8 +280,10 @@ def profile_digest(stats: DataFrame, top_values: DataFrame, top: int = TOP_VALUE
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
         .select("table", "column", F.array_join(F.transform("ranked", lambda r: r["value"]), ", ").alias("values"))
     )
+    # Halves go to the even neighbour; the formatter alone would round them up.
     spread = F.when(
-        F.col("avg").isNotNull(), F.format_string("min=%.0f max=%.0f avg=%.0f", "min", "max", "avg")
+        F.col("avg").isNotNull(),
+        F.format_string("min=%.0f max=%.0f avg=%.0f", F.bround("min"), F.bround("max"), F.bround("avg")),
     )
     listing = F.when(F.col("values").isNotNull(), F.concat(F.lit("top=["), "values", F.lit("]")))
     line = F.concat_ws(

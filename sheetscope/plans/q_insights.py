@@ -48,7 +48,7 @@ def insight_trend(t: Tables):
 @query(
     "insight_outliers",
     """
-    SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_extendedprice, l.l_returnflag, round(s.mean, 4) AS mean, round(s.spread, 4) AS spread
+    SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_extendedprice, l.l_returnflag, round(s.mean, 6) AS mean, round(s.spread, 4) AS spread
     FROM lineitem l JOIN (
         SELECT l_returnflag, l_quantity, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS spread FROM lineitem GROUP BY 1, 2
     ) s ON l.l_returnflag = s.l_returnflag AND l.l_quantity = s.l_quantity
@@ -58,7 +58,7 @@ def insight_trend(t: Tables):
 def insight_outliers(t: Tables):
     found = I.sigma_outliers(t.lineitem, "l_extendedprice", ["l_returnflag", "l_quantity"], 1.5)
     return rounded(
-        found.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "mean", "spread"), mean=4, spread=4
+        found.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "mean", "spread"), mean=6, spread=4
     )
 
 
