@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sheetscope.operators import crosstab as X
 from sheetscope.operators import profile as P
 from sheetscope.plans.base import (
-    COLUMNS, IDENTIFIER_SQL, NUMERIC, SCHEMAS, Tables, each_column, query, rounded, stats_sql, top_values_sql,
+    COLUMNS, IDENTIFIER_SQL, NUMERIC, Tables, query, rounded, stats_sql, top_values_sql,
 )
 from sheetscope.session import shared_folder
 from sheetscope.sources.tables import load_profile, save_profile, union_all

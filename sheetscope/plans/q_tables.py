@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetscope.functions import names as N
 from sheetscope.functions import types as Y
-from sheetscope.plans.base import LOGICAL, Tables, each_column, query, rounded
+from sheetscope.plans.base import LOGICAL, Tables, each_column, query
 from sheetscope.sources import store as S
 from sheetscope.sources.tables import column_catalog, preview
 
