@@ -30,16 +30,28 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's own folder inside the checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where no folder is set at
-    all (a bare local session) is a temporary one chosen.
+    The cluster names it in ``spark.checkpoint.dir``. Where it is unset, a folder on the
+    session's default file system is set. On a local file system only a local session
+    may do so: the executors of a cluster do not see each other's disks.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sheetscope-"))
+        context.setCheckpointDir(named or _default_folder(spark))
     return context.getCheckpointDir()
 
 
+def _default_folder(spark: SparkSession) -> str:
+    """A checkpoint folder on the default file system, which all executors must share."""
+    context = spark.sparkContext
+    system = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if system.startswith("file:"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return tempfile.mkdtemp(prefix="sheetscope-")
+    return f"{system.rstrip('/')}/user/{context.sparkUser()}/sheetscope-checkpoints"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
