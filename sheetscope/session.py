@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once a context.
+
+    Workers need not have it installed, nor share the driver's path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sheetscope_sent", False):
+        return
+    home = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="sheetscope-")) / "sheetscope.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(home.rglob("*.py")):
+            z.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    context._sheetscope_sent = True
