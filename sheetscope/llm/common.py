@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from sheetscope.session import ship_package
 
 # Over UTF-8 bytes whose A-Z are lower-cased; the same words as
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ over the text.
@@ -33,11 +36,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
-    """128 bits that tell rows apart by id and text, as columns ``KEY``.
+    """The columns ``KEY``: the id, null below all, and a hash of the text.
 
-    Rows that repeat both share a key, and so share every result.
+    They order rows by id and tell those of one id apart by text. Rows that repeat both
+    share a key, and so share every result.
     """
-    return [F.xxhash64(doc_id, text).alias(KEY[0]), F.xxhash64(text, F.lit(1), doc_id).alias(KEY[1])]
+    return [F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63))).alias(KEY[0]), F.xxhash64(text).alias(KEY[1])]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -56,22 +60,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` on workers that have this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(
     df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[dict[str, list]] | dict[str, list]], schema: str | T.StructType
 ) -> DataFrame:
     """Apply ``make`` to each Arrow batch; it gives columns by name, once or several times."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = make(batch)
             for columns in [made] if isinstance(made, dict) else made:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in arrow],
-                    schema=arrow,
-                )
+                own = [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(own, schema=arrow)
+
+    return in_arrow(df, run, kind)
+
+
+def sampled_ids(ids: DataFrame, n: int, seed: str) -> DataFrame:
+    """At most ``n`` distinct non-null ``doc_id``, the first in a seeded hash order."""
+    own = ids.select("doc_id").filter("doc_id is not null").distinct()
+    return own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+
+
+def agreed_labels(labels: DataFrame, name: str) -> DataFrame:
+    """``doc_id`` and ``label`` (0 or 1) of ids whose label rows agree; nulls are no labels."""
+    own = labels.filter(F.col(name).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id")
+    return own.agg(F.min(name).alias("label"), F.max(name).alias("other")).filter("label = other").drop("other")
+
 
-    return df.mapInArrow(run, kind)
+def schema_with(df: DataFrame, more: str) -> T.StructType:
+    """The schema of ``df`` and ``more`` columns after it."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(more).fields])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheetscope.llm.common import lowered, partitions, per_batch
+from sheetscope.llm.common import in_arrow, lowered, partitions, per_batch
 from sheetscope.session import cut_lineage, shared_folder
 
 #: Buckets per shuffle partition that the directory aims at.
@@ -27,7 +27,7 @@ BUCKETS_PER_PARTITION = 8
 #: Bits by which the directory grows in one counting job.
 BITS_A_ROUND = 8
 #: A task hands on its distinct texts when it holds this many bytes of them.
-HELD_BYTES = 32_000_000
+HELD_BYTES = 16_000_000
 
 
 def _hashed(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -118,7 +118,7 @@ def build_index(docs: DataFrame, folder: str | None = None) -> DataFrame:
     buckets = spark.sparkContext.broadcast(directory(keys, max(1, total // (BUCKETS_PER_PARTITION * owners))))
 
     gathered_schema = T.StructType([T.StructField("bucket", T.LongType()), *hashed.schema.fields, T.StructField("n", T.LongType())])
-    gathered = hashed.mapInArrow(lambda batches: _gather(batches, buckets.value, to_arrow_schema(gathered_schema)), gathered_schema)
+    gathered = in_arrow(hashed, lambda batches: _gather(batches, buckets.value, to_arrow_schema(gathered_schema)), gathered_schema)
     owned = gathered.repartition(owners, "bucket").sortWithinPartitions("bucket", "hash")
 
     record_schema = T.StructType(
@@ -131,7 +131,7 @@ def build_index(docs: DataFrame, folder: str | None = None) -> DataFrame:
             T.StructField("row", docs.schema),
         ]
     )
-    records = owned.mapInArrow(lambda batches: _chain(batches, to_arrow_schema(record_schema)), record_schema)
+    records = in_arrow(owned, lambda batches: _chain(batches, to_arrow_schema(record_schema)), record_schema)
     path = f"{folder or shared_folder(spark)}/index-{uuid.uuid4().hex}"
     records.write.parquet(path)
     return spark.read.schema(record_schema).parquet(path).withColumn("keep_id", F.col("row.doc_id"))

@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 SEED = "mix"
 #: Hex digits of the seeded order by which a pattern's documents are counted first.
-DIGITS = 4
+DIGITS = 3
 
 Pattern = tuple[str | None, ...]
 
