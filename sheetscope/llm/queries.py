@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetscope.llm import decontaminate, extendible, jaccard, mixing, quality, secret_scan, sentence_spans, toxicity
+from sheetscope.llm import decontaminate, extendible, jaccard, lattice, mixing, quality, secret_scan, sentence_spans, toxicity
 from sheetscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,8 @@ query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 @query("op7_secret_scan", secret_scan.secrets_sql())
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.language_report(table(spark, sf_dir, "documents"))
