@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetscope.llm import decontaminate, extendible, jaccard, lattice, mixing, quality, secret_scan, sentence_spans, toxicity
+from sheetscope.llm import decontaminate, extendible, jaccard, lattice, mixing, quality, secret_scan, sentence_spans, suffixes, toxicity
 from sheetscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_scoring")
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_report(table(spark, sf_dir, "documents"))
