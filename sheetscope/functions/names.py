@@ -18,10 +18,15 @@ from pyspark.sql import functions as F
 _FOLDED_BLOCKS = (range(0xA0, 0x3400), range(0xFB00, 0xFB50), range(0xFE30, 0xFFF0))
 
 
+def _folded(ch: str) -> str:
+    """One character without its marks, in its plain form."""
+    return "".join(part for part in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(part))
+
+
 def fold_name(text: str) -> str:
-    """Compatibility-decompose and drop the combining marks."""
-    decomposed = unicodedata.normalize("NFKD", text)
-    return "".join(ch for ch in decomposed if not unicodedata.combining(ch))
+    """Plain letters for accented ones, ligatures and wide forms, by the table that values use."""
+    source, target, longer = _fold_table()
+    return text.translate(str.maketrans(source[: len(target)], target, source[len(target) :]) | str.maketrans(longer))
 
 
 @lru_cache(maxsize=1)
@@ -37,7 +42,7 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
     for block in _FOLDED_BLOCKS:
         for code in block:
             ch = chr(code)
-            folded = fold_name(ch)
+            folded = _folded(ch)
             if folded == ch:
                 continue
             if not folded:
@@ -92,6 +97,18 @@ def safe_column_name(text: str) -> str:
     return safe_id_name(text, "Col_")
 
 
+def safe_column_names(names: list[str]) -> list[str]:
+    """A safe identifier for each name; those that fold to one get a number after it."""
+    out: list[str] = []
+    for name in names:
+        safe, n = safe_column_name(name), 1
+        taken = {o.lower() for o in out}
+        while (own := safe if n == 1 else f"{safe}_{n}").lower() in taken:
+            n += 1
+        out.append(own)
+    return out
+
+
 def compact_token(col: Column) -> Column:
     """ASCII letters and digits joined by single underscores."""
     token = F.btrim(F.regexp_replace(fold(col), "[^A-Za-z0-9]+", "_"), F.lit("_"))

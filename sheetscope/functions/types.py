@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetscope.functions.names import safe_column_name
+from sheetscope.functions.names import safe_column_names
 from sheetscope.functions.numbers import FLOATING, INTEGRAL, TEMPORAL, finite, known, text_literal
 
 # Accepted type names and the logical type each stands for.
@@ -48,7 +48,6 @@ SPARK_TYPES = {
 SWITCH_TEXTS = ("true", "false", "vrai", "faux", "oui", "non", "1", "0")
 SWITCH_ON_TEXTS = ("true", "vrai", "oui", "1")
 DATE_LAYOUTS = {
-    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy[ H:m[:s]]", "d/M/yyyy[ H:m[:s]]"),
     r"^\d{4}/\d{1,2}/\d{1,2}": ("yyyy/M/d[ H:m[:s]]",),
     r"^\d{1,2}-\d{1,2}-\d{4}": ("d-M-yyyy[ H:m[:s]]",),
     r"^\d{1,2}\.\d{1,2}\.\d{4}": ("d.M.yyyy[ H:m[:s]]",),
@@ -63,7 +62,9 @@ _NUMBER = (
     r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
     r"|(?i:inf|infinity|nan))\s*$"
 )
-_LONGEST_DATE = 40
+# Two numbers that may be month and day in either order, a year, and a time of day.
+_SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
+_WHOLE = r"^\s*[+-]?\d+(_\d+)*\s*$"
 _LONGEST_SWITCH = 5
 
 
@@ -82,18 +83,23 @@ def text_to_number(col: Column) -> Column:
     return F.when(col.rlike(_NUMBER), F.replace(F.trim(col), F.lit("_"), F.lit("")).try_cast("double"))
 
 
-def text_to_timestamp(col: Column) -> Column:
-    """Date or timestamp written in a text, or null. Long texts are never dates.
+def text_to_timestamp(col: Column, day_first: bool = False) -> Column:
+    """Date or timestamp written in a text, or null.
 
     A layout is tried only on text of its shape: a failed parse costs far more
-    than the pattern that rules it out.
+    than the pattern that rules it out. Slashed dates are put together from their
+    parts, month first unless ``day_first``, so neither order costs an exception.
     """
     text = F.trim(col)
-    tries = [F.when(text.rlike(r"^[+-]?\d{4}"), text.try_cast("timestamp_ntz"))]
+    part = lambda i: F.regexp_extract(text, _SLASHED, i).try_cast("int")
+    month, day = (part(2), part(1)) if day_first else (part(1), part(2))
+    clock = [F.coalesce(part(i), F.lit(0)) for i in (4, 5, 6)]
+    slashed = F.when(text.rlike(_SLASHED), F.try_make_timestamp_ntz(part(3), month, day, *clock))
+    tries = [slashed, F.when(text.rlike(r"^[+-]?\d{4}"), text.try_cast("timestamp_ntz"))]
     for shape, layouts in DATE_LAYOUTS.items():
         parsed = [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in layouts]
         tries.append(F.when(text.rlike(shape), F.coalesce(*parsed)))
-    return F.when((F.length(col) <= _LONGEST_DATE) & col.rlike(r"\d"), F.coalesce(*tries))
+    return F.when(col.rlike(r"\d"), F.coalesce(*tries))
 
 
 def _is_switch(col: Column) -> Column:
@@ -105,7 +111,8 @@ def _parsed(field: T.StructField, i: int) -> list[Column]:
     col = known(field.name, field.dataType)
     parts = [col.alias(f"v{i}")]
     if isinstance(field.dataType, T.StringType):
-        parts += [text_to_number(col).alias(f"n{i}"), text_to_timestamp(col).alias(f"t{i}")]
+        moments = [text_to_timestamp(col).alias(f"t{i}"), text_to_timestamp(col, day_first=True).alias(f"d{i}")]
+        parts += [text_to_number(col).alias(f"n{i}"), *moments]
     return parts
 
 
@@ -131,7 +138,8 @@ def _kind_sql(data_type: T.DataType, i: int) -> str:
         kind = (
             f"case when bool_and(length({value}) <= {_LONGEST_SWITCH} and lower({value}) in ({switches})) then 'Toggle' "
             f"when count({number}) = count({value}) then if({whole.format(number)}, 'Int', 'Numeric') "
-            f"when count({moment}) = count({value}) then {clock.format(moment)} else 'Text' end"
+            f"when count({moment}) = count({value}) then {clock.format(moment)} "
+            f"when count(d{i}) = count({value}) then {clock.format(f'd{i}')} else 'Text' end"
         )
     elif isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StringType):
         kind = "'ChoiceList'"
@@ -140,36 +148,51 @@ def _kind_sql(data_type: T.DataType, i: int) -> str:
     return f"if(count({value}) = 0, 'Text', {kind})"
 
 
+def _day_first_sql(data_type: T.DataType, i: int) -> str:
+    """SQL aggregate: whether a text column's dates are read day first."""
+    return f"count(t{i}) < count(v{i}) and count(d{i}) = count(v{i})" if isinstance(data_type, T.StringType) else "false"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
-    """One row per column: ``position, column, inferred, logical_type``.
+    """One row per column: ``position, column, inferred, logical_type, day_first``.
 
     Rules in order: nothing known is Text; only switch texts is Toggle; only
-    numbers is Int or Numeric; only dates is Date or DateTime; else Text. Each value
-    is parsed once and every rule is a map-side aggregate, so a table of any size
+    numbers is Int or Numeric; only dates is Date or DateTime; else Text. The whole
+    column decides how its slashed dates are read: month first only if that reads every
+    value, else day first. Each value is parsed once and every rule is a map-side aggregate, so a table of any size
     sends one row per task.
     """
     fields = df.schema.fields
     parsed = df.select([part for i, field in enumerate(fields) for part in _parsed(field, i)])
-    kinds = ", ".join(f"'k{i}', {_kind_sql(field.dataType, i)}" for i, field in enumerate(fields))
+    kinds = ", ".join(
+        f"'k{i}', {_kind_sql(field.dataType, i)}, 'f{i}', {_day_first_sql(field.dataType, i)}" for i, field in enumerate(fields)
+    )
     rows = ", ".join(
-        f"named_struct('position', {i}, 'column', {text_literal(field.name)}, 'inferred', m.k{i})"
+        f"named_struct('position', {i}, 'column', {text_literal(field.name)}, 'inferred', m.k{i}, 'day_first', m.f{i})"
         for i, field in enumerate(fields)
     )
     found = parsed.agg(F.expr(f"named_struct({kinds})").alias("m")).selectExpr(f"inline(array({rows}))")
-    return found.withColumn("logical_type", canonical_type(F.col("inferred")))
+    return found.select("position", "column", "inferred", canonical_type(F.col("inferred")).alias("logical_type"), "day_first")
+
 
+def to_logical(col: Column, data_type: T.DataType, logical: str, day_first: bool = False) -> Column:
+    """``col`` stored under a logical type; values that do not fit become null.
 
-def to_logical(col: Column, data_type: T.DataType, logical: str) -> Column:
-    """``col`` stored under a logical type; values that do not fit become null."""
+    Whole numbers written in texts are cast straight to integers, so ids of any size
+    keep their value.
+    """
     target = SPARK_TYPES.get(canonical_type_name(logical), "string")
     if isinstance(data_type, T.StringType):
         if target == "boolean":
             return F.when(_is_switch(col), F.lower(col).isin(*SWITCH_ON_TEXTS))
         if target in ("bigint", "double"):
             number = finite(text_to_number(col))
-            return number.try_cast(target)
+            if target == "double":
+                return number
+            whole = F.when(col.rlike(_WHOLE), F.replace(F.trim(col), F.lit("_"), F.lit("")).try_cast("bigint"))
+            return F.coalesce(whole, F.when(~col.rlike(_WHOLE), number.try_cast("bigint")))
         if target in ("date", "timestamp_ntz"):
-            return text_to_timestamp(col).cast(target)
+            return text_to_timestamp(col, day_first).cast(target)
     if target == "boolean" and isinstance(data_type, INTEGRAL):
         return col != 0
     if isinstance(data_type, FLOATING):
@@ -177,6 +200,18 @@ def to_logical(col: Column, data_type: T.DataType, logical: str) -> Column:
     return col.try_cast(target)
 
 
+def interval_text(col: Column) -> Column:
+    """``1 days 02:03:04``, with six digits of a second where there is a fraction."""
+    micros = F.expr("bigint(0)") + F.unix_micros(F.timestamp_seconds(F.lit(0)) + col)
+    day, second = 86_400_000_000, 1_000_000
+    days = F.floor(micros / day)
+    rest = F.pmod(micros, F.lit(day))
+    clock = F.format_string(
+        "%d days %02d:%02d:%02d", days, F.floor(rest / (3600 * second)), F.floor(rest / (60 * second)) % 60, F.floor(rest / second) % 60
+    )
+    return F.when(rest % second == 0, clock).otherwise(F.concat(clock, F.format_string(".%06d", rest % second)))
+
+
 def clean_value(name: str, data_type: T.DataType) -> Column:
     """A value ready for text-based storage.
 
@@ -193,10 +228,11 @@ def clean_value(name: str, data_type: T.DataType) -> Column:
         micros = F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         return F.when(F.date_trunc("second", col) == col, whole).otherwise(micros)
     if isinstance(data_type, T.DayTimeIntervalType):
-        return col.cast("string")
+        return interval_text(col)
     return col
 
 
 def clean_table(df: DataFrame) -> DataFrame:
     """Rename to safe identifiers and clean every value, in one projection."""
-    return df.select([clean_value(f.name, f.dataType).alias(safe_column_name(f.name)) for f in df.schema.fields])
+    names = safe_column_names(df.columns)
+    return df.select([clean_value(f.name, f.dataType).alias(name) for f, name in zip(df.schema.fields, names)])

@@ -29,8 +29,8 @@ def _column(df: DataFrame, name: str):
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """``value, n, share, cumulative_share``, largest value first, ties by value.
 
-    The counted values are written out once; their number then decides how the
-    running share is taken, so a column of any cardinality is handled.
+    The values are counted and written out once, then their running share is taken
+    slice by slice, whatever their number.
     """
     counts = cut_lineage(
         filled(df, column)
@@ -38,9 +38,8 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    size = counts.agg(F.count(F.lit(1)).alias("values"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    total = F.lit(float(size["rows"]))
-    running = running_total(counts, [F.col("n").desc(), F.col("value")], "n", "_running", size["values"])
+    total = F.lit(float(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+    running = running_total(counts, [F.col("n").desc(), F.col("value")], "n", "_running")
     return running.select(
         "value", "n", (F.col("n") / total).alias("share"), (F.col("_running") / total).alias("cumulative_share")
     )
@@ -240,21 +239,30 @@ def report(insights: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
     )
 
 
-def rejects(insights: DataFrame) -> DataFrame:
-    """Insights that break a rule, with the reason."""
-    reason = F.when(
-        ~F.coalesce(F.col("type").isin(*INSIGHT_TYPES), F.lit(False)), "unknown type"
-    ).otherwise("priority out of range")
-    return insights.filter(~valid_insight()).withColumn("reason", reason)
+def rejects(insights: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
+    """Insights that are not in the report, with the reason.
+
+    Every insight is in the report or here. A workbook's valid ones are numbered as the
+    report numbers them; those beyond its size are surplus.
+    """
+    order = W.partitionBy("workbook", valid_insight()).orderBy("priority", "seq")
+    reason = (
+        F.when(~F.coalesce(F.col("type").isin(*INSIGHT_TYPES), F.lit(False)), "unknown type")
+        .when(~valid_insight(), "priority out of range")
+        .when(F.row_number().over(order) > size, "report is full")
+    )
+    return insights.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def reports_by_workbook(reports: DataFrame) -> DataFrame:
     """One row per workbook with its report as an array, ordered by index.
 
-    A report has at most ``REPORT_SIZE`` entries, so the array is short.
+    A report has at most ``REPORT_SIZE`` entries, so the array is short; an entry
+    numbered beyond that is an error.
     """
     entry = F.struct("idx", "type", "table", "col", "finding", "priority")
-    return reports.groupBy("workbook").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    whole = F.when(F.col("idx") < REPORT_SIZE, F.col("idx")).otherwise(F.raise_error("not a report"))
+    return reports.withColumn("idx", whole.cast(reports.schema["idx"].dataType)).groupBy("workbook").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
 def select_insights(reports: DataFrame, selection: DataFrame) -> DataFrame:

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from sheetscope.session import cut_lineage
 
-# A window over this many narrow rows fits one task with ease.
-ONE_TASK_ROWS = 100_000
-
 
 def range_slices(df: DataFrame, order: Sequence[Column], slices: int | None = None) -> DataFrame:
     """``df`` with a ``_slice`` number that grows with ``order``.
@@ -31,15 +28,8 @@ def range_slices(df: DataFrame, order: Sequence[Column], slices: int | None = No
     return cut_lineage(ranged)
 
 
-def running_total(df: DataFrame, order: Sequence[Column], amount: str, name: str, rows: int) -> DataFrame:
-    """Add ``name``, the running sum of ``amount`` in ``order``.
-
-    ``rows`` is the known row count of ``df``: a small one takes a plain window,
-    any other the sliced way.
-    """
-    if rows <= ONE_TASK_ROWS:
-        whole = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(amount).over(whole))
+def running_total(df: DataFrame, order: Sequence[Column], amount: str, name: str) -> DataFrame:
+    """Add ``name``, the running sum of ``amount`` in ``order``, slice by slice."""
     sliced = range_slices(df, order)
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

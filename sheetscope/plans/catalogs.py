@@ -249,7 +249,7 @@ ROLES_CTE = """
 
 def crosstabs(t: Tables) -> DataFrame:
     """``workbook, position, name, source_table, group_by, metric``: sheets that have
-    both a site name and a yearly total, the first four of a workbook."""
+    both a site name and a yearly total."""
     text = ~F.col("is_numeric") & ~F.col("column").startswith("ID")
     number = F.col("is_numeric") & F.col("column").startswith("total_")
     pick = lambda condition: F.min(F.when(condition, F.struct("position", "column"))).getField("column")
@@ -259,7 +259,6 @@ def crosstabs(t: Tables) -> DataFrame:
     first = W.partitionBy("workbook").orderBy("table")
     return (
         both.withColumn("position", F.row_number().over(first) - 1)
-        .filter("position < 4")
         .select(
             "workbook", "position", summary_name_of(F.col("table"), F.col("group_by"), F.col("metric")).alias("name"),
             F.col("table").alias("source_table"), "group_by", "metric",
@@ -278,7 +277,6 @@ CROSSTABS_CTE = """
                    arg_min("column", position) FILTER (is_numeric AND starts_with("column", 'total_')) AS metric
             FROM cols GROUP BY ALL
         ) WHERE group_by IS NOT NULL AND metric IS NOT NULL
-        QUALIFY position < 4
     )
 """
 

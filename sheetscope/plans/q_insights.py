@@ -148,8 +148,12 @@ def insight_top5(t: Tables):
 @query(
     "insight_rejects",
     REPORTS
-    + """SELECT *, CASE WHEN type = 'forecast' THEN 'unknown type' ELSE 'priority out of range' END AS reason
-         FROM insights WHERE type = 'forecast' OR priority > 5""",
+    + """SELECT * EXCLUDE (place) FROM (
+             SELECT * EXCLUDE (fits), CASE WHEN type = 'forecast' THEN 'unknown type' WHEN priority > 5 THEN 'priority out of range'
+                 WHEN place > 5 THEN 'report is full' END AS reason
+             FROM (SELECT *, row_number() OVER (PARTITION BY workbook, fits ORDER BY priority, seq) AS place
+                   FROM (SELECT *, type <> 'forecast' AND priority <= 5 AS fits FROM insights))
+         ) WHERE reason IS NOT NULL""",
 )
 def insight_rejects(t: Tables):
     return I.rejects(C.insights(t))

@@ -218,7 +218,7 @@ def _dirty_orders(t: Tables):
     """,
 )
 def infer_types(t: Tables):
-    return Y.infer_types(_dirty_orders(t)).drop("position")
+    return Y.infer_types(_dirty_orders(t)).drop("position", "day_first")
 
 
 @query(
@@ -227,17 +227,21 @@ def infer_types(t: Tables):
     SELECT o_orderstatus <> 'O' AS switch,
            CASE o_orderstatus WHEN 'F' THEN o_custkey WHEN 'O' THEN o_orderkey END AS whole,
            CASE o_orderstatus WHEN 'P' THEN 1000.0::DOUBLE ELSE o_totalprice END AS number,
-           CASE WHEN o_orderstatus = 'O' THEN
-                coalesce(try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%m/%d/%Y')::DATE, o_orderdate::DATE)
-                ELSE o_orderdate::DATE END AS day,
+           o_orderdate::DATE AS day,
            CASE o_orderstatus WHEN 'F' THEN o_orderdate + INTERVAL '10:20:30' ELSE o_orderdate END AS moment,
-           CASE WHEN o_orderkey = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS mixed
+           CASE WHEN o_orderkey = 0 THEN 'n/a' ELSE o_custkey::VARCHAR END AS mixed,
+           NULL::VARCHAR AS empty,
+           CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS bit,
+           floor(o_totalprice)::BIGINT AS whole_double,
+           o_orderdate::DATE AS typed_day,
+           o_orderdate + INTERVAL 1 HOUR AS typed_moment,
+           CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS nan_price
     FROM orders
     """,
 )
 def ingest_typed(t: Tables):
-    """Load under inferred types. ``01/02`` reads month first, as a date parser does."""
-    return S.ingest_typed(_dirty_orders(t).select("switch", "whole", "number", "day", "moment", "mixed"))
+    """Load all columns under inferred types; days written day first keep their date."""
+    return S.ingest_typed(_dirty_orders(t))
 
 
 @query(

@@ -10,10 +10,9 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetscope.functions.names import safe_column_name
+from sheetscope.functions.names import safe_column_names
 from sheetscope.functions.numbers import FLOATING, known
 from sheetscope.functions.types import SPARK_TYPES, canonical_type_name, clean_table, infer_types, to_logical
 
@@ -64,16 +63,29 @@ def update_records(table: DataFrame, patch: DataFrame, row_id: str, given: Mappi
 
 
 def latest_per_key(patch: DataFrame, require: Sequence[str], version: str) -> DataFrame:
-    """The change with the highest version of each key, cut before the shuffle."""
-    newest = W.partitionBy(*require).orderBy(F.col(version).desc())
-    return patch.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", version)
+    """The change with the highest version of each key, combined in the task first.
+
+    Changes of one version are told apart by their other columns, in order.
+    """
+    others = [c for c in patch.columns if c not in (*require, version)]
+    newest = F.max(F.struct(version, *others)).alias("_newest")
+    return patch.groupBy(*require).agg(newest).select(*require, *[F.col("_newest").getField(c).alias(c) for c in others])
 
 
-def upsert_records(table: DataFrame, patch: DataFrame, require: Sequence[str], version: str | None = None) -> DataFrame:
+def upsert_records(
+    table: DataFrame,
+    patch: DataFrame,
+    require: Sequence[str],
+    version: str | None = None,
+    given: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Update rows whose ``require`` columns match, insert the others.
 
-    Where several changes carry one key, the highest ``version`` wins.
+    Where several changes carry one key, the highest ``version`` wins. A null leaves a
+    field as it is, unless ``given`` maps the field to a boolean column of ``patch``
+    that says the row gives it; then a null overwrites.
     """
+    given = given or {}
     if version is not None:
         patch = latest_per_key(patch, require, version)
     base, change = table.alias("base"), patch.alias("patch")
@@ -82,6 +94,8 @@ def upsert_records(table: DataFrame, patch: DataFrame, require: Sequence[str], v
     for name in table.columns:
         if name in require:
             columns.append(F.coalesce(F.col(f"base.{name}"), F.col(f"patch.{name}")).alias(name))
+        elif name in given:
+            columns.append(F.when(F.col(f"patch.{given[name]}"), F.col(f"patch.{name}")).otherwise(F.col(f"base.{name}")).alias(name))
         elif name in patch.columns:
             columns.append(F.coalesce(F.col(f"patch.{name}"), F.col(f"base.{name}")).alias(name))
         else:
@@ -91,7 +105,7 @@ def upsert_records(table: DataFrame, patch: DataFrame, require: Sequence[str], v
 
 def delete_records(table: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
     """Rows whose id is not listed."""
-    return table.join(ids.select(row_id), row_id, "left_anti")
+    return table.join(ids.select(row_id).distinct(), row_id, "left_anti")
 
 
 def read_records(
@@ -142,7 +156,7 @@ def create_table(spark: SparkSession, name: str, columns: Mapping[str, str]) ->
 
 def drop_table(spark: SparkSession, name: str) -> None:
     """Remove a catalog table; silent when it does not exist."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
 
 
 def ingest(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -159,11 +173,12 @@ def ingest_typed(df: DataFrame, path: str | None = None) -> DataFrame:
     The inference is one aggregate; its answer, one row per column, decides the
     projection.
     """
-    logical = {row["column"]: row["logical_type"] for row in infer_types(df).collect()}
+    found = {row["column"]: row for row in infer_types(df).collect()}
+    names = safe_column_names(df.columns)
     typed = df.select(
         [
-            to_logical(known(f.name, f.dataType), f.dataType, logical[f.name]).alias(safe_column_name(f.name))
-            for f in df.schema.fields
+            to_logical(known(f.name, f.dataType), f.dataType, found[f.name]["logical_type"], found[f.name]["day_first"]).alias(name)
+            for f, name in zip(df.schema.fields, names)
         ]
     )
     if path is not None:

@@ -29,8 +29,22 @@ PROFILE_SCHEMAS = {
 }
 
 
+# What a file name may end with that is not part of the table's name.
+FILE_ENDINGS = (".gz", ".bz2", ".zst", ".snappy", ".lz4", ".parquet", ".csv", ".json", ".orc", ".avro", ".txt")
+
+
+def table_name(file_name: str) -> str:
+    """The name without its format and compression endings; other dots belong to it."""
+    while ending := next((e for e in FILE_ENDINGS if file_name.lower().endswith(e) and len(file_name) > len(e)), None):
+        file_name = file_name[: -len(ending)]
+    return file_name
+
+
 def list_tables(spark: SparkSession, root: str) -> dict[str, str]:
-    """Table name to path for every data file or folder directly under ``root``."""
+    """Table name to path for every data file or folder directly under ``root``.
+
+    Two entries that give one name are an error, not a choice.
+    """
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -38,7 +52,9 @@ def list_tables(spark: SparkSession, root: str) -> dict[str, str]:
     for status in system.listStatus(path):
         name = status.getPath().getName()
         if not name.startswith(("_", ".")):
-            found[name.split(".")[0]] = status.getPath().toString()
+            if table_name(name) in found:
+                raise ValueError(f"{root} holds two tables named {table_name(name)!r}")
+            found[table_name(name)] = status.getPath().toString()
     return dict(sorted(found.items()))
 
 
@@ -120,8 +136,8 @@ def declared_type(data_type: T.DataType) -> str:
 def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per column with its row and null counts.
 
-    The counts come from one aggregate per table; parquet footers answer the
-    part that needs no column data.
+    The counts come from one aggregate per table, which reads every column unless the
+    source answers counts from its footers.
     """
     parts = []
     for table, df in tables.items():

@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -126,11 +127,22 @@ def test_order_test_across_slices(spark):
     assert found == {"up": True, "dip": False, "gap": False}
 
 
-def test_running_total_is_the_same_both_ways(spark):
+def test_running_total_counts_every_row_before(spark):
     df = spark.range(2000).select((F.col("id") * 7 % 2000).alias("k"), (F.col("id") % 5).alias("n"))
-    small = running_total(df, [F.col("k")], "n", "r", rows=2000)
-    sliced = running_total(df, [F.col("k")], "n", "r", rows=10**9)
-    assert sorted(small.collect()) == sorted(sliced.collect())
+    rows = sorted(running_total(df, [F.col("k")], "n", "r").collect())
+    total = 0
+    for row in rows:
+        total += row["n"]
+        assert row["r"] == total
+
+
+def test_dots_belong_to_table_names(spark, tmp_path):
+    for name in ("sales.2023.parquet", "sales.2024.parquet"):
+        spark.range(4).write.parquet(str(tmp_path / name))
+    assert set(read_tables(spark, str(tmp_path))) == {"sales.2023", "sales.2024"}
+    spark.range(4).write.json(str(tmp_path / "sales.2024.json"))
+    with pytest.raises(ValueError, match="two tables"):
+        read_tables(spark, str(tmp_path))
 
 
 def test_tables_are_read_from_csv_and_json(spark, workbook, tmp_path):

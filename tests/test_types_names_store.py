@@ -112,3 +112,38 @@ def test_ingest_typed_keeps_every_row(rows):
     typed = S.ingest_typed(df)
     assert typed.dtypes == [("En_ete", "boolean"), ("n", "bigint"), ("d", "date")]
     assert sorted(r["n"] for r in typed.collect()) == [7, 12]
+
+
+def test_a_column_decides_how_its_dates_are_read(spark, tmp_path):
+    df = spark.createDataFrame([("05/03/2024", "01/02/2024"), ("15/03/2024", "03/04/2024"), (" 06/03/2024" + " " * 60, "12/31/2024")], "d string, m string")
+    assert [tuple(r) for r in S.ingest_typed(df).collect()] == [
+        (dt.date(2024, 3, 5), dt.date(2024, 1, 2)), (dt.date(2024, 3, 15), dt.date(2024, 3, 4)), (dt.date(2024, 3, 6), dt.date(2024, 12, 31))
+    ]
+
+
+def test_big_ids_keep_their_value(spark):
+    df = spark.createDataFrame([("9007199254740993",), (" 1_000 ",), ("1e3",)], "k string")
+    assert [r[0] for r in S.ingest_typed(df).collect()] == [9007199254740993, 1000, 1000]
+
+
+def test_names_that_fold_to_one_stay_apart(spark):
+    df = spark.createDataFrame([(1, 2)], "`Prix été` int, `Prix_ete` int")
+    assert S.ingest(df).columns == ["Prix_ete", "Prix_ete_2"]
+
+
+def test_intervals_become_text(spark):
+    df = spark.sql("SELECT INTERVAL '1 02:03:04' DAY TO SECOND AS a, INTERVAL '0 00:00:01.5' DAY TO SECOND AS b, INTERVAL '-1 00:00:00' DAY TO SECOND AS c")
+    assert tuple(S.ingest(df).first()) == ("1 days 02:03:04", "0 days 00:00:01.500000", "-1 days 00:00:00")
+
+
+def test_upsert_of_a_given_null(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    patch = spark.createDataFrame([(1, None, True, 1), (2, None, False, 1), (3, "c", True, 1), (3, "d", True, 2)], "k int, v string, has boolean, version int")
+    found = S.upsert_records(base, patch, ["k"], "version", {"v": "has"})
+    assert sorted(tuple(r) for r in found.collect()) == [(1, None), (2, "b"), (3, "d")]
+
+
+def test_delete_takes_an_id_once(spark):
+    base = spark.range(5)
+    ids = spark.createDataFrame([(1,), (1,), (3,)], "id bigint")
+    assert sorted(r[0] for r in S.delete_records(base, ids, "id").collect()) == [0, 2, 4]
