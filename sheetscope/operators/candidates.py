@@ -183,6 +183,21 @@ def geo_candidates(geo: DataFrame) -> DataFrame:
     )
 
 
+def narrative_candidates(reports: DataFrame) -> DataFrame:
+    """One candidate per workbook with a report: its digest as a text block.
+
+    It speaks of all the report's insights, and stands with the first one's table.
+    """
+    entries = reports_by_workbook(reports)
+    return entries.select(
+        "workbook", F.lit(0).alias("idx"), F.lit("narrative").alias("kind"), F.col("entries")[0]["table"].alias("source_table"),
+        F.transform("entries", lambda e: e["col"]).alias("source_columns"),
+        F.transform("entries", lambda e: e["idx"]).alias("insight_refs"), F.lit(0.7).alias("priority"),
+        F.lit(0.75).alias("confidence"), F.lit("narrative_block").alias("presentation"),
+        F.lit("markdown").alias("premium_widget"), F.lit("Resume analytique").alias("title"),
+    )
+
+
 def promotion_score() -> Column:
     """Priority and confidence, plus what the kind and the presentation add."""
     kind = F.coalesce(F.try_element_at(_literal_map(KIND_BONUS), F.col("kind")), F.lit(0.0))

@@ -52,7 +52,8 @@ def column_metrics(
     """Counts and ranges of every column, from one aggregate over the table.
 
     Columns: table, position, column, spark_type, is_numeric, n_rows, non_null,
-    n_null, min, max, avg (null without ``ranges``). With ``bits_for`` also
+    n_null, min, max, avg (null without ``ranges``), and ``lo`` and ``hi``, the exact
+    bounds of integer columns. With ``bits_for`` also
     ``hash_bits`` of the text and switch columns: a lower bound of their distinct
     count, wide enough to pass the number given.
     """
@@ -62,14 +63,17 @@ def column_metrics(
         numeric = is_numeric(field.dataType)
         aggregates.append(f"'c{i}', count({col})")
         low = high = mean = "cast(null as double)"
+        least = most = "cast(null as bigint)"
         if ranges and numeric:
             aggregates.append(f"'lo{i}', min({col}), 'hi{i}', max({col}), 'avg{i}', avg({col})")
             low, high, mean = (f"cast(m.{part}{i} as double)" for part in ("lo", "hi", "avg"))
+            if isinstance(field.dataType, INTEGRAL):
+                least, most = (f"cast(m.{part}{i} as bigint)" for part in ("lo", "hi"))
         row = (
             f"'table', {text_literal(table)}, 'position', {i}, 'column', {text_literal(field.name)}, "
             f"'spark_type', {text_literal(field.dataType.simpleString())}, 'is_numeric', {str(numeric).lower()}, "
             f"'n_rows', m.n_rows, 'non_null', m.c{i}, 'n_null', m.n_rows - m.c{i}, "
-            f"'min', {low}, 'max', {high}, 'avg', {mean}"
+            f"'min', {low}, 'max', {high}, 'avg', {mean}, 'lo', {least}, 'hi', {most}"
         )
         if bits_for:
             if numeric or isinstance(field.dataType, (*NESTED, *TEMPORAL)):
@@ -163,7 +167,7 @@ def profile_stats(tables: dict[str, DataFrame]) -> DataFrame:
         .join(profile_distinct(tables), ["table", "column"], "left")
         .selectExpr(
             "table", "position", "column", "spark_type", "is_numeric", "n_rows", "non_null", "n_null",
-            "coalesce(n_unique, 0L) as n_unique", "min", "max", "avg",
+            "coalesce(n_unique, 0L) as n_unique", "min", "max", "avg", "lo", "hi",
         )
     )
 
@@ -207,7 +211,7 @@ def dense_key() -> Column:
         F.col("spark_type").isin("tinyint", "smallint", "int", "bigint")
         & (F.col("n_null") == 0)
         & (F.col("non_null") > 0)
-        & (F.col("max") - F.col("min") + 1 == F.col("non_null"))
+        & (F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1 == F.col("non_null"))
     )
 
 
@@ -296,28 +300,22 @@ def profile_digest(stats: DataFrame, top_values: DataFrame, top: int = TOP_VALUE
     return stats.join(listed, ["table", "column"], "left").select("table", "column", line.alias("line"))
 
 
-def _values_between(df: DataFrame, table: str, spans: dict[str, tuple[float, float]]) -> DataFrame:
+def _values_between(df: DataFrame, table: str, spans: dict[str, tuple[float, float] | tuple[int, int]]) -> DataFrame:
     """``table, column, n_unique``: 3 where a value lies strictly inside the span of
     its column, else 2. It settles "three values or more" with no shuffle of values."""
     types = {f.name: f.dataType for f in df.schema.fields}
     found, rows = [], []
     for i, (name, (low, high)) in enumerate(spans.items()):
-        col = f"cast({known_sql(name, types[name])} as double)"
-        found.append(f"'b{i}', bool_or({col} > {_double(low)} and {col} < {_double(high)})")
+        kind, literal = ("bigint", "{0}L") if isinstance(types[name], INTEGRAL) else ("double", "double('{0!r}')")
+        col = f"cast({known_sql(name, types[name])} as {kind})"
+        inside = [f"{col} {sign} {literal.format(end)}" for sign, end in ((">", low), ("<", high))]
+        found.append(f"'b{i}', bool_or({' and '.join(inside)})")
         rows.append(
             f"named_struct('table', {text_literal(table)}, 'column', {text_literal(name)}, 'n_unique', if(m.b{i}, 3L, 2L))"
         )
     return df.agg(F.expr(f"named_struct({', '.join(found)})").alias("m")).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _double(value: float) -> str:
-    return f"double('{value!r}')"
-
-
-# Whole numbers up to here are told apart after a cast to double.
-_EXACT_WHOLE = 2.0**53
-
-
 def column_roles(
     tables: dict[str, DataFrame], max_groups: int = MAX_GROUPS
 ) -> dict[str, tuple[list[str], list[str], int]]:
@@ -355,15 +353,14 @@ def column_roles(
                 continue
             numbers[table].append(name)
             whole = isinstance(kind, INTEGRAL)
-            if whole and row["n_null"] == 0 and row["max"] - row["min"] + 1 == row["non_null"]:
+            low, high = ("lo", "hi") if whole else ("min", "max")
+            if whole and row["n_null"] == 0 and row["hi"] - row["lo"] + 1 == row["non_null"]:
                 dense[table].append(name)
                 exact.append(name)
-            elif not isinstance(kind, FLOATING) and max(abs(row["min"]), abs(row["max"])) >= _EXACT_WHOLE:
-                exact.append(name)
             elif isinstance(kind, T.DecimalType):
                 exact.append(name)
-            elif row["min"] < row["max"]:
-                spans[name] = (row["min"], row["max"])
+            elif row[low] < row[high]:
+                spans[name] = (row[low], row[high])
         # A category without a measure, or the reverse, forms no pair.
         if texts[table] and numbers[table]:
             to_count[table] = exact

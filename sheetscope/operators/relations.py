@@ -19,29 +19,26 @@ def fk_by_prefix(columns: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     ``columns`` has ``table`` and ``column`` and the ``within`` keys that tell
     workbooks apart. The substring test is an equality join: every part of a table
     name is listed once, so the work grows with the catalog and not with the pairs
-    of tables and columns. ``target_exists`` says whether the target has an ``ID``.
+    of tables and columns. Only parts as long as some suffix are listed. ``ID_`` alone
+    refers to nothing. ``target_exists`` says whether the target has an ``ID``.
     """
     within = list(within)
+    suffix = F.substring(F.upper("column"), len(KEY_PREFIX) + 1, 2**31 - 1)
+    prefixed = columns.filter(F.upper("column").startswith(KEY_PREFIX) & (suffix != "")).select(
+        *within, F.col("table").alias("from_table"), F.col("column").alias("from_column"), suffix.alias("_suffix")
+    )
+    lengths = prefixed.agg(F.coalesce(F.collect_set(F.length("_suffix")), F.array().cast("array<int>"))).scalar()
     tables = columns.select(*within, F.col("table").alias("to_table")).distinct()
     name = F.upper("to_table")
     size = F.length(name)
-    parts = F.when(
-        size > 0,
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), size),
-                lambda start: F.transform(
-                    F.sequence(F.lit(1), size - start + 1), lambda length: F.substring(name, start, length)
-                ),
-            )
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    listed = tables.select("*", F.explode(F.array_union(F.array(F.lit("")), parts)).alias("_suffix"))
-    prefixed = columns.filter(F.upper("column").startswith(KEY_PREFIX)).select(
-        *within,
-        F.col("table").alias("from_table"),
-        F.col("column").alias("from_column"),
-        F.substring(F.upper("column"), len(KEY_PREFIX) + 1, 2**31 - 1).alias("_suffix"),
+    parts = F.flatten(
+        F.transform(
+            F.filter("_lengths", lambda length: length <= size),
+            lambda length: F.transform(F.sequence(F.lit(1), size - length + 1), lambda start: F.substring(name, start, length)),
+        )
+    )
+    listed = tables.withColumn("_lengths", lengths).select(
+        *within, "to_table", F.explode(F.array_distinct(parts)).alias("_suffix")
     )
     keys = columns.filter(F.col("column") == KEY_NAME).select(
         *within, F.col("table").alias("to_table"), F.lit(True).alias("_has_key")
@@ -129,15 +126,15 @@ def fk_range_candidates(stats: DataFrame, within: Sequence[str] = ()) -> DataFra
 
     A cheap filter ahead of ``fk_value_overlap``. It works on one row per column.
     """
-    whole = stats.filter(F.col("spark_type").isin("tinyint", "smallint", "int", "bigint") & (F.col("non_null") > 0))
+    whole = stats.filter(F.col("lo").isNotNull())
     keys = [*within, "spark_type"]
     child = whole.select(
         *keys, F.col("table").alias("from_table"), F.col("column").alias("from_column"),
-        F.col("min").alias("child_min"), F.col("max").alias("child_max"),
+        F.col("lo").alias("child_min"), F.col("hi").alias("child_max"),
     )
     parent = whole.filter("n_unique = non_null").select(
         *keys, F.col("table").alias("to_table"), F.col("column").alias("to_column"),
-        F.col("min").alias("parent_min"), F.col("max").alias("parent_max"),
+        F.col("lo").alias("parent_min"), F.col("hi").alias("parent_max"),
     )
     return (
         child.join(parent, keys)

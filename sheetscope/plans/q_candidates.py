@@ -139,6 +139,9 @@ CANDIDATES_CTE = (
         UNION ALL
         SELECT workbook, 3, 0, 'geo', "table", concat_ws(', ', name, longitude, latitude), '', 0.68, 0.83, 'geo_page', 'map',
                'Carte ' || "table", 0.05 + 0.04 FROM geo
+        UNION ALL
+        SELECT workbook, 4, 0, 'narrative', arg_min("table", idx), string_agg(col, ', ' ORDER BY idx), string_agg(idx::VARCHAR, ', ' ORDER BY idx),
+               0.7, 0.75, 'narrative_block', 'markdown', 'Resume analytique', 0.04 + 0.03 FROM reports GROUP BY workbook
     )
 """
 )
@@ -176,6 +179,15 @@ def candidate_trend(t: Tables):
     return _flat(_trend_candidates(t))
 
 
+def _narrative_candidates(t: Tables):
+    return K.narrative_candidates(C.stored(t, C.reports))
+
+
+@query("candidate_narrative", CANDIDATES_CTE + f"SELECT {PUBLIC} FROM every WHERE kind = 'narrative'")
+def candidate_narrative(t: Tables):
+    return _flat(_narrative_candidates(t))
+
+
 @query(
     "candidate_promote",
     CANDIDATES_CTE
@@ -184,11 +196,12 @@ def candidate_trend(t: Tables):
                                      kind_no DESC, idx DESC, source_table DESC) = 1""",
 )
 def candidate_promote(t: Tables):
-    """Cross-tabs come before trends, trends before maps; later ones win ties."""
+    """Cross-tabs come before trends, then maps, then the narrative; later ones win ties."""
     every = (
         _crosstab_candidates(t).withColumn("kind_no", F.lit(1))
         .unionByName(_trend_candidates(t).withColumn("kind_no", F.lit(2)))
         .unionByName(K.geo_candidates(K.geo_columns(C.stored(t, C.columns), ["workbook"])).withColumn("kind_no", F.lit(3)))
+        .unionByName(_narrative_candidates(t).withColumn("kind_no", F.lit(4)))
     )
     return rounded(_flat(K.promote(every, ["kind_no", "idx", "source_table"])), score=6)
 

@@ -15,7 +15,7 @@ PREFIX_CTE = """
                EXISTS (SELECT 1 FROM cols k WHERE k.workbook = c.workbook AND k."table" = t."table" AND k."column" = 'ID') AS target_exists
         FROM cols c JOIN (SELECT DISTINCT workbook, "table" FROM cols) t
           ON t.workbook = c.workbook AND contains(upper(t."table"), substr(upper(c."column"), 4))
-        WHERE starts_with(upper(c."column"), 'ID_')
+        WHERE starts_with(upper(c."column"), 'ID_') AND upper(c."column") <> 'ID_'
     ),
     name_fk AS (
         SELECT a.workbook, a."table" AS from_table, a."column" AS from_column, b."table" AS to_table, b."column" AS to_column,
@@ -89,7 +89,7 @@ def fk_value_overlap(t: Tables):
     f"""
     WITH stats AS ({stats_sql()}), whole AS (SELECT * FROM stats WHERE spark_type IN ('int', 'bigint') AND non_null > 0)
     SELECT c."table" AS from_table, c."column" AS from_column, p."table" AS to_table, p."column" AS to_column,
-           c.min AS child_min, c.max AS child_max, p.min AS parent_min, p.max AS parent_max
+           c.min::BIGINT AS child_min, c.max::BIGINT AS child_max, p.min::BIGINT AS parent_min, p.max::BIGINT AS parent_max
     FROM whole c JOIN whole p ON c.spark_type = p.spark_type AND c."table" <> p."table"
          AND c.min >= p.min AND c.max <= p.max AND p.n_unique = p.non_null
     """,
@@ -102,20 +102,17 @@ def fk_range_candidates(t: Tables):
     "fk_orphans",
     """
     SELECT 'child' AS side, l_orderkey AS key, count(*) AS n_rows FROM lineitem
-    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 2
+    WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 2
     UNION ALL
-    SELECT 'parent', o_orderkey, count(*) FROM orders
-    WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 2
+    SELECT 'parent', o_orderkey, count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 2
     """,
 )
 def fk_orphans(t: Tables):
-    """Pending orders are taken away, so that line items lose their parent."""
-    return R.fk_orphans(t.lineitem, "l_orderkey", t.orders.filter("o_orderstatus <> 'P'"), "o_orderkey")
+    """Line items without an order, and orders without a line item."""
+    return R.fk_orphans(t.lineitem, "l_orderkey", t.orders, "o_orderkey")
 
 
-@query(
-    "fk_orphan_rows",
-    "SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
-)
+@query("fk_orphan_rows", "SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def fk_orphan_rows(t: Tables):
-    return R.orphan_rows(t.lineitem, "l_orderkey", t.orders.filter("o_orderstatus <> 'P'"), "o_orderkey")
+    """Documents without a label."""
+    return R.orphan_rows(t.documents, "doc_id", t.labels, "doc_id")

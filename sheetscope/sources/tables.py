@@ -14,7 +14,7 @@ PROFILE_SCHEMAS = {
     "columns": "table string, position int, column string, spark_type string, logical_type string, is_numeric boolean",
     "stats": (
         "table string, position int, column string, spark_type string, is_numeric boolean, n_rows bigint, "
-        "non_null bigint, n_null bigint, n_unique bigint, min double, max double, avg double"
+        "non_null bigint, n_null bigint, n_unique bigint, min double, max double, avg double, lo bigint, hi bigint"
     ),
     "top_values": "table string, column string, rank int, value string, n bigint",
     "fk": "from_table string, from_column string, to_table string, to_column string, rule string",

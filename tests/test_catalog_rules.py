@@ -160,7 +160,7 @@ def test_report_rules(rows):
     found = I.report(insights).orderBy("idx").collect()
     assert [r["finding"] for r in found] == ["f0", "f5", "f1", "f6", "f2"]
     assert {r["seq"]: r["reason"] for r in I.rejects(insights).collect()} == {
-        20: "unknown type", 21: "priority out of range", 22: "unknown type",
+        20: "unknown type", 21: "priority out of range", 22: "unknown type", **dict.fromkeys([3, 4, 7, 8], "report is full"),
     }
     digest = I.digest(I.report(insights)).first()["digest"]
     assert digest.split("\n")[0] == "- **t / c** : f0" and len(digest.split("\n")) == 5
@@ -209,6 +209,23 @@ def test_candidates_and_promotion(rows):
     assert best["kind"] in ("trend", "cross_tab") and best["premium_widget"] == "advanced_chart"
 
 
+def test_the_narrative_wins_over_an_unmatched_summary(rows):
+    reports = rows([(1, 0, "kpi", "Ventes", "Total", "f0", 3), (1, 1, "trend", "Ventes", "Jour", "f1", 5)], REPORT)
+    crosstabs = rows(
+        [(1, 0, "Corr_Sites_Ville_Prix", "Sites", "Ville", "Prix")],
+        "workbook int, position int, name string, source_table string, group_by string, metric string",
+    )
+    columns = rows([(1, "Ventes", 0, "Total", True)], "workbook int, table string, position int, column string, is_numeric boolean")
+    every = (
+        K.crosstab_candidates(crosstabs, reports)
+        .unionByName(K.trend_candidates(reports, columns))
+        .unionByName(K.narrative_candidates(reports))
+    )
+    best = K.promote(every, ["kind", "idx"]).first()
+    assert (best["kind"], best["source_table"], best["source_columns"]) == ("narrative", "Ventes", ["Total", "Jour"])
+    assert best["score"] == pytest.approx(0.785)
+
+
 def test_one_column_for_both_axes_is_no_map(rows):
     columns = rows([("T", 0, "latlong", True), ("T", 1, "Nom", False)], "table string, position int, column string, is_numeric boolean")
     assert K.geo_columns(columns).count() == 0

@@ -1,6 +1,6 @@
-import pytest
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetscope.operators import crosstab as X
@@ -152,3 +152,16 @@ def test_tables_are_read_from_csv_and_json(spark, workbook, tmp_path):
         back = read_tables(spark, str(tmp_path / format), format=format)
         assert set(back) == set(workbook)
         assert back["Employes"].agg(F.sum("Salaire")).first()[0] == 180000
+
+
+def test_keys_beyond_double_precision(spark):
+    base = 2**53 + 1
+    df = spark.createDataFrame([(base + i, float(i)) for i in range(4)], "k bigint, v double")
+    gaps = spark.createDataFrame([(base + 3 * i,) for i in range(4)], "k bigint")
+    stats = P.profile_stats({"t": df, "g": gaps})
+    found = {(r["table"], r["column"]): r["identifier"] for r in P.identifier_like(stats).collect()}
+    assert found == {("t", "k"): True, ("t", "v"): False, ("g", "k"): False}
+    assert "k" not in P.column_roles({"t": df.withColumn("c", F.when(F.col("v") > 1, "a").otherwise("b"))})["t"][1]
+    wider = spark.createDataFrame([(base + i,) for i in range(1, 6)], "k bigint")
+    edges = R.fk_range_candidates(P.profile_stats({"t": df, "w": wider}))
+    assert edges.count() == 0
