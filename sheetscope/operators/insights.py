@@ -90,57 +90,74 @@ def sigma_outliers(df: DataFrame, measure: str, by: Sequence[str], k: float = 3.
     return joined.filter(F.abs(F.col(measure) - F.col("mean")) > k * F.col("spread"))
 
 
+#: Parts into which a quantile's bracket is cut in one round.
+QUANTILE_BINS = 256
+
+
 def quantiles(df: DataFrame, measure: str, by: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated quantiles per group: ``by..., p, quantile``.
 
-    The built-in exact percentile holds all values of a group in one task. Here a
-    sketch gives a narrow bracket around each quantile; one more pass counts the
-    rows below the bracket and keeps only the few distinct values inside it.
+    The built-in exact percentile holds all values of a group in one task. Here each
+    order statistic has a bracket of values, at first from a sketch. A round counts the
+    rows below, inside and above it, cut into bins, and the bin that holds the wanted
+    rank is the next bracket, until it holds one value. Rounds are sums that combine in
+    the task; no values are put in order, whatever their number.
     """
     by = list(by)
     slack = 5.0 / accuracy
     grid = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)]
     rows = filled(df, measure).select(*by, F.expr(f"cast({quoted(measure)} as double) as v"))
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
-        F.percentile_approx("v", grid, accuracy).alias("grid"),
-    )
-    brackets = []
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", grid, accuracy).alias("grid"))
+    targets = []
     for i, p in enumerate(probabilities):
-        # In a small group the slack is less than one rank, so all its values count.
-        low, high = F.col("lowest"), F.col("highest")
-        if p - slack > 0:
-            low = F.when(F.col("n") <= accuracy, low).otherwise(F.element_at("grid", 2 * i + 1))
-        if p + slack < 1:
-            high = F.when(F.col("n") <= accuracy, high).otherwise(F.element_at("grid", 2 * i + 2))
-        brackets.append(F.struct(F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high")))
-    bracketed = sketch.select(*by, "n", F.array(*brackets).alias("brackets"))
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        for side, rank in (("below", F.floor(place)), ("above", F.ceil(place))):
+            bounds = F.element_at("grid", 2 * i + 1).alias("low"), F.element_at("grid", 2 * i + 2).alias("high")
+            targets.append(F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"), rank.alias("rank"), *bounds))
+    brackets = cut_lineage(sketch.filter("n > 0").select(*by, "n", F.lit(False).alias("found"), F.inline(F.array(*targets))))
+    while not (left := brackets.filter("not found")).isEmpty():
+        brackets = cut_lineage(brackets.filter("found").unionByName(_narrowed(rows, left, by)))
+    value = lambda side: F.max(F.when(F.col("side") == side, F.col("low")))
+    fraction = F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1))
+    return (
+        brackets.groupBy(*by, "n", "p")
+        .agg(value("below").alias("below"), value("above").alias("above"))
+        .select(*by, "p", (F.col("below") + (F.col("above") - F.col("below")) * fraction).alias("quantile"))
+    )
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets after one more round. The ends of a bracket are bins of their own, so it shrinks."""
+    entry = F.struct("n", "p", "side", "rank", "low", "high")
+    wanted = brackets.groupBy(*by).agg(F.collect_list(entry).alias("targets"))
     if by:
         same = [F.col(f"r.{name}").eqNullSafe(F.col(f"b.{name}")) for name in by]
-        met = rows.alias("r").join(bracketed.alias("b"), same).select("r.*", "b.n", "b.brackets")
+        met = rows.alias("r").join(wanted.alias("b"), same).select("r.*", "b.targets")
     else:
-        met = rows.withColumn("_b", bracketed.select(F.struct("n", "brackets")).scalar()).select("v", "_b.*")
-    paired = met.select(*by, "v", "n", F.inline("brackets"))
+        met = rows.withColumn("targets", wanted.select("targets").scalar())
+    v, low, high = F.col("v"), F.col("low"), F.col("high")
+    share = F.nanvl((v / 2 - low / 2) / (high / 2 - low / 2), F.lit(0.0))
+    inner = F.lit(2) + F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).cast("int")
+    place = F.when(v < low, 0).when(v == low, 1).when(v < high, inner).when(v == high, QUANTILE_BINS + 2).otherwise(QUANTILE_BINS + 3)
+    keys = [*by, "n", "p", "side", "rank"]
     counted = (
-        paired.filter("v <= high")
-        .select(*by, "n", "p", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
-        .groupBy(*by, "n", "p", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    running = W.partitionBy(*by, "p").orderBy(F.col("v").asc_nulls_first())
-    placed = counted.withColumn("upto", F.sum("c").over(running.rowsBetween(W.unboundedPreceding, 0)))
-    # Zero-based ranks of the two order statistics that the quantile lies between.
-    place = F.col("p") * (F.col("n") - 1)
-    at_or_after = lambda rank: F.min(F.when(F.col("upto") > rank, F.struct("upto", "v"))).getField("v")
-    picked = placed.groupBy(*by, "n", "p").agg(
-        at_or_after(F.floor(place)).alias("below"), at_or_after(F.ceil(place)).alias("above")
-    )
-    fraction = place - F.floor(place)
-    found = F.col("below") + (F.col("above") - F.col("below")) * fraction
-    missed = F.col("below").isNull() | F.col("above").isNull()
-    return picked.select(
-        *by, "p", F.when(missed, F.raise_error("quantile outside its bracket")).otherwise(found).alias("quantile")
+        met.select(*by, "v", F.inline("targets"))
+        .groupBy(*keys, place.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
+    # A target has as many rows here as there are bins.
+    bins = F.array_sort(F.collect_list(F.struct("bin", "c", "low", "high")))
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), none.alias("low"), none.alias("high"))
+
+    def step(state, own):
+        upto = state["seen"] + own["c"]
+        holds = (state["seen"] <= F.col("rank")) & (F.col("rank") < upto)
+        kept = [F.when(holds, own[end]).otherwise(state[end]).alias(end) for end in ("low", "high")]
+        return F.struct(upto.alias("seen"), *kept)
+
+    picked = counted.groupBy(*keys).agg(bins.alias("bins")).withColumn("best", F.aggregate("bins", start, step))
+    return picked.select(*by, "n", (F.col("best.low") == F.col("best.high")).alias("found"), "p", "side", "rank", "best.low", "best.high")
 
 
 def fence_outliers(df: DataFrame, measure: str, by: Sequence[str], k: float = 1.5) -> DataFrame:
