@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,6 @@ ROUNDS = 1
 WHOLE = 0.9
 #: So many of the most frequent words are broadcast with their counts; the rest are joined.
 FREQUENT = 100_000
-#: A worker remembers so many words' sums before it forgets them.
-REMEMBERED = 400_000
 START = "▁"
 LN10 = math.log(10)
 
@@ -49,10 +47,6 @@ class Pieces:
     end: int
     logs: list[float]
     longest: int
-    _memory: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return self.__dict__ | {"_memory": {}}
 
     def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """By end position: ``(begin, log probability, pieces)`` of every piece that ends there."""
@@ -70,8 +64,19 @@ class Pieces:
         return out
 
     def log_sum(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations."""
-        return self.forward(self.arcs(word))[-1]
+        """Natural log of the summed probability of all segmentations: the forward recursion."""
+        text, alpha, get, logs, exp = START + word, [0.0], self.number.get, self.logs, math.exp
+        for end in range(1, len(text) + 1):
+            terms = []
+            for begin in range(max(0, end - self.longest), end):
+                p = get(text[begin:end])
+                if p is not None:
+                    terms.append(alpha[begin] + logs[p])
+                elif begin == end - 1:
+                    terms.append(alpha[begin] + sum(logs[self.bytes_at + b] for b in text[begin].encode("utf-8", "replace")))
+            most = max(terms)
+            alpha.append(most + math.log(sum([exp(t - most) for t in terms])) if len(terms) > 1 else most)
+        return alpha[-1]
 
     @staticmethod
     def forward(arcs: list) -> list[float]:
@@ -100,15 +105,6 @@ class Pieces:
                 low, high = sorted((beta[begin], through))
                 beta[begin] = high + math.log1p(math.exp(low - high)) if low > -math.inf else high
 
-    def word_log10(self, word: bytes) -> float:
-        """log10 of the summed probability, remembered."""
-        found = self._memory.get(word)
-        if found is None:
-            if len(self._memory) > REMEMBERED:
-                self._memory.clear()
-            found = self._memory[word] = self.log_sum(word.decode()) / LN10
-        return found
-
 
 def load_pieces(path: str = VOCABULARY) -> Pieces:
     """Read a sentencepiece file. The n-th best piece starts at a probability of 1/n."""
@@ -168,13 +164,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LanguageModel:
-    """Pieces, the training words' total and variety, and the most frequent words' counts."""
+    """Pieces, and the training words' total and variety; ``texts`` is how many ends they hold."""
 
     pieces: Pieces
     tokens: int
     variety: int
     texts: int
-    frequent: dict[bytes, int]
 
 
 def base_log10(c: int, tokens: int, variety: int) -> float:
@@ -182,63 +177,79 @@ def base_log10(c: int, tokens: int, variety: int) -> float:
     return math.log10((c + 1) / (tokens + variety + 1))
 
 
-def train(docs: DataFrame, path: str = VOCABULARY, frequent: int = FREQUENT) -> tuple[LanguageModel, DataFrame]:
+def train(docs: DataFrame, path: str = VOCABULARY) -> tuple[LanguageModel, DataFrame]:
     """The model of ``docs`` and the table of all word counts, which stays distributed."""
     words = cut_lineage(count_words(docs))
     texts = docs.count()
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).collect()
     pieces = reestimate(load_pieces(path), words, texts)
-    known = {bytes(r["word"]): r["n"] for r in top}
-    return LanguageModel(pieces, total["n"] + texts, total["v"] + (texts > 0), texts, known), words
+    return LanguageModel(pieces, total["n"] + texts, total["v"] + (texts > 0), texts), words
+
+
+def weigh_words(docs: DataFrame, model: LanguageModel, words: DataFrame) -> DataFrame:
+    """``word``, ``times`` (in ``docs``), ``c`` (in training) and ``lattice`` (log10 of its
+    sum) of every word of ``docs``; each word's lattice is summed once."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.pieces)
+
+    def weigh(batch: pa.RecordBatch) -> dict[str, list]:
+        sums = [shared.value.log_sum(w.decode()) / LN10 for w in batch.column(0).to_pylist()]
+        return {"word": batch.column(0), "times": batch.column(1), "c": batch.column(2), "lattice": sums}
 
+    own = count_words(docs).withColumnRenamed("n", "times").join(words, "word", "left")
+    own = own.select("word", "times", F.coalesce("n", F.lit(0)).alias("c"))
+    return cut_lineage(per_batch(own, weigh, "word binary, times bigint, c bigint, lattice double"))
 
-def score_documents(docs: DataFrame, model: LanguageModel, words: DataFrame) -> DataFrame:
-    """``row`` (all columns), ``n_tokens``, ``n_known``, ``base_score``, ``score``.
+
+def score_documents(
+    docs: DataFrame, model: LanguageModel, words: DataFrame, frequent: int = FREQUENT, carried: list[str] | None = None
+) -> DataFrame:
+    """``row`` (the ``carried`` columns, else all), ``n_tokens``, ``n_known``, ``base_score``, ``score``.
 
     Tokens are the words of the lower-cased (A-Z) text, and its end; a null text is
-    empty and has the end alone. Frequent words are scored where they are read, with
-    their broadcast counts. A document's other words are summed up, written out with the
-    document's number, and joined with all word counts; none of them is frequent enough
-    to be a hot key unless training never saw it, and adaptive execution splits such a one.
+    empty and has the end alone. The ``frequent`` most frequent words are scored where
+    they are read, from a broadcast of that many rows. A document's other words are
+    written out with the document's number and joined with the table of all words; none
+    of these is frequent enough to be a hot key.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    weighed = weigh_words(docs, model, words)
+    top = weighed.orderBy(F.desc("times"), "word").limit(frequent).collect()
+    known_words = {bytes(r["word"]): (r["c"], r["lattice"]) for r in top}
+    shared = docs.sparkSession.sparkContext.broadcast((model, _weights(known_words, model)))
+    rows = docs.select(F.struct(*(carried or docs.columns)).alias("row"), "text")
 
     def read(batch: pa.RecordBatch) -> dict[str, list]:
-        own = shared.value
-        n, v, get, lattice = own.tokens, own.variety, own.frequent.get, own.pieces.word_log10
+        own, weights = shared.value
         end = own.pieces.logs[own.pieces.end] / LN10
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
-        for text in batch.column(0).field("text").to_pylist():
+        for text in batch.column(1).to_pylist():
             tokens = Counter(lowered(text).split())
-            known, base, score, rare = min(own.texts, 1), base_log10(own.texts, n, v), end, []
+            known, base, score, rare = min(own.texts, 1), base_log10(own.texts, own.tokens, own.variety), end, []
             for word, times in tokens.items():
-                c = get(word)
-                if c is None:
-                    rare.append({"word": word, "times": times, "lattice": lattice(word)})
+                weight = weights.get(word)
+                if weight is None:
+                    rare.append({"word": word, "times": times})
                 else:
-                    known += times
-                    base += times * base_log10(c, n, v)
-                    score += times * math.log10(WHOLE * c / n + (1 - WHOLE) * 10 ** lattice(word))
+                    known += times * weight[0]
+                    base += times * weight[1]
+                    score += times * weight[2]
             for name, value in zip(out, (sum(tokens.values()) + 1, known, base, score, rare)):
                 out[name].append(value)
         return out | {"row": batch.column(0)}
 
     numbers = "n_tokens bigint, n_known bigint, base_score double, score double"
-    read_schema = schema_with(rows, f"{numbers}, rare array<struct<word:binary,times:bigint,lattice:double>>")
+    read_schema = schema_with(rows.select("row"), f"{numbers}, rare array<struct<word:binary,times:bigint>>")
     first = cut_lineage(per_batch(rows, read, read_schema).withColumn("number", F.monotonically_increasing_id()))
 
-    c, lattice = F.coalesce("n", F.lit(0)), F.col("lattice")
-    arc = F.when(c > 0, F.log10(F.lit(WHOLE) * c / model.tokens + F.lit(1 - WHOLE) * F.pow(F.lit(10.0), lattice)))
+    c, lattice = F.col("c"), F.col("lattice")
+    arc = F.log10(F.lit(WHOLE) * c / max(model.tokens, 1) + F.lit(1 - WHOLE) * F.pow(F.lit(10.0), lattice))
     rare = (
-        first.select("number", F.inline("rare"))
-        .join(words, "word", "left")
+        first.select("number", F.inline("rare").alias("word", "n"))
+        .join(weighed.select("word", "c", "lattice"), "word")
         .groupBy("number")
         .agg(
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"),
-            F.sum(F.col("times") * F.log10((c + 1) / F.lit(model.tokens + model.variety + 1))).alias("b"),
-            F.sum(F.col("times") * F.coalesce(arc, F.lit(math.log10(1 - WHOLE)) + lattice)).alias("s"),
+            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("k"),
+            F.sum(F.col("n") * F.log10((c + 1) / F.lit(model.tokens + model.variety + 1))).alias("b"),
+            F.sum(F.col("n") * F.when(c > 0, arc).otherwise(F.lit(math.log10(1 - WHOLE)) + lattice)).alias("s"),
         )
     )
     zero = lambda name: F.coalesce(name, F.lit(0))
@@ -251,12 +262,21 @@ def score_documents(docs: DataFrame, model: LanguageModel, words: DataFrame) ->
     )
 
 
+def _weights(words: dict[bytes, tuple[int, float]], model: LanguageModel) -> dict[bytes, tuple[int, float, float]]:
+    """Per word: whether training knows it, its base score and the model's."""
+    out = {}
+    for word, (c, lattice) in words.items():
+        own = math.log10(WHOLE * c / model.tokens + (1 - WHOLE) * 10**lattice) if c else math.log10(1 - WHOLE) + lattice
+        out[word] = int(c > 0), base_log10(c, model.tokens, model.variety), own
+    return out
+
+
 def language_report(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """One row per document: fold, token counts, the unigram base score and the model's."""
     own = docs.select("doc_id", "text")
     model, words = train(own.filter(crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT), path)
     doc_id = F.col("row.doc_id")
-    return score_documents(own, model, words).select(
+    return score_documents(own, model, words, carried=["doc_id"]).select(
         doc_id.alias("doc_id"),
         (crc_remainder(doc_id, FOLDS) == HELD_OUT).alias("held_out"),
         "n_tokens",

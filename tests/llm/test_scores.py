@@ -128,11 +128,11 @@ def test_base_scores_against_brute_force(spark, frequent):
     texts = [" ".join(rng.choice(["the", "The", "thing", "été", "x1", "q\x0bz", "日"]) for _ in range(rng.randint(0, 9))) for _ in range(50)] + [None]
     docs = documents(spark, [(i, t, None) for i, t in enumerate(texts)])
     train = docs.filter("doc_id % 2 = 0")
-    model, words = lattice.train(train, frequent=frequent)
+    model, words = lattice.train(train)
     counts = Counter(w for t in texts[::2] for w in (t or "").encode().lower().split())
     n, v = sum(counts.values()) + len(texts[::2]), len(counts) + 1
     assert (model.tokens, model.variety) == (n, v)
-    for r in lattice.score_documents(docs, model, words).collect():
+    for r in lattice.score_documents(docs, model, words, frequent).collect():
         own = [counts[w] for w in (r["row"]["text"] or "").encode().lower().split()] + [len(texts[::2])]
         assert math.isclose(r["base_score"], sum(math.log10((c + 1) / (n + v + 1)) for c in own), rel_tol=1e-9)
         assert r["n_tokens"] == len(own) and r["n_known"] == sum(c > 0 for c in own)
