@@ -17,12 +17,16 @@ from sheetscope.plans.base import Tables
 from sheetscope.session import cut_lineage
 
 
+# Catalogs written so far, by application, folder and builder.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def stored(t: Tables, build) -> DataFrame:
-    """A catalog that a query reads several times: computed once and written out."""
-    kept = t.__dict__.setdefault("_stored", {})
-    if build not in kept:
-        kept[build] = cut_lineage(build(t))
-    return kept[build]
+    """A catalog that queries read several times: computed once a session and written out."""
+    key = t.spark.sparkContext.applicationId, t.root, build.__name__
+    if key not in _WRITTEN:
+        _WRITTEN[key] = cut_lineage(build(t))
+    return _WRITTEN[key]
 
 
 def _sheet():
