@@ -19,6 +19,10 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 KEY = ("_k0", "_k1")
 
+#: A Python worker takes Arrow batches apart into slices of about so many bytes, so that
+#: what it makes of them stays small. One row is never cut.
+SLICE_BYTES = 6_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -61,9 +65,16 @@ def partitions(spark: SparkSession) -> int:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` on workers that have this package."""
+    """``mapInArrow`` on workers that have this package, in slices of ``SLICE_BYTES``."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(_sliced(batches)), schema)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, SLICE_BYTES)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def per_batch(

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.llm.common import crc_remainder, lowered, per_batch, schema_with
+from sheetscope.llm.common import crc_remainder, in_arrow, lowered, per_batch, schema_with
 from sheetscope.session import cut_lineage
 
 FOLDS, HELD_OUT = 7, 2
@@ -30,6 +31,8 @@ ROUNDS = 1
 WHOLE = 0.9
 #: So many of the most frequent words are broadcast with their counts; the rest are joined.
 FREQUENT = 100_000
+#: Words that a task counts before it hands the counts on.
+HELD = 300_000
 START = "▁"
 LN10 = math.log(10)
 
@@ -151,15 +154,26 @@ def reestimate(pieces: Pieces, words: DataFrame, texts: int, rounds: int = ROUND
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """``word`` and ``n``: its count in all texts, added up in each batch first."""
+    """``word`` and ``n``: its count in all texts, added up in each task first.
 
-    def count(batch: pa.RecordBatch) -> dict[str, list]:
+    A task hands its counts on whenever it holds ``HELD`` words.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            total.update(lowered(text).split())
-        return {"word": list(total), "n": list(total.values())}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total.update(lowered(text).split())
+            if len(total) > HELD:
+                yield _counted(total)
+                total = Counter()
+        yield _counted(total)
+
+    return in_arrow(docs.select("text"), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    return per_batch(docs.select("text"), count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def _counted(total: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
 
 @dataclass

@@ -31,7 +31,7 @@ GRAM = 32
 #: A smallest hash of so many segments, and of a ten-thousandth of all, is common.
 COMMON, SHARE = 64, 10_000
 #: A shard orders the suffixes of about so many bytes at once, a common hash's at a time.
-AT_ONCE = 16_000_000
+AT_ONCE = 2_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -33,7 +33,7 @@ GAP, SPAN, FLOOR, POWER = 0.6, 9, 0.4, 3
 #: Longer tokens are read in overlapping pieces of this many bytes.
 PIECE = 16
 #: A worker remembers so many tokens' weights before it forgets the oldest.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _DIGITS = bytes.maketrans(b"0134578", b"oieastb")
 _DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalnum())
