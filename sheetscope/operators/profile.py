@@ -25,9 +25,6 @@ UNIQUE_SHARE = 0.9
 # Name parts that mark an identifier.
 IDENTIFIER_WORDS = ("id", "code", "uuid", "matricule")
 
-# A text longer than this is counted by its digest, so the shuffle stays narrow.
-_LONG_TEXT = 64
-
 
 def _hash_bits_sql(col: str, words: int) -> tuple[str, str]:
     """Aggregates and final expression of a bitmap of hashed values.
@@ -109,7 +106,7 @@ def _frequencies(
             elif isinstance(field.dataType, FLOATING):
                 kind, col = "double", f"cast({col} as double)"
             elif digest and isinstance(field.dataType, T.StringType):
-                col = f"if(octet_length({col}) > {_LONG_TEXT}, concat('sha:', sha2({col}, 256)), {col})"
+                col = f"unhex(sha2({col}, 256))"
             cells.setdefault(kind, []).append((text_literal(field.name), col))
         for kind, pairs in cells.items():
             if len(pairs) == 1:
@@ -126,8 +123,8 @@ def _frequencies(
 def profile_distinct(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """``table, column, n_unique``: exact distinct known values.
 
-    Columns that hold no value at all have no row. Long texts are told apart by
-    their SHA-256, so the shuffle carries 68 bytes and not the text.
+    Columns that hold no value at all have no row. Texts are told apart by their
+    SHA-256, so the shuffle carries 32 bytes and not the text.
     """
     return union_all(
         [
