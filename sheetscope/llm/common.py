@@ -19,6 +19,10 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 KEY = ("_k0", "_k1")
 
+#: Spark hands 64 MB of rows to a worker at once unless the session says otherwise; each
+#: task then holds them twice, outside the heap and in the worker. Here it is 8 MB.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: A Python worker takes Arrow batches apart into slices of about so many bytes, so that
 #: what it makes of them stays small. One row is never cut.
 SLICE_BYTES = 6_000_000
@@ -66,7 +70,10 @@ def partitions(spark: SparkSession) -> int:
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` on workers that have this package, in slices of ``SLICE_BYTES``."""
-    ship_package(df.sparkSession)
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_BYTES, None) in (None, "67108864b"):  # Spark's own default
+        spark.conf.set(BATCH_BYTES, "8m")
     return df.mapInArrow(lambda batches: run(_sliced(batches)), schema)
 
 

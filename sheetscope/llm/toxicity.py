@@ -32,8 +32,10 @@ THRESHOLD = 0.7
 GAP, SPAN, FLOOR, POWER = 0.6, 9, 0.4, 3
 #: Longer tokens are read in overlapping pieces of this many bytes.
 PIECE = 16
+#: Tokens whose triples are laid out at once; a long one has hundreds.
+AT_ONCE = 256
 #: A worker remembers so many tokens' weights before it forgets the oldest.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _DIGITS = bytes.maketrans(b"0134578", b"oieastb")
 _DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -112,8 +114,8 @@ class Kernel:
                 by_length.setdefault(len(t), []).append(t)
         out: dict[bytes, np.ndarray] = {}
         for length, own in by_length.items():
-            for i in range(0, len(own), 2048):
-                out.update(self._some(own[i : i + 2048], length))
+            for i in range(0, len(own), AT_ONCE):
+                out.update(self._some(own[i : i + AT_ONCE], length))
         return out
 
     def _some(self, tokens: list[bytes], length: int) -> dict[bytes, np.ndarray]:
