@@ -210,8 +210,9 @@ def _ranges(held: dict, arrow: pa.Schema, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``KEY`` and ``spans``: per text the byte ranges of its repeated windows, unmerged.
+def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """``KEY`` and ``spans``: per text the byte ranges of its repeated windows, unmerged;
+    and the table of the texts that may have any (``KEY``, ``text``).
 
     Only segments whose hash occurs twice are taken out of their texts. Copies of one
     segment meet as one string per task; its other holders are told the outcome by a
@@ -262,7 +263,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own = per_batch(holders, members, f"{KEY[0]} bigint, {KEY[1]} bigint, a int, s0 bigint, s1 bigint").join(found, ["s0", "s1"])
     span = F.transform("ranges", lambda r: F.struct((F.col("a") + r["a"]).alias("start"), (F.col("a") + r["b"] + length - 1).alias("end")))
     # A text's spans are fewer than its windows.
-    return own.select(*KEY, span.alias("s")).groupBy(*KEY).agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = own.select(*KEY, span.alias("s")).groupBy(*KEY).agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return spans, holders.select(*KEY, "text")
 
 
 def merged(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
@@ -276,6 +278,13 @@ def merged(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
     return out
 
 
+def _cut(data: bytes, spans: list[dict[str, int]] | None) -> tuple[list[tuple[int, int]], bytes]:
+    """The removed runs, and the bytes that are kept."""
+    runs = merged(spans)
+    edges = [0, *(x for run in runs for x in run), len(data)]
+    return runs, b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def cut_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``row`` (all columns), ``n_bytes``, ``removed`` (byte spans) and ``kept`` (bytes).
 
@@ -283,18 +292,18 @@ def cut_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts that are null, empty or shorter than that lose nothing. Rows that repeat id and
     text are one document: they are not each other's repeats and get the same result.
     """
-    spans = repeated_bytes(docs, length)
+    spans, _ = repeated_bytes(docs, length)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.col("text"))).join(spans, [*KEY], "left")
     own = rows.select("row", "spans")
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:
         sizes, removed, kept = [], [], []
         for text, found in zip(batch.column(0).field("text").to_pylist(), batch.column(1).to_pylist()):
-            data, runs = (text or "").encode(), merged(found)
-            edges = [0, *(x for run in runs for x in run), len(data)]
+            data = (text or "").encode()
+            runs, left = _cut(data, found)
             sizes.append(len(data))
             removed.append([{"start": a, "end": b} for a, b in runs])
-            kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
+            kept.append(left)
         return {"row": batch.column(0), "n_bytes": sizes, "removed": removed, "kept": kept}
 
     extra = T._parse_datatype_string("n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary").fields
@@ -302,12 +311,31 @@ def cut_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def suffix_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per document: bytes, removed bytes and runs, digest of what is kept."""
-    found = cut_repeated(docs.select("doc_id", "text"), length)
-    return found.select(
-        F.col("row.doc_id").alias("doc_id"),
+    """One row per document: bytes, removed bytes and runs, digest of what is kept.
+
+    Only texts that may lose something are joined with their spans; the others keep the
+    digest of the whole, and travel without their text.
+    """
+    spans, holders = repeated_bytes(docs, length)
+
+    def cut(batch: pa.RecordBatch) -> dict[str, list]:
+        out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}
+        for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            runs, kept = _cut(text.encode(), found)
+            out["n_removed"].append(sum(b - a for a, b in runs))
+            out["n_spans"].append(len(runs))
+            out["kept"].append(hashlib.sha256(kept).hexdigest())
+        return {KEY[0]: batch.column(0), KEY[1]: batch.column(1)} | out
+
+    schema = f"{KEY[0]} bigint, {KEY[1]} bigint, n_removed bigint, n_spans bigint, kept string"
+    losing = per_batch(holders.join(spans, [*KEY]).select(*KEY, "text", "spans"), cut, schema).dropDuplicates([*KEY])
+    text = F.coalesce("text", F.lit(""))
+    whole = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    none = F.lit(0).cast("bigint")
+    return whole.join(losing, [*KEY], "left").select(
+        "doc_id",
         "n_bytes",
-        F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
-        F.size("removed").cast("bigint").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept", "whole").alias("kept_sha256"),
     )

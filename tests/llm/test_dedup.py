@@ -152,6 +152,10 @@ def test_repeated_bytes_against_brute_force(spark, monkeypatch, common):
 
 def test_suffix_operator_on_awkward_rows(spark):
     docs = awkward(spark)
+    cut = suffixes.cut_repeated(docs)
+    assert cut.select("row.*").columns == docs.columns
+    kept = sorted((str(r["row"]["doc_id"]), r["n_bytes"], len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in cut.collect())
+    assert kept == sorted((str(r["doc_id"]), r["n_bytes"], r["n_spans"], r["kept_sha256"]) for r in suffixes.suffix_report(docs).collect())
     assert suffixes.suffix_report(docs).count() == docs.count()
     assert suffixes.suffix_report(documents(spark, [])).count() == 0
 
