@@ -1,7 +1,9 @@
 """Substring deduplication over sliding sentence spans.
 
-Every run of several consecutive sentences is hashed, the hashes are joined over all
-documents, and the sentences covered by a run that is not its first occurrence go.
+The run of ``SENTENCES`` sentences from every start is hashed, the hashes are joined over
+all documents, and the sentences covered by a run that is not its first occurrence go.
+Where a longer run occurs again, so does each run within it: the sentences that go are
+those of all repeated runs, whatever their length.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from sheetscope.llm.common import KEY, WORD, per_batch, row_key, schema_with
 from sheetscope.session import cut_lineage
 
 SENTENCES = 2
-WORDS = 20
+#: Words a run needs; short repeats are repeats too.
+WORDS = 0
 _PIECE = re.compile(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
 
@@ -30,8 +33,9 @@ def sentences_of(text: str | None) -> list[tuple[bytes, list[bytes]]]:
 def runs_of(text: str | None, sentences: int, words: int) -> list[tuple[int, int, int, int]]:
     """``(place, length, hash, hash)`` of each run, places counting sentences with words.
 
-    A run is the shortest that has ``sentences`` sentences and ``words`` words at least,
-    so that equal passages are cut into equal runs whatever stands around them.
+    A run is the shortest that has ``sentences`` sentences and ``words`` words at least.
+    With ``words`` above 0 runs of few words grow, the last ones of a passage into the text
+    behind it, so that the end of a repeated passage may stay.
     """
     own = [w for _, w in sentences_of(text) if w]
     joined = [b" ".join(w) for w in own]

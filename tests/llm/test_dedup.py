@@ -95,6 +95,30 @@ def test_sentence_repeats_against_brute_force(spark):
     assert {r["row"]["doc_id"]: r["n_removed"] for r in found} == {i: len(s) for i, s in expected.items()}
 
 
+def test_every_repeated_run_of_sentences_goes(spark):
+    long = [" ".join(f"{w}{i}" for i in range(15)) + ". " for w in "ab"]
+    passage = "".join(long) + "three short words. "
+    rows = [(1, "Own start here. " + passage + "Own end here."), (2, passage + "Another end."), (3, "Before. " + passage), (4, "Go on. Read it. One."), (5, "Two. Go on. Read it.")]
+    rng = random.Random(11)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) + "." for _ in range(14)]
+    rows += [(i, " ".join(rng.choice(lines) for _ in range(rng.randint(0, 10)))) for i in range(10, 40)]
+    runs = {}
+    for i, text in rows:
+        own = [b" ".join(w) for _, w in sentence_spans.sentences_of(text) if w]
+        for a in range(len(own)):
+            for b in range(a + 2, len(own) + 1):
+                runs.setdefault(tuple(own[a:b]), []).append((i, a, b))
+    expected = {i: set() for i, _ in rows}
+    for places in runs.values():
+        for i, a, b in places:
+            if (i, a, b) != min(places):
+                expected[i].update(range(a, b))
+    found = {r["row"]["doc_id"]: r for r in sentence_spans.drop_repeated_sentences(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert {i: r["n_removed"] for i, r in found.items()} == {i: len(s) for i, s in expected.items()}
+    assert found[2]["row"]["text"].strip() == "Another end." and found[3]["row"]["text"] == "Before. "
+    assert found[5]["row"]["text"] == "Two."
+
+
 def test_sentence_operator_on_awkward_rows(spark):
     docs = awkward(spark)
     found = sentence_spans.drop_repeated_sentences(docs)
