@@ -188,18 +188,30 @@ def _stems_of_all(text: str | None) -> set[bytes]:
     return {t[:n] for t in _tokens_of_all(text) for n in range(STEM[0], min(len(t), STEM[1]) + 1)}
 
 
-def choose_landmarks(counts: list[tuple[bytes, int, int]], n: int) -> list[bytes]:
+def choose_landmarks(counts: list[tuple[bytes, int, int]], n: int, ratio: float, toxic_documents: list[list[bytes]]) -> list[bytes]:
     """Up to ``n`` tokens that tell toxic from clean documents best, none much like another.
 
-    ``counts`` holds token, toxic documents and clean documents that have it.
+    ``counts`` holds token, toxic documents and clean documents that have it; ``ratio``,
+    toxic to clean documents in all, turns the latter into what as many clean documents
+    as toxic ones would have. ``toxic_documents`` are lists of such tokens: a document counts
+    half as much with each landmark it has, so that landmarks spread over languages.
     """
-    ranked = sorted(counts, key=lambda c: (-(c[1] - 3 * c[2]) / np.sqrt(c[1] + c[2] + 1), c[0]))
-    chosen: list[bytes] = []
-    for token, toxic, clean in ranked:
-        if len(chosen) == n:
-            break
-        if toxic > 3 * clean and not (chosen and token in (near := Kernel(chosen)([token])) and near[token].max() > 0.75**POWER):
+    counts = sorted((token, toxic, clean * ratio) for token, toxic, clean in counts if toxic > 3 * clean * ratio)
+    place = {c[0]: i for i, c in enumerate(counts)}
+    worth = np.array([(toxic - 3 * clean) / np.sqrt(toxic + clean + 1) / toxic for _, toxic, clean in counts])
+    has = np.zeros((len(toxic_documents), len(counts)), np.float32)
+    for i, own in enumerate(toxic_documents):
+        has[i, [place[t] for t in own if t in place]] = 1
+    left, chosen, open_ = np.ones(len(has), np.float32), [], np.ones(len(counts), bool)
+    gain = worth * (left @ has)
+    while len(chosen) < n and open_.any():
+        i = int(np.argmax(np.where(open_, gain, -1)))
+        open_[i] = False
+        token = counts[i][0]
+        if not (chosen and token in (near := Kernel(chosen)([token])) and near[token].max() > 0.75**POWER):
             chosen.append(token)
+            left /= 1 + has[:, i]
+            gain = worth * (left @ has)
     return chosen
 
 
@@ -243,6 +255,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
     ids = [sampled_ids(taught.filter(F.col("label") == v), sample, "toxicity").withColumn("label", F.lit(v)) for v in (0, 1)]
     learned = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").select("label", "text"))
 
+    # Documents of each label that were drawn: the samples are of unlike sizes.
+    drawn = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
+    if len(drawn) < 2:
+        return None
+    ratio = drawn[1] / drawn[0]
+
     def tokens(batch: pa.RecordBatch) -> dict[str, list]:
         pairs = [(t, y) for y, text in zip(*(c.to_pylist() for c in batch.columns)) for t in _stems_of_all(text)]
         return {"token": [t for t, _ in pairs], "label": [y for _, y in pairs]}
@@ -251,11 +269,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
         per_batch(learned, tokens, "token binary, label int")
         .groupBy("token")
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-        .filter("toxic >= 2 and toxic > 3 * clean")
-        .orderBy((F.col("toxic") - 3 * F.col("clean")).desc(), "token")
+        .withColumn("even", F.col("clean") * ratio)
+        .filter("toxic >= 2 and toxic > 3 * even")
+        .orderBy((F.col("toxic") - 3 * F.col("even")).desc(), "token")
         .limit(50 * LANDMARKS)
     )
-    landmarks = choose_landmarks([(bytes(r["token"]), r["toxic"], r["clean"]) for r in counted.collect()], LANDMARKS)
+    counts = [(bytes(r["token"]), r["toxic"], r["clean"]) for r in counted.collect()]
+    candidates = docs.sparkSession.sparkContext.broadcast({c[0] for c in counts})
+
+    def candidates_of(batch: pa.RecordBatch) -> dict[str, list]:
+        return {"tokens": [sorted(_stems_of_all(t) & candidates.value) for t in batch.column(0).to_pylist()]}
+
+    toxic_documents = per_batch(learned.filter("label = 1").select("text"), candidates_of, "tokens array<binary>").collect()
+    landmarks = choose_landmarks(counts, LANDMARKS, ratio, [[bytes(t) for t in r["tokens"]] for r in toxic_documents])
     if not landmarks:
         return None
 

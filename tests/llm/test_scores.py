@@ -85,6 +85,19 @@ def test_toxicity_finds_held_out_and_gapped_insults(spark):
     assert max(model.score(["Nothing of the sort", "", None])) < 0.3
 
 
+def test_landmarks_compare_rates_and_not_counts(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor") for b in ("an", "el", "is", "or")]
+    rows, labels = [], []
+    for i in range(600):
+        flag = int(i % 12 == 0)
+        own = [rng.choice(words) for _ in range(20)] + ["zygbat"] * (flag or i % 12 in (3, 7))
+        rows.append((i, " ".join(own), None))
+        labels.append((i, 1 - flag, flag))
+    model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert model and any(z.startswith(b"zygb") for z in model.landmarks)
+
+
 def test_quality_tells_junk_by_positives_alone(spark):
     rows, labels = corpus(5, lambda text, rng: " ".join(w + rng.choice(["***", "$$$", "%%"]) for w in text.split()))
     docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
