@@ -29,7 +29,7 @@ LANDMARKS = 64
 STEM = (4, 10)
 THRESHOLD = 0.7
 #: Price of one skipped letter; widest match; least likeness that counts; its power.
-GAP, SPAN, FLOOR, POWER = 0.6, 9, 0.4, 3
+GAP, SPAN, FLOOR, POWER = 0.8, 9, 0.35, 1.5
 #: Longer tokens are read in overlapping pieces of this many bytes.
 PIECE = 16
 #: Tokens whose triples are laid out at once; a long one has hundreds.

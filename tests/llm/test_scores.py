@@ -85,6 +85,15 @@ def test_toxicity_finds_held_out_and_gapped_insults(spark):
     assert max(model.score(["Nothing of the sort", "", None])) < 0.3
 
 
+def test_toxicity_finds_insults_with_letters_put_in(spark):
+    rows, labels = corpus(3, insulted)
+    model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    scores = model.score(["so zyxgbat it is", "you zygqbat", "one klopxfig more", "a klwopfig here"])
+    # One foreign letter in the very middle ("zygqbat") may stay just below the threshold.
+    assert min(scores) > 0.5 and sum(s > 0.7 for s in scores) >= 3, scores
+    assert max(model.score(["Nothing of the sort", "another plain sentence"])) < 0.3
+
+
 def test_landmarks_compare_rates_and_not_counts(spark):
     rng = random.Random(8)
     words = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor") for b in ("an", "el", "is", "or")]
