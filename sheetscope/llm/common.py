@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sheetscope.functions.numbers import quoted
 from sheetscope.session import ship_package
 
 # Over UTF-8 bytes whose A-Z are lower-cased; the same words as
@@ -52,6 +53,11 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63))).alias(KEY[0]), F.xxhash64(text).alias(KEY[1])]
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever characters their names hold."""
+    return F.struct(*(F.col(quoted(name)) for name in docs.columns))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else, inside the JVM."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

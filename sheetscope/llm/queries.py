@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sheetscope.llm import decontaminate, extendible, jaccard, lattice, mixing, quality, secret_scan, sentence_spans, suffixes, toxicity
+from sheetscope.llm import (
+    decontaminate,
+    extendible,
+    hard_negatives,
+    jaccard,
+    lattice,
+    line_runs,
+    mixing,
+    quality,
+    secret_scan,
+    sentence_spans,
+    suffixes,
+    toxicity,
+    turn_repair,
+)
 from sheetscope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +161,18 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_line_dedup", line_runs.lines_sql())
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.lines_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_turn_repair")
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_hard_negatives", hard_negatives.negatives_sql())
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_report(table(spark, sf_dir, "embeddings"))
