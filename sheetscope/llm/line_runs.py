@@ -24,13 +24,14 @@ from sheetscope.session import cut_lineage, shared_folder
 CHARS = 40
 DOCUMENTS = 5
 #: Batches the documents come in, and runs of a level that are compacted into one.
-BATCHES = 8
-FANOUT = 4
+BATCHES = 6
+FANOUT = 3
 #: A hash with at least the ``HEAVY``-th part of all lines is joined by broadcast: there
 #: can't be more than ``HEAVY`` of them, whatever the input. No other hash is hot.
 HEAVY = 10_000
 
 HASH = ("h0", "h1")
+_RUN = "h0 bigint, h1 bigint, docs bigint, keep bigint"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -62,6 +63,7 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[str]] = [[]]
         self.buckets = partitions(spark)
+        self.folder = shared_folder(spark)
 
     def runs(self) -> list[DataFrame]:
         """All runs, the most compacted first."""
@@ -82,7 +84,7 @@ class LineRuns:
         own = self._write(met.select(*HASH, "docs", F.when(fresh, F.col("keep")).alias("keep")))
         self.levels[0].append(own)
         self._compact()
-        return self.spark.table(own).filter("keep is not null") if own in self.levels[0] else None
+        return self._files([own]).filter("keep is not null")
 
     def totals(self) -> DataFrame:
         """``(h0, h1, docs, keep)`` of every hash over all runs."""
@@ -108,14 +110,16 @@ class LineRuns:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _merged(self, names: list[str]) -> DataFrame:
-        union = self.spark.table(names[0])
-        for name in names[1:]:
-            union = union.unionByName(self.spark.table(name))
-        return union.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keep").alias("keep"))
+        # Their plain files: Spark 4.1 takes a union of bucketed scans for hashed as they are, which
+        # it is not, and leaves equal hashes apart.
+        return self._files(names).groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keep").alias("keep"))
+
+    def _files(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(_RUN).parquet(*(f"{self.folder}/{name}" for name in names))
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        writer = run.write.format("parquet").option("path", f"{shared_folder(self.spark)}/{name}")
+        writer = run.write.format("parquet").option("path", f"{self.folder}/{name}")
         writer.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name)
         return name
 
@@ -176,11 +180,11 @@ def repeated_lines(
     places = cut_lineage(places.groupBy(*KEY).agg(F.sort_array(F.collect_list("place")).alias("places")))
     keyed = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    own = keyed.join(places, list(KEY), "left").select("row", F.size(_lines(text)).alias("n_lines"), "places")
-    kept = F.array_join(F.zip_with(_lines(text), _kept_mask(F.col("places"), F.col("n_lines")), lambda line, keep: F.when(keep, line)), "\n")
+    own = keyed.join(places, list(KEY), "left").select("row", F.size(_lines(text)).alias("_n"), "places")
+    kept = F.array_join(F.zip_with(_lines(text), _kept_mask(F.col("places"), F.col("_n")), lambda line, keep: F.when(keep, line)), "\n")
     return own.select(
         "row",
-        F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.col("_n").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("places"), F.lit(0)).cast("bigint").alias("n_dropped"),
         F.when(F.col("places").isNull(), text).otherwise(kept).alias("kept"),
     )
