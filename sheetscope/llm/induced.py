@@ -83,7 +83,8 @@ def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nd
 def _names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """Rank of each S* substring, from an S* place to the next one inclusive.
 
-    Seven symbols of nine bits make a key. The end of the text ranks below all bytes;
+    Seven symbols of nine bits make a key; a substring is named to its end mark, also where
+    that mark begins a key. The end of the text ranks below all bytes;
     the end of a substring above all, as a suffix that goes on there is an L suffix.
     """
     symbols = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(8, np.uint64)])
@@ -98,7 +99,7 @@ def _names(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
         at += 7
         rank[tied] = _dense(rank[tied], key, rank, tied)
         counts = np.bincount(rank, minlength=len(stars) + 1)
-        tied = tied[(counts[rank[tied]] > 1) & (stars[tied] + at < ends[tied])]
+        tied = tied[(counts[rank[tied]] > 1) & (stars[tied] + at <= ends[tied])]
     return rank
 
 

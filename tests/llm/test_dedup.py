@@ -144,6 +144,30 @@ def test_suffix_order_against_sorting(depth):
             assert common[k] == shared
 
 
+def test_suffix_order_of_texts_joined_from_units():
+    """Substrings between S* places are then often as long as a key, and one begins another."""
+    rng = np.random.default_rng(11)
+    for trial in range(1500):
+        units = [rng.integers(97, 97 + rng.integers(2, 4), rng.integers(1, 16)).astype(np.uint8) for _ in range(rng.integers(2, 5))]
+        text = np.concatenate([units[i] for i in rng.integers(0, len(units), rng.integers(2, 24))])
+        order, _ = induced.suffix_order(text, 40, memory=10**8)
+        data = text.tobytes()
+        heads = [data[i : i + 40] for i in order.tolist()]
+        assert sorted(order.tolist()) == list(range(len(data))) and heads == sorted(heads), trial
+
+
+def test_repeated_windows_of_texts_joined_from_units():
+    rng = np.random.default_rng(12)
+    for trial in range(300):
+        units = [rng.integers(97, 99, rng.integers(1, 16)).astype(np.uint8).tobytes() for _ in range(3)]
+        texts = list({b"".join(units[i] for i in rng.integers(0, 3, rng.integers(4, 12))) for _ in range(3)})
+        found = suffixes.repeated_windows([(t, 1) for t in texts], 20)
+        counts = Counter(t[i : i + 20] for t in texts for i in range(len(t) - 19))
+        for text, ranges in zip(texts, found):
+            mine = {i for a, b in ranges for i in range(a, b)}
+            assert mine == {i for i in range(len(text) - 19) if counts[text[i : i + 20]] > 1}, trial
+
+
 def brute_bytes(texts, length):
     counts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
