@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetscope.functions.names import safe_column_names
-from sheetscope.functions.numbers import FLOATING, INTEGRAL, TEMPORAL, finite, known, text_literal
+from sheetscope.functions.numbers import FLOATING, INTEGRAL, TEMPORAL, finite, known, quoted, text_literal
+from sheetscope.sources.tables import union_all
 
 # Accepted type names and the logical type each stands for.
 TYPE_ALIASES = {
@@ -66,6 +67,8 @@ _NUMBER = (
 _SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
 _WHOLE = r"^\s*[+-]?\d+(_\d+)*\s*$"
 _LONGEST_SWITCH = 5
+#: Text columns whose types one scan infers.
+TEXTS_PER_SCAN = 1
 
 
 def canonical_type(col: Column) -> Column:
@@ -83,6 +86,32 @@ def text_to_number(col: Column) -> Column:
     return F.when(col.rlike(_NUMBER), F.replace(F.trim(col), F.lit("_"), F.lit("")).try_cast("double"))
 
 
+def _slashed_parts(text: Column) -> Column:
+    """The numbers of a slashed date as texts, from one match; null for any other text."""
+    return F.when(F.contains(text, F.lit("/")) & text.rlike(_SLASHED), F.split(F.translate(text, " :", "//"), "/"))
+
+
+def _from_slashed(parts: Column, day_first: bool) -> Column:
+    """The moment that ``_slashed_parts`` spell; impossible months and days are left out before they are tried."""
+    part = lambda i: F.try_element_at(parts, F.lit(i)).cast("int")
+    month, day = (part(2), part(1)) if day_first else (part(1), part(2))
+    clock = [F.coalesce(part(i), F.lit(0)) for i in (4, 5, 6)]
+    return F.when(month.between(1, 12) & day.between(1, 31), F.try_make_timestamp_ntz(part(3), month, day, *clock))
+
+
+def _iso(text: Column) -> Column:
+    return F.when(text.rlike(r"^[+-]?\d{4}"), text.try_cast("timestamp_ntz"))
+
+
+def _by_layout(text: Column) -> Column:
+    """The moment of a text that is not slashed day, month, year."""
+    tries = [_iso(text)]
+    for shape, layouts in DATE_LAYOUTS.items():
+        parsed = [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in layouts]
+        tries.append(F.when(text.rlike(shape), F.coalesce(*parsed)))
+    return F.coalesce(*tries)
+
+
 def text_to_timestamp(col: Column, day_first: bool = False) -> Column:
     """Date or timestamp written in a text, or null.
 
@@ -91,29 +120,34 @@ def text_to_timestamp(col: Column, day_first: bool = False) -> Column:
     parts, month first unless ``day_first``, so neither order costs an exception.
     """
     text = F.trim(col)
-    part = lambda i: F.regexp_extract(text, _SLASHED, i).try_cast("int")
-    month, day = (part(2), part(1)) if day_first else (part(1), part(2))
-    clock = [F.coalesce(part(i), F.lit(0)) for i in (4, 5, 6)]
-    slashed = F.when(text.rlike(_SLASHED), F.try_make_timestamp_ntz(part(3), month, day, *clock))
-    tries = [slashed, F.when(text.rlike(r"^[+-]?\d{4}"), text.try_cast("timestamp_ntz"))]
-    for shape, layouts in DATE_LAYOUTS.items():
-        parsed = [F.try_to_timestamp(text, F.lit(layout)).cast("timestamp_ntz") for layout in layouts]
-        tries.append(F.when(text.rlike(shape), F.coalesce(*parsed)))
-    return F.when(col.rlike(r"\d"), F.coalesce(*tries))
+    return F.when(col.rlike(r"\d"), F.coalesce(_from_slashed(_slashed_parts(text), day_first), _by_layout(text)))
 
 
 def _is_switch(col: Column) -> Column:
     return (F.length(col) <= _LONGEST_SWITCH) & F.lower(col).isin(*SWITCH_TEXTS)
 
 
-def _parsed(field: T.StructField, i: int) -> list[Column]:
-    """The known value and, for text, the number and the moment it spells."""
-    col = known(field.name, field.dataType)
-    parts = [col.alias(f"v{i}")]
-    if isinstance(field.dataType, T.StringType):
-        moments = [text_to_timestamp(col).alias(f"t{i}"), text_to_timestamp(col, day_first=True).alias(f"d{i}")]
-        parts += [text_to_number(col).alias(f"n{i}"), *moments]
-    return parts
+def _parsed(df: DataFrame) -> DataFrame:
+    """Per column ``i`` the known value ``v``; for texts also the number ``n`` and the moments ``t`` and ``d`` they spell.
+
+    The two moments differ in slashed dates alone: month first and day first. Their parts
+    are matched once and all other layouts tried once, and a text that reads as a number
+    is tried as a bare year only. Each step is a projection of its own, so that nothing is
+    worked out again where it is used twice.
+    """
+    texts = [i for i, field in enumerate(df.schema.fields) if isinstance(field.dataType, T.StringType)]
+    values = df.select([known(field.name, field.dataType).alias(f"v{i}") for i, field in enumerate(df.schema.fields)])
+    numbers = values.withColumns({f"n{i}": text_to_number(F.col(f"v{i}")) for i in texts})
+    parts = {}
+    for i in texts:
+        text, plain = F.trim(F.col(f"v{i}")), F.col(f"n{i}").isNull() & F.col(f"v{i}").rlike(r"\d")
+        parts[f"s{i}"] = F.when(plain, _slashed_parts(text))
+        parts[f"o{i}"] = F.when(F.col(f"n{i}").isNotNull(), _iso(text)).when(plain, _by_layout(text))
+    moments = {}
+    for i in texts:
+        moments[f"t{i}"] = F.coalesce(_from_slashed(F.col(f"s{i}"), False), f"o{i}")
+        moments[f"d{i}"] = F.coalesce(_from_slashed(F.col(f"s{i}"), True), f"o{i}")
+    return numbers.withColumns(parts).withColumns(moments)
 
 
 def _kind_sql(data_type: T.DataType, i: int) -> str:
@@ -153,7 +187,7 @@ def _day_first_sql(data_type: T.DataType, i: int) -> str:
     return f"count(t{i}) < count(v{i}) and count(d{i}) = count(v{i})" if isinstance(data_type, T.StringType) else "false"
 
 
-def infer_types(df: DataFrame) -> DataFrame:
+def infer_types(df: DataFrame, texts_per_scan: int = TEXTS_PER_SCAN) -> DataFrame:
     """One row per column: ``position, column, inferred, logical_type, day_first``.
 
     Rules in order: nothing known is Text; only switch texts is Toggle; only
@@ -161,18 +195,30 @@ def infer_types(df: DataFrame) -> DataFrame:
     column decides how its slashed dates are read: month first only if that reads every
     value, else day first. Each value is parsed once and every rule is a map-side aggregate, so a table of any size
     sends one row per task.
+
+    Text columns are taken ``texts_per_scan`` at a time and the others together: a scan of
+    a columnar file reads its own columns alone, and the code generated for few of them
+    stays small enough to be compiled. Give more for sources that read whole lines.
     """
-    fields = df.schema.fields
-    parsed = df.select([part for i, field in enumerate(fields) for part in _parsed(field, i)])
+    fields = list(enumerate(df.schema.fields))
+    texts = [f for f in fields if isinstance(f[1].dataType, T.StringType)]
+    others = [f for f in fields if not isinstance(f[1].dataType, T.StringType)]
+    blocks = [others] * bool(others) + [texts[i : i + texts_per_scan] for i in range(0, len(texts), texts_per_scan)]
+    found = union_all([_inferred(df, block) for block in blocks])
+    return found.select("position", "column", "inferred", canonical_type(F.col("inferred")).alias("logical_type"), "day_first")
+
+
+def _inferred(df: DataFrame, block: list[tuple[int, T.StructField]]) -> DataFrame:
+    """``position, column, inferred, day_first`` of some columns, from one aggregate."""
+    parsed = _parsed(df.select(*(F.col(quoted(field.name)) for _, field in block)))
     kinds = ", ".join(
-        f"'k{i}', {_kind_sql(field.dataType, i)}, 'f{i}', {_day_first_sql(field.dataType, i)}" for i, field in enumerate(fields)
+        f"'k{i}', {_kind_sql(field.dataType, i)}, 'f{i}', {_day_first_sql(field.dataType, i)}" for i, (_, field) in enumerate(block)
     )
     rows = ", ".join(
-        f"named_struct('position', {i}, 'column', {text_literal(field.name)}, 'inferred', m.k{i}, 'day_first', m.f{i})"
-        for i, field in enumerate(fields)
+        f"named_struct('position', {at}, 'column', {text_literal(field.name)}, 'inferred', m.k{i}, 'day_first', m.f{i})"
+        for i, (at, field) in enumerate(block)
     )
-    found = parsed.agg(F.expr(f"named_struct({kinds})").alias("m")).selectExpr(f"inline(array({rows}))")
-    return found.select("position", "column", "inferred", canonical_type(F.col("inferred")).alias("logical_type"), "day_first")
+    return parsed.agg(F.expr(f"named_struct({kinds})").alias("m")).selectExpr(f"inline(array({rows}))")
 
 
 def to_logical(col: Column, data_type: T.DataType, logical: str, day_first: bool = False) -> Column:

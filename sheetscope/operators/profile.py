@@ -6,7 +6,7 @@ frequency pass per storage type gives distinct and top values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetscope.functions.names import contains_any
-from sheetscope.functions.numbers import FLOATING, INTEGRAL, NESTED, TEMPORAL, is_numeric, known_sql, text_literal
+from sheetscope.functions.numbers import FLOATING, INTEGRAL, NESTED, TEMPORAL, is_numeric, known_sql, quoted, text_literal
+from sheetscope.session import cut_lineage
 from sheetscope.sources.tables import union_all
 
 TOP_VALUES = 5
@@ -85,71 +86,166 @@ def column_metrics(
     )
 
 
-def _frequencies(
-    tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None, digest: bool
-) -> list[DataFrame]:
-    """``table, column, value, n`` for the chosen columns, one DataFrame per storage type.
+def _numbered(tables: dict[str, DataFrame]) -> dict[tuple[str, str], int]:
+    """A number for every column, by which its values are counted: narrow keys of fixed width."""
+    return {key: i for i, key in enumerate((table, name) for table, df in tables.items() for name in df.columns)}
 
-    Values keep their type until they are counted, each scan reads only its own
-    columns, and all tables share one shuffle per type. The count combines on the
-    map side: a value that fills a third of a table costs one row per task.
+
+def _named(df: DataFrame, numbers: dict[tuple[str, str], int]) -> DataFrame:
+    """``table, column`` in place of ``cid``."""
+    table, column = (f"array({', '.join(text_literal(key[i]) for key in numbers)})[cid] as {name}" for i, name in enumerate(("table", "column")))
+    return df.selectExpr(table, column, *(quoted(c) for c in df.columns if c != "cid"))
+
+
+def _values(
+    tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None, cell: Callable, names: Sequence[str] = ("value",)
+) -> dict[str, DataFrame]:
+    """By storage type ``cid`` and ``names`` of the known cells of all tables.
+
+    ``cell`` gives a column's storage type and the SQL of each name, or None to leave the
+    column out; a cell is known where the first is. Each scan reads only its own columns.
     """
+    numbers = _numbered(tables)
     tall: dict[str, list[DataFrame]] = {}
     for table, df in tables.items():
-        cells: dict[str, list[tuple[str, str]]] = {}
+        cells: dict[str, list[str]] = {}
         for field in df.schema.fields:
             if columns is not None and field.name not in columns.get(table, ()):
                 continue
-            kind, col = field.dataType.simpleString(), known_sql(field.name, field.dataType)
-            if isinstance(field.dataType, INTEGRAL):
-                kind, col = "bigint", f"cast({col} as bigint)"
-            elif isinstance(field.dataType, FLOATING):
-                kind, col = "double", f"cast({col} as double)"
-            elif digest and isinstance(field.dataType, T.StringType):
-                col = f"unhex(sha2({col}, 256))"
-            cells.setdefault(kind, []).append((text_literal(field.name), col))
-        for kind, pairs in cells.items():
-            if len(pairs) == 1:
-                values = df.selectExpr(f"{text_literal(table)} as table", f"{pairs[0][0]} as column", f"{pairs[0][1]} as value")
-            else:
-                listed = ", ".join(f"{name}, {col}" for name, col in pairs)
-                values = df.selectExpr(f"{text_literal(table)} as table", f"stack({len(pairs)}, {listed}) as (column, value)")
-            tall.setdefault(kind, []).append(values.filter("value is not null"))
-    return [
-        union_all(parts).groupBy("table", "column", "value").agg(F.expr("count(1) as n")) for parts in tall.values()
-    ]
+            if found := cell(field):
+                cells.setdefault(found[0], []).append(", ".join((str(numbers[table, field.name]), *found[1:])))
+        for kind, rows in cells.items():
+            tall.setdefault(kind, []).append(df.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (cid, {', '.join(names)})"))
+    return {kind: union_all(parts).filter(f"{names[0]} is not null") for kind, parts in tall.items()}
+
+
+def integer_words(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame | None:
+    """``table, column, word, bits`` of the integer columns: one bit a value, 64 values a word.
+
+    Bits are set in the task that reads the value, so a key's values travel 64 to a row
+    and never as rows of their own; sparse values cost a row each at worst. None without
+    an integer column.
+    """
+    words = _integer_words(tables, columns)
+    return None if words is None else _named(words, _numbered(tables))
+
+
+def _integer_words(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None) -> DataFrame | None:
+    known = lambda f: ("bigint", f"cast({quoted(f.name)} as bigint)") if isinstance(f.dataType, INTEGRAL) else None
+    values = _values(tables, columns, known).get("bigint")
+    if values is None:
+        return None
+    bit = "bit_or(shiftleft(1L, cast(value & 63L as int))) as bits"
+    return values.groupBy("cid", F.expr("shiftright(value, 6)").alias("word")).agg(F.expr(bit))
+
+
+def words_distinct(words: DataFrame, by: Sequence[str] = ("table", "column")) -> DataFrame:
+    """Number of distinct values of each column, ``n_unique``, from ``integer_words``."""
+    return words.groupBy(*by).agg(F.expr("sum(bit_count(bits)) as n_unique"))
+
+
+def _counted_value(field: T.StructField) -> tuple[str, str] | None:
+    """Storage type and value by which distinct values are told apart; none for integers."""
+    if isinstance(field.dataType, INTEGRAL):
+        return None
+    col = known_sql(field.name, field.dataType)
+    if isinstance(field.dataType, FLOATING):
+        return "double", f"cast({col} as double)"
+    if isinstance(field.dataType, T.StringType):
+        # Shorter than a digest, so the two can't be mistaken for one another.
+        return "string", f"if(octet_length({col}) < 32, cast({col} as binary), unhex(sha2({col}, 256)))"
+    return field.dataType.simpleString(), col
 
 
 def profile_distinct(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """``table, column, n_unique``: exact distinct known values.
 
-    Columns that hold no value at all have no row. Texts are told apart by their
-    SHA-256, so the shuffle carries 32 bytes and not the text.
+    Columns that hold no value at all have no row. Integers are counted by
+    ``integer_words``. Other values travel once per task and value, all tables sharing one
+    shuffle per type; texts of 32 bytes and more are told apart by their SHA-256.
     """
-    return union_all(
-        [
-            freq.groupBy("table", "column").agg(F.expr("count(1) as n_unique"))
-            for freq in _frequencies(tables, columns, digest=True)
-        ]
-    )
+    words = _integer_words(tables, columns)
+    parts = [words_distinct(words, ["cid"])] if words is not None else []
+    for values in _values(tables, columns, _counted_value).values():
+        # The first count makes values distinct, and combines in the task.
+        distinct = values.groupBy("cid", "value").agg(F.expr("count(1) as n"))
+        parts.append(distinct.groupBy("cid").agg(F.expr("count(1) as n_unique")))
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "table string, column string, n_unique bigint")
+    return _named(union_all(parts), _numbered(tables))
 
 
-def value_counts(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """``table, column, value, n`` for every value as text; nested columns are left out."""
-    chosen = {
-        table: [
-            f.name
-            for f in df.schema.fields
-            if not isinstance(f.dataType, NESTED) and (columns is None or f.name in columns.get(table, ()))
-        ]
-        for table, df in tables.items()
-    }
-    return union_all(
-        [
-            freq.selectExpr("table", "column", "cast(value as string) as value", "n")
-            for freq in _frequencies(tables, chosen, digest=False)
-        ]
-    )
+#: Characters of a text that are counted with it; a longer one travels as these and a digest.
+HEAD_CHARS = 64
+_DIGEST = "concat_ws('-', octet_length({0}), xxhash64({0}), xxhash64('text', {0}))"
+
+
+def _headed_value(field: T.StructField) -> tuple[str, str, str] | None:
+    """A value's text, cut to its head, and the digest of a longer one; none for nested columns."""
+    col = known_sql(field.name, field.dataType)
+    if isinstance(field.dataType, NESTED):
+        return None
+    if not isinstance(field.dataType, T.StringType):
+        return "string", f"cast({col} as string)", "cast(null as string)"
+    return "string", f"left({col}, {HEAD_CHARS})", f"if(char_length({col}) > {HEAD_CHARS}, {_DIGEST.format(col)}, null)"
+
+
+def _whole_texts(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]], wanted: DataFrame) -> DataFrame:
+    """``cid, head, digest, text`` of the long texts among ``wanted``.
+
+    Of all text columns only rows whose head is wanted go on, and of those one a task and text.
+    """
+    numbers, parts = _numbered(tables), []
+    for table, df in tables.items():
+        for field in df.schema.fields:
+            if isinstance(field.dataType, T.StringType) and field.name in columns.get(table, ()):
+                col = quoted(field.name)
+                long = f"if(char_length({col}) > {HEAD_CHARS}, {col}, null) as text"
+                parts.append(df.selectExpr(f"{numbers[table, field.name]} as cid", long))
+    texts = union_all(parts).filter("text is not null").withColumn("head", F.left("text", F.lit(HEAD_CHARS)))
+    found = texts.join(wanted, ["cid", "head"]).filter(f"digest = {_DIGEST.format('text')}")
+    return found.groupBy("cid", "head", "digest").agg(F.min("text").alias("text"))
+
+
+def heaviest_heads(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]], top: int = TOP_VALUES) -> DataFrame | None:
+    """``cid, head, digest, n`` of the first ``top`` values of each column by count and head, with all that tie.
+
+    Counts combine in the task, and ranks are cut there before they are merged.
+    """
+    values = _values(tables, columns, _headed_value, ("head", "digest")).get("string")
+    if values is None:
+        return None
+    best = W.partitionBy("cid").orderBy(F.col("n").desc(), "head")
+    counted = values.groupBy("cid", "head", "digest").agg(F.expr("count(1) as n"))
+    return counted.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place")
+
+
+def top_values(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]], top: int = TOP_VALUES) -> DataFrame:
+    """``table, column, rank, value, n``: the most frequent values as text, ties by value.
+
+    Values are counted by their first ``HEAD_CHARS`` characters and, where they are longer,
+    length and 128 bits of hash: whole long texts stay in the scan. The first ``top`` by
+    count and head are kept, with all that tie on both; then the long ones among these are
+    fetched whole, and the ties settled.
+    """
+    heads = heaviest_heads(tables, columns, top)
+    if heads is None:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table string, column string, rank int, value string, n bigint")
+    chosen = cut_lineage(heads)
+    found = chosen.filter("digest is null").selectExpr("cid", "head as value", "n")
+    long = chosen.filter("digest is not null")
+    # At most one row a column: only these columns are read again.
+    numbers = {number: key for key, number in _numbered(tables).items()}
+    again: dict[str, list[str]] = {}
+    for row in long.select("cid").distinct().collect():
+        again.setdefault(numbers[row["cid"]][0], []).append(numbers[row["cid"]][1])
+    if again:
+        whole = _whole_texts(tables, again, long.drop("n"))
+        found = found.unionByName(long.join(whole, ["cid", "head", "digest"]).selectExpr("cid", "text as value", "n"))
+    order = W.partitionBy("cid").orderBy(F.col("n").desc(), "value")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return _named(ranked.select("cid", "rank", "value", "n"), _numbered(tables))
 
 
 def profile_metrics(tables: dict[str, DataFrame], ranges: bool = True, bits_for: int = 0) -> DataFrame:
@@ -184,13 +280,7 @@ def profile_numeric(tables: dict[str, DataFrame]) -> DataFrame:
 def profile_top_values(tables: dict[str, DataFrame], top: int = TOP_VALUES) -> DataFrame:
     """The most frequent values of the other columns, as text; ties by value."""
     others = {table: [f.name for f in df.schema.fields if not is_numeric(f.dataType)] for table, df in tables.items()}
-    best = W.partitionBy("table", "column").orderBy(F.col("n").desc(), F.col("value"))
-    return (
-        value_counts(tables, others)
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= top)
-        .select("table", "column", "rank", "value", "n")
-    )
+    return top_values(tables, others, top)
 
 
 def _unique_share() -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.functions.numbers import filled, quoted
+from sheetscope.functions.numbers import INTEGRAL, filled, quoted
+from sheetscope.operators.profile import integer_words, profile_metrics, words_distinct
 
 KEY_PREFIX = "ID_"
 KEY_NAME = "ID"
@@ -121,24 +122,53 @@ def fk_value_overlap(
     )
 
 
+def _nodes_over(lo: str, hi: str) -> str:
+    """SQL array of the dyadic blocks ``(level, block)`` that make up ``[lo, hi]``.
+
+    At a level the blocks inside the range run from ``first`` to ``last``; those of them
+    whose double-sized block is not inside are taken, two a level at most. Shifts alone,
+    so no bound overflows.
+    """
+    mask = "~shiftleft(-1L, {0})"
+    first = f"(shiftright({lo}, {{0}}) + if({lo} & {mask} = 0, 0, 1))"
+    last = f"(shiftright({hi}, {{0}}) - if({hi} & {mask} = {mask}, 0, 1))"
+    own_first, own_last = first.format("v"), last.format("v")
+
+    def outer(block: str) -> str:
+        within = f"shiftright({block}, 1) between {first.format('v + 1')} and {last.format('v + 1')}"
+        return f"{own_first} <= {own_last} and not (v < 63 and {within})"
+
+    blocks = (
+        f"if({outer(own_first)}, named_struct('level', v, 'block', {own_first}), null), "
+        f"if({own_first} <> {own_last} and {outer(own_last)}, named_struct('level', v, 'block', {own_last}), null)"
+    )
+    return f"filter(flatten(transform(sequence(0, 63), v -> array({blocks}))), x -> x is not null)"
+
+
 def fk_range_candidates(stats: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Integer columns whose range lies inside that of a unique column of their type.
 
-    A cheap filter ahead of ``fk_value_overlap``. It works on one row per column.
+    A cheap filter ahead of ``fk_overlaps``. It works on one row per column. A parent's
+    range is taken apart into blocks of a power of two, at most 126 of them; a child's
+    lower end lies in one block of each size. Exactly one of these is a block of the
+    parent where the end is inside its range, so pairs meet on a block and never on their
+    type alone, and columns of other ranges do not meet.
     """
     whole = stats.filter(F.col("lo").isNotNull())
     keys = [*within, "spark_type"]
-    child = whole.select(
-        *keys, F.col("table").alias("from_table"), F.col("column").alias("from_column"),
-        F.col("lo").alias("child_min"), F.col("hi").alias("child_max"),
-    )
-    parent = whole.filter("n_unique = non_null").select(
+    levels = ", ".join(f"named_struct('level', {level}, 'block', shiftright(lo, {level}))" for level in range(64))
+    parents = whole.filter("n_unique = non_null").select(
         *keys, F.col("table").alias("to_table"), F.col("column").alias("to_column"),
         F.col("lo").alias("parent_min"), F.col("hi").alias("parent_max"),
     )
+    parents = parents.withColumn("node", F.explode(F.expr(_nodes_over("parent_min", "parent_max"))))
+    children = whole.withColumn("node", F.explode(F.expr(f"array({levels})"))).select(
+        *keys, F.col("table").alias("from_table"), F.col("column").alias("from_column"),
+        F.col("lo").alias("child_min"), F.col("hi").alias("child_max"), "node",
+    )
     return (
-        child.join(parent, keys)
-        .filter("from_table <> to_table and child_min >= parent_min and child_max <= parent_max")
+        children.join(parents, [*keys, "node"])
+        .filter("from_table <> to_table and child_max <= parent_max")
         .select(
             *within, "from_table", "from_column", "to_table", "to_column",
             "child_min", "child_max", "parent_min", "parent_max",
@@ -146,6 +176,52 @@ def fk_range_candidates(stats: DataFrame, within: Sequence[str] = ()) -> DataFra
     )
 
 
+def integer_stats(tables: dict[str, DataFrame], words: DataFrame | None = None) -> DataFrame:
+    """What ``fk_range_candidates`` asks for, of the integer columns alone."""
+    whole = {t: df.select(*(F.col(quoted(c)) for c in integer_columns(df))) for t, df in tables.items() if integer_columns(df)}
+    metrics = profile_metrics(whole).select("table", "column", "spark_type", "non_null", "lo", "hi")
+    words = integer_words(whole) if words is None else words
+    return metrics.join(words_distinct(words), ["table", "column"])
+
+
+def integer_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL)]
+
+
+def fk_overlaps(words: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For every candidate pair of columns the share of the child's distinct keys that the parent holds.
+
+    ``words`` is ``integer_words`` of all tables. One shuffle makes the inverted list: per
+    word the columns that have values in it, with their bits. Lists that are alike, as
+    those of dense keys are, fold into one with a weight. Within a list the bits of a child
+    and of its candidate parents are intersected, so the tables are read once, however
+    many pairs there are.
+    """
+    ends = F.struct("table", "column")
+    parents = candidates.groupBy(F.struct(F.col("from_table").alias("table"), F.col("from_column").alias("column")).alias("child")).agg(
+        F.collect_set(F.struct(F.col("to_table").alias("table"), F.col("to_column").alias("column"))).alias("parents")
+    )
+    lists = words.groupBy("word").agg(F.sort_array(F.collect_list(F.struct(ends.alias("of"), "bits"))).alias("held"))
+    folded = lists.groupBy("held").agg(F.count(F.lit(1)).alias("weight"))
+    met = folded.withColumn("c", F.explode("held")).join(parents, F.col("c.of") == F.col("child"))
+    other = F.explode(F.filter("held", lambda x: F.array_contains("parents", x["of"])))
+    pairs = met.select("child", "weight", F.col("c.bits").alias("bits"), other.alias("p")).groupBy("child", F.col("p.of").alias("parent"))
+    matched = pairs.agg(F.sum(F.expr("weight * bit_count(bits & p.bits)")).alias("n"))
+    matched = matched.select(
+        F.col("child.table").alias("from_table"), F.col("child.column").alias("from_column"),
+        F.col("parent.table").alias("to_table"), F.col("parent.column").alias("to_column"), "n",
+    )
+    sizes = words_distinct(words).select(F.col("table").alias("from_table"), F.col("column").alias("from_column"), F.col("n_unique").alias("n_keys"))
+    edge = ["from_table", "from_column", "to_table", "to_column"]
+    return (
+        candidates.select(*edge)
+        .join(sizes, edge[:2])
+        .join(matched, edge, "left")
+        .select(*edge, "n_keys", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matched"))
+        .withColumn("coverage", F.try_divide("n_matched", "n_keys"))
+    )
+
+
 def fk_orphans(
     child: DataFrame, child_column: str, parent: DataFrame, parent_column: str
 ) -> DataFrame:

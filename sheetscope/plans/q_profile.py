@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from sheetscope.operators import crosstab as X
 from sheetscope.operators import profile as P
+from sheetscope.operators import sketches as K
 from sheetscope.plans.base import (
     COLUMNS, IDENTIFIER_SQL, NUMERIC, Tables, query, rounded, stats_sql, top_values_sql,
 )
-from sheetscope.session import shared_folder
+from sheetscope.session import cut_lineage, shared_folder
 from sheetscope.sources.tables import load_profile, save_profile, union_all
 
 STATS = f"WITH stats AS ({stats_sql()}) "
@@ -32,6 +33,33 @@ def profile_distinct(t: Tables):
     return P.profile_distinct(t.all())
 
 
+@query("profile_approx")
+def profile_approx(t: Tables):
+    """Estimated distinct counts; pytest holds them against the exact ones."""
+    return K.approximate_stats(K.profile_sketches(t.all())).select("table", "column", "non_null", "n_unique")
+
+
+@query(
+    "profile_united",
+    STATS
+    + """SELECT "table", "column", n_rows, non_null, n_null, min, max, round(avg, 4) AS avg, true AS close FROM stats""",
+)
+def profile_united(t: Tables):
+    """Two halves of every table profiled apart, stored, and united.
+
+    ``close`` holds the estimate of distinct values against the exact count.
+    """
+    halves = [{n: df.filter(f"pmod(xxhash64({df.columns[0]}), 2) = {i}") for n, df in t.all().items()} for i in (0, 1)]
+    stored = [cut_lineage(K.profile_sketches(half)) for half in halves]
+    stats = K.approximate_stats(K.unite_sketches(*stored))
+    exact = P.profile_distinct(t.all()).withColumnRenamed("n_unique", "exact")
+    close = F.abs(F.col("n_unique") - F.col("exact")) <= 0.05 * F.col("exact")
+    return rounded(
+        stats.join(exact, ["table", "column"]).select("table", "column", "n_rows", "non_null", "n_null", "min", "max", "avg", close.alias("close")),
+        avg=4,
+    )
+
+
 @query(
     "profile_numeric",
     STATS + 'SELECT "table", "column", min, max, round(avg, 4) AS avg FROM stats WHERE is_numeric AND non_null > 0',

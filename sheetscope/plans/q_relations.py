@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from sheetscope.operators import relations as R
-from sheetscope.operators.profile import profile_stats
+from sheetscope.operators.profile import integer_words
 from sheetscope.plans import catalogs as C
-from sheetscope.plans.base import Tables, query, rounded, stats_sql
-from sheetscope.sources.tables import union_all
+from sheetscope.plans.base import Tables, each_column, query, rounded, stats_sql
+from sheetscope.session import cut_lineage
 
 PREFIX_CTE = """
     prefix_fk AS (
@@ -57,45 +57,49 @@ def fk_apparent(t: Tables):
     return R.apparent_fk(C.stored(t, C.columns), ["workbook"])
 
 
-# Child and parent columns whose values are compared.
-OVERLAPS = (
-    ("orders", "o_custkey", "customer", "c_custkey"),
-    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
-    ("labels", "doc_id", "documents", "doc_id"),
-    ("customer", "c_custkey", "lineitem", "l_partkey"),
+RANGES_CTE = f"""stats AS ({stats_sql()}), whole AS (SELECT * FROM stats WHERE spark_type IN ('int', 'bigint') AND non_null > 0),
+    candidates AS (
+        SELECT c."table" AS from_table, c."column" AS from_column, p."table" AS to_table, p."column" AS to_column,
+               c.min::BIGINT AS child_min, c.max::BIGINT AS child_max, p.min::BIGINT AS parent_min, p.max::BIGINT AS parent_max,
+               c.n_unique AS n_keys
+        FROM whole c JOIN whole p ON c.spark_type = p.spark_type AND c."table" <> p."table"
+             AND c.min >= p.min AND c.max <= p.max AND p.n_unique = p.non_null
+    )"""
+INTEGER_VALUES = each_column(
+    lambda table, i, column, kind: (
+        f"SELECT DISTINCT '{table}' AS \"table\", '{column}' AS \"column\", {column}::BIGINT AS v FROM {table} WHERE {column} IS NOT NULL"
+    ),
+    lambda kind: kind in ("i", "l"),
 )
 
 
 @query(
     "fk_value_overlap",
-    "\nUNION ALL\n".join(
-        f"""SELECT '{ct}' AS from_table, '{cc}' AS from_column, '{pt}' AS to_table, '{pc}' AS to_column,
-            count(*) AS n_keys, count(p.k) AS n_matched, round(count(p.k) / count(*), 6) AS coverage,
-            (SELECT count(*) = count(DISTINCT {pc}) FROM {pt}) AS parent_unique
-        FROM (SELECT DISTINCT {cc} AS k FROM {ct}) c LEFT JOIN (SELECT DISTINCT {pc} AS k FROM {pt}) p ON c.k = p.k"""
-        for ct, cc, pt, pc in OVERLAPS
-    ),
+    f"""
+    WITH {RANGES_CTE}, vals AS ({INTEGER_VALUES}),
+    matched AS (
+        SELECT a."table" AS from_table, a."column" AS from_column, b."table" AS to_table, b."column" AS to_column, count(*) AS n
+        FROM vals a JOIN vals b ON a.v = b.v AND a."table" <> b."table" GROUP BY ALL
+    )
+    SELECT from_table, from_column, to_table, to_column, n_keys, coalesce(n, 0) AS n_matched,
+           round(coalesce(n, 0) / n_keys, 6) AS coverage
+    FROM candidates LEFT JOIN matched USING (from_table, from_column, to_table, to_column)
+    """,
 )
 def fk_value_overlap(t: Tables):
-    parts = [
-        R.fk_value_overlap(getattr(t, ct), ct, cc, getattr(t, pt), pt, pc) for ct, cc, pt, pc in OVERLAPS
-    ]
-    return rounded(union_all(parts), coverage=6)
+    """Every pair that the ranges of all tables allow, from one inverted list of values."""
+    words = cut_lineage(integer_words(t.all()))
+    candidates = cut_lineage(R.fk_range_candidates(cut_lineage(R.integer_stats(t.all(), words))))
+    return rounded(R.fk_overlaps(words, candidates), coverage=6)
 
 
 @query(
     "fk_range_candidates",
-    f"""
-    WITH stats AS ({stats_sql()}), whole AS (SELECT * FROM stats WHERE spark_type IN ('int', 'bigint') AND non_null > 0)
-    SELECT c."table" AS from_table, c."column" AS from_column, p."table" AS to_table, p."column" AS to_column,
-           c.min::BIGINT AS child_min, c.max::BIGINT AS child_max, p.min::BIGINT AS parent_min, p.max::BIGINT AS parent_max
-    FROM whole c JOIN whole p ON c.spark_type = p.spark_type AND c."table" <> p."table"
-         AND c.min >= p.min AND c.max <= p.max AND p.n_unique = p.non_null
-    """,
+    f"WITH {RANGES_CTE} SELECT * EXCLUDE (n_keys) FROM candidates",
 )
 def fk_range_candidates(t: Tables):
-    return R.fk_range_candidates(profile_stats(t.all()))
+    # Written once, as both sides of the join read it.
+    return R.fk_range_candidates(cut_lineage(R.integer_stats(t.all())))
 
 
 @query(
