@@ -3,7 +3,9 @@
 Two strings are alike as far as they share subsequences of three letters, gaps counting
 less the longer they are; an insult keeps most of them when letters are put between its
 own or when it takes an ending. The kernel of two sentences sums that of their distinct tokens.
-Landmark strings span it (Nyström), and the machine is linear over them.
+Landmark strings span it (Nyström), and the machine is linear over them. A document's score
+takes its most toxic sentence, and a second machine over what all sentences sum up to:
+words that many clean documents hold once and toxic ones again and again.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.llm.common import agreed_labels, crc_remainder, lowered, per_batch, sampled_ids, schema_with
+from sheetscope.llm.common import agreed_labels, crc_remainder, lowered, per_batch, sampled_ids, schema_with, whole_row
 from sheetscope.session import cut_lineage
 
 FOLDS, HELD_OUT = 3, 1
@@ -30,6 +32,10 @@ STEM = (4, 10)
 THRESHOLD = 0.7
 #: Price of one skipped letter; widest match; least likeness that counts; its power.
 GAP, SPAN, FLOOR, POWER = 0.8, 9, 0.35, 1.5
+#: Folds by which document margins are calibrated.
+CROSS = 5
+#: A landmark is no more like another than this, before the power.
+NEAR = 0.75
 #: Longer tokens are read in overlapping pieces of this many bytes.
 PIECE = 16
 #: Tokens whose triples are laid out at once; a long one has hundreds.
@@ -138,27 +144,27 @@ class Kernel:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, each one's weight in a sentence's margin, and the margin's calibration."""
+    """Landmarks, each one's weight in a sentence's margin and in a document's, and the calibration of both."""
 
     landmarks: list[bytes]
     weights: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    document_weights: np.ndarray
+    calibrations: list[np.ndarray]
     _memory: OrderedDict = field(default_factory=OrderedDict)
 
     def __getstate__(self):
         return self.__dict__ | {"_memory": OrderedDict(), "_kernel": None}
 
-    def _weights_of(self, tokens: set[bytes]) -> dict[bytes, float]:
-        """Margin of each token that has any; others are remembered as 0."""
+    def _likeness_of(self, tokens: set[bytes]) -> dict[bytes, np.ndarray | None]:
+        """Likeness of each token to the landmarks; those like none are remembered as None."""
         memory = self._memory
         new = [t for t in tokens if t not in memory]
         if new:
             if getattr(self, "_kernel", None) is None:
                 self._kernel = Kernel(self.landmarks)
-            memory.update(dict.fromkeys(new, 0.0))
-            memory.update((t, float(x @ self.weights)) for t, x in self._kernel(new).items())
+            memory.update(dict.fromkeys(new))
+            memory.update(self._kernel(new))
         return memory
 
     def _forget(self) -> None:
@@ -166,17 +172,37 @@ class ToxicityModel:
             self._memory.popitem(last=False)
 
     def score(self, texts: list[str | None]) -> list[float]:
-        """Probability of label 1, from the most toxic sentence of each text."""
-        wholes = [_tokens_of_all(t) for t in texts]
-        memory = self._weights_of(set().union(*wholes)) if wholes else {}
-        out = []
-        for text, own in zip(texts, wholes):
-            margin = self.bias
-            if any(map(memory.__getitem__, own)):
-                margin += max(sum(memory.get(t, 0.0) for t in set(s)) for s in sentences_of(text))
-            out.append(float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))))
+        """Probability of label 1, from the most toxic sentence of each text and from what all of them add up to."""
+        split = [sentences_of(t) for t in texts]
+        memory = self._likeness_of({t for sentences in split for s in sentences for t in s})
+        alone, sums = [], np.zeros((len(texts), len(self.landmarks)))
+        for i, sentences in enumerate(split):
+            own = [v for s in sentences if (v := [memory[t] for t in sorted(set(s)) if memory[t] is not None])]
+            x = np.array([np.sum(v, 0) for v in own]).reshape(-1, len(self.landmarks))
+            sums[i] = x.sum(0)
+            alone.append(sentence_evidence(x @ self.weights, self.bias, len(sentences)))
         self._forget()
-        return out
+        whole = document_rows(sums, np.array([len(s) for s in split])) @ self.document_weights
+        found = np.max([x @ t for x, t in zip(_views(np.array(alone).reshape(-1, 4), whole), self.calibrations)], 0)
+        return (1 / (1 + np.exp(-np.clip(found, -30, 30)))).tolist()
+
+
+def sentence_evidence(margins: np.ndarray, bias: float, sentences: int) -> list[float]:
+    """A document's highest sentence margin, the sum of what its sentences add to the bias, and their number."""
+    return [bias + max(margins.max(initial=0.0), 0.0), float(np.log1p(np.maximum(margins, 0).sum())), float(np.log1p(sentences)), 1.0]
+
+
+def _views(alone: np.ndarray, whole: np.ndarray) -> list[np.ndarray]:
+    """What is calibrated, each for itself: the highest sentence margin, all of ``alone``, and
+    the highest margin with the document's."""
+    ones = np.ones(len(alone))
+    return [np.column_stack([alone[:, 0], ones]), alone, np.column_stack([alone[:, 0], whole, ones])]
+
+
+def document_rows(sums: np.ndarray, sentences: np.ndarray) -> np.ndarray:
+    """A document's likeness to each landmark, summed over its sentences and damped, and its
+    number of sentences: long documents add up more by chance."""
+    return np.column_stack([np.log1p(sums), np.log1p(sentences), np.ones(len(sums))])
 
 
 def _tokens_of_all(text: str | None) -> set[bytes]:
@@ -199,19 +225,20 @@ def choose_landmarks(counts: list[tuple[bytes, int, int]], n: int, ratio: float,
     counts = sorted((token, toxic, clean * ratio) for token, toxic, clean in counts if toxic > 3 * clean * ratio)
     place = {c[0]: i for i, c in enumerate(counts)}
     worth = np.array([(toxic - 3 * clean) / np.sqrt(toxic + clean + 1) / toxic for _, toxic, clean in counts])
-    has = np.zeros((len(toxic_documents), len(counts)), np.float32)
-    for i, own in enumerate(toxic_documents):
-        has[i, [place[t] for t in own if t in place]] = 1
-    left, chosen, open_ = np.ones(len(has), np.float32), [], np.ones(len(counts), bool)
-    gain = worth * (left @ has)
+    own = [np.array([place[t] for t in held if t in place], np.int64) for held in toxic_documents]
+    document, held = np.repeat(np.arange(len(own)), [len(o) for o in own]), np.concatenate([np.zeros(0, np.int64), *own])
+    left, chosen, open_ = np.ones(len(own)), [], np.ones(len(counts), bool)
     while len(chosen) < n and open_.any():
-        i = int(np.argmax(np.where(open_, gain, -1)))
-        open_[i] = False
-        token = counts[i][0]
-        if not (chosen and token in (near := Kernel(chosen)([token])) and near[token].max() > 0.75**POWER):
-            chosen.append(token)
-            left /= 1 + has[:, i]
-            gain = worth * (left @ has)
+        gain = worth * np.bincount(held, left[document], len(counts))
+        for i in np.argsort(-np.where(open_, gain, -1.0), kind="stable").tolist():
+            if not open_[i]:
+                return chosen
+            open_[i] = False
+            token = counts[i][0]
+            if not (chosen and token in (near := Kernel(chosen)([token])) and near[token].max() > NEAR**POWER):
+                chosen.append(token)
+                left[document[held == i]] /= 2
+                break
     return chosen
 
 
@@ -230,15 +257,15 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0)
     return w
 
 
-def _platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression of the label on the margin, lightly damped."""
-    x = np.stack([margin, np.ones_like(margin)], 1)
-    t = np.zeros(2)
+def _calibrated(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression of the label on a document's evidence, lightly damped."""
+    t = np.zeros(x.shape[1])
+    ridge = np.append(np.full(x.shape[1] - 1, 1e-4), 1e-6)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-4, 1e-6])
-        t = t + np.linalg.solve(h, x.T @ (weight * (label - p)) - np.array([1e-4, 1e-6]) * t)
-    return float(t[0]), float(t[1])
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        t = t + np.linalg.solve(h, x.T @ (weight * (label - p)) - ridge * t)
+    return t
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", sample: int = SAMPLE) -> ToxicityModel | None:
@@ -271,17 +298,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
         .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
         .withColumn("even", F.col("clean") * ratio)
         .filter("toxic >= 2 and toxic > 3 * even")
-        .orderBy((F.col("toxic") - 3 * F.col("even")).desc(), "token")
-        .limit(50 * LANDMARKS)
+        .orderBy("token")
     )
+    # Stems of the drawn toxic documents alone, so no more than these bring.
     counts = [(bytes(r["token"]), r["toxic"], r["clean"]) for r in counted.collect()]
-    candidates = docs.sparkSession.sparkContext.broadcast({c[0] for c in counts})
+    candidates = docs.sparkSession.sparkContext.broadcast({c[0]: i for i, c in enumerate(counts)})
 
     def candidates_of(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"tokens": [sorted(_stems_of_all(t) & candidates.value) for t in batch.column(0).to_pylist()]}
+        numbers = [sorted(candidates.value[t] for t in _stems_of_all(text) if t in candidates.value) for text in batch.column(0).to_pylist()]
+        return {"numbers": [np.array(n, np.int32).tobytes() for n in numbers]}
 
-    toxic_documents = per_batch(learned.filter("label = 1").select("text"), candidates_of, "tokens array<binary>").collect()
-    landmarks = choose_landmarks(counts, LANDMARKS, ratio, [[bytes(t) for t in r["tokens"]] for r in toxic_documents])
+    held = per_batch(learned.filter("label = 1").select("text"), candidates_of, "numbers binary").orderBy("numbers").toArrow()
+    toxic_documents = [[counts[i][0] for i in np.frombuffer(n.as_buffer(), np.int32)] for n in held.column(0)]
+    landmarks = choose_landmarks(counts, LANDMARKS, ratio, toxic_documents)
     if not landmarks:
         return None
 
@@ -294,37 +323,47 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
         vectors = []
         for d in split:
             own = [np.sum([like[t] for t in sorted(set(s)) if t in like], 0) for s in d if any(t in like for t in s)]
-            vectors.append([v.tolist() for v in own])
+            vectors.append(np.array(own, np.float32).tobytes())
         return {"label": labels_, "n": [len(d) for d in split], "x": vectors}
 
-    rows = per_batch(learned, sentences, "label int, n int, x array<array<float>>").orderBy("label", "n", "x").collect()
+    rows = per_batch(learned, sentences, "label int, n int, x binary").orderBy("label", "n", "x").toArrow()
     return _fit_documents(landmarks, rows, shares)
 
 
-def _fit_documents(landmarks: list[bytes], rows: list, shares: dict[int, int]) -> ToxicityModel:
+def _fit_documents(landmarks: list[bytes], rows: pa.Table, shares: dict[int, int]) -> ToxicityModel:
+    """Fit on ``label``, number of sentences ``n`` and the like sentences' vectors ``x`` of each document."""
     m = len(landmarks)
     kernel = Kernel(landmarks)
     gram = np.stack([kernel([z]).get(z, np.zeros(m)) for z in landmarks])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
-    document = np.repeat(np.arange(len(rows)), [len(r["x"]) for r in rows])
-    raw = np.array([v for r in rows for v in r["x"]], float).reshape(-1, m)
-    label = np.array([r["label"] for r in rows])
-    blank = np.array([r["n"] - len(r["x"]) for r in rows])
-    x = np.column_stack([raw @ root, np.ones(len(raw))])
+    label, n = (rows.column(c).to_numpy() for c in ("label", "n"))
+    raw = [np.frombuffer(v.as_buffer(), np.float32).reshape(-1, m) for v in rows.column("x")]
+    like = np.array([len(r) for r in raw])
+    document = np.repeat(np.arange(len(raw)), like)
+    x = np.column_stack([np.concatenate(raw) @ root, np.ones(len(document))])
     own = len(x)
     x = np.vstack([x, np.append(np.zeros(m), 1.0)])  # all sentences that are like no landmark
     y = np.append(np.where(label[document] == 1, 1.0, -1.0), -1.0)
-    cost = np.append(np.ones(own), float(np.log1p(blank.sum())))
+    cost = np.append(np.ones(own), float(np.log1p((n - like).sum())))
     for _ in range(4):
         w = fit_svm(x, y, cost)
         y[:own] = np.where((label[document] == 1) & (x[:own] @ w > 0), 1.0, -1.0)
-    margin = np.full(len(rows), w[-1])
-    np.maximum.at(margin, document, x[:own] @ w)
+    margins = np.split(x[:own, :-1] @ w[:-1], np.cumsum(like)[:-1])
+    alone = np.array([sentence_evidence(own_margins, float(w[-1]), int(k)) for own_margins, k in zip(margins, n)])
+    # Evidence that single sentences don't give: words that toxic documents hold again and again.
+    whole = document_rows(np.stack([r.sum(0, dtype=np.float64) for r in raw]), n)
+    sign = np.where(label == 1, 1.0, -1.0)
+    apart = np.empty(len(raw))
+    for fold in range(CROSS):  # margins of documents that the machine has not seen
+        out = np.arange(len(raw)) % CROSS == fold
+        apart[out] = whole[out] @ fit_svm(whole[~out], sign[~out], np.ones((~out).sum()))
     weight = np.where(label == 1, shares[1] / max((label == 1).sum(), 1), shares[0] / max((label == 0).sum(), 1))
-    slope, offset = _platt(margin, label.astype(float), weight)
-    return ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), slope, offset)
+    # A toxic document without a toxic sentence says nothing about the margin of one.
+    told = [(label == 0) | (alone[:, 0] > 0), np.ones(len(raw), bool), np.ones(len(raw), bool)]
+    views = [_calibrated(v[rows], label[rows].astype(float), weight[rows]) for v, rows in zip(_views(alone, apart), told)]
+    return ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), fit_svm(whole, sign, np.ones(len(raw))), views)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -334,7 +373,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: floa
     Without a model every score is 0. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole_row(docs).alias("row"))
 
     def apply(batch: pa.RecordBatch) -> dict[str, list]:
         texts = batch.column(0).field("text").to_pylist()
