@@ -243,14 +243,23 @@ def choose_landmarks(counts: list[tuple[bytes, int, int]], n: int, ratio: float,
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Squared-hinge machine in the primal, by Newton steps over the violating rows."""
+    """Squared-hinge machine in the primal, by Newton steps over the violating rows.
+
+    The normal equations are summed over blocks of rows, so that no copy of ``x`` is made.
+    """
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
     penalty[-1, -1] *= 1e-3  # the bias
     for _ in range(50):
-        active = y * (x @ w) < 1
-        a = x[active] * cost[active, None]
-        new = np.linalg.solve(a.T @ x[active] + penalty, a.T @ y[active])
+        left, right = penalty.copy(), np.zeros(len(w))
+        for i in range(0, len(x), AT_ONCE * 16):
+            part = x[i : i + AT_ONCE * 16].astype(np.float64)
+            signs, costs = y[i : i + len(part)], cost[i : i + len(part)]
+            active = signs * (part @ w) < 1
+            scaled = part[active].T * costs[active]
+            left += scaled @ part[active]
+            right += scaled @ signs[active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -342,15 +351,17 @@ def _fit_documents(landmarks: list[bytes], rows: pa.Table, shares: dict[int, int
     raw = [np.frombuffer(v.as_buffer(), np.float32).reshape(-1, m) for v in rows.column("x")]
     like = np.array([len(r) for r in raw])
     document = np.repeat(np.arange(len(raw)), like)
-    x = np.column_stack([np.concatenate(raw) @ root, np.ones(len(document))])
-    own = len(x)
-    x = np.vstack([x, np.append(np.zeros(m), 1.0)])  # all sentences that are like no landmark
+    own = len(document)
+    x = np.zeros((own + 1, m + 1), np.float32)  # the last row: all sentences that are like no landmark
+    x[:, -1] = 1
+    for at, vectors_of in zip(np.cumsum(like) - like, raw):
+        x[at : at + len(vectors_of), :-1] = vectors_of @ root
     y = np.append(np.where(label[document] == 1, 1.0, -1.0), -1.0)
     cost = np.append(np.ones(own), float(np.log1p((n - like).sum())))
     for _ in range(4):
         w = fit_svm(x, y, cost)
-        y[:own] = np.where((label[document] == 1) & (x[:own] @ w > 0), 1.0, -1.0)
-    margins = np.split(x[:own, :-1] @ w[:-1], np.cumsum(like)[:-1])
+        y[:own] = np.where((label[document] == 1) & (x[:own] @ w.astype(np.float32) > 0), 1.0, -1.0)
+    margins = np.split(x[:own, :-1] @ w[:-1].astype(np.float32), np.cumsum(like)[:-1])
     alone = np.array([sentence_evidence(own_margins, float(w[-1]), int(k)) for own_margins, k in zip(margins, n)])
     # Evidence that single sentences don't give: words that toxic documents hold again and again.
     whole = document_rows(np.stack([r.sum(0, dtype=np.float64) for r in raw]), n)
