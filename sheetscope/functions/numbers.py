@@ -23,6 +23,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def named(name: str, side: str | None = None) -> Column:
+    """A column by its name, whatever characters it holds; ``side`` is a join's alias."""
+    return F.col(f"{side}.{quoted(name)}" if side else quoted(name))
+
+
 def text_literal(value: str) -> str:
     """A string as SQL text."""
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetscope.functions.names import contains_any, match_key, search_token
+from sheetscope.functions.numbers import named
 from sheetscope.operators.insights import reports_by_workbook
 from sheetscope.operators.profile import IDENTIFIER_WORDS
 
@@ -105,8 +106,8 @@ def geo_columns(columns: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 def geo_points(df: DataFrame, name: str, latitude: str, longitude: str) -> DataFrame:
     """``Name, Latitude, Longitude`` of the rows that can stand on a map."""
     lat, lon = F.col(latitude).cast("double"), F.col(longitude).cast("double")
-    return df.filter(lat.between(-90, 90) & lon.between(-180, 180) & F.col(name).isNotNull()).select(
-        F.col(name).alias("Name"), lat.alias("Latitude"), lon.alias("Longitude")
+    return df.filter(lat.between(-90, 90) & lon.between(-180, 180) & named(name).isNotNull()).select(
+        named(name).alias("Name"), lat.alias("Latitude"), lon.alias("Longitude")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.functions.numbers import is_numeric, known
+from sheetscope.functions.numbers import is_numeric, known, named
 
 # Fixed value: a plan holds at most this many derived columns.
 MAX_FEATURES = 6
@@ -113,7 +113,7 @@ def _join_related(df: DataFrame, child: DataFrame, fk: str, pk: str, features: S
             if feature.value not in types:
                 raise LookupError(f"no column {feature.value!r}")
             aggregates.append(F.sum(known(feature.value, types[feature.value])).alias(f"_s{i}"))
-    per_key = child.groupBy(F.col(fk).alias("_fk")).agg(*aggregates)
+    per_key = child.groupBy(named(fk).alias("_fk")).agg(*aggregates)
     rows = F.coalesce("_n", F.lit(0).cast("bigint"))
     columns = []
     for i, feature in enumerate(features):
@@ -124,7 +124,8 @@ def _join_related(df: DataFrame, child: DataFrame, fk: str, pk: str, features: S
         else:
             value = F.coalesce(F.col(f"_s{i}"), F.lit(0)) / F.greatest(rows, F.lit(1))
         columns.append(value.alias(feature.name))
-    return df.join(per_key, df[pk] == per_key["_fk"], "left").select(*[df[c] for c in df.columns], *columns)
+    joined = df.alias("d").join(per_key, named(pk, "d") == F.col("_fk"), "left")
+    return joined.select(*[named(c, "d") for c in df.columns], *columns)
 
 
 def derive(df: DataFrame, tables: Mapping[str, DataFrame], features: Sequence[Feature]) -> DataFrame:
@@ -140,7 +141,7 @@ def derive(df: DataFrame, tables: Mapping[str, DataFrame], features: Sequence[Fe
             raise LookupError(f"no table {child!r}")
         result = _join_related(result, tables[child], fk, pk, members)
     local = {f.name: _local_column(df, f) for f in features if not isinstance(f, Related)}
-    return result.withColumns(local).select(*kept, *[f.name for f in features])
+    return result.withColumns(local).select(*[named(c) for c in [*kept, *[f.name for f in features]]])
 
 
 def apply_plan(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetscope.functions.numbers import filled, known, quoted
+from sheetscope.functions.numbers import filled, known, named, quoted
 from sheetscope.operators.ordering import running_total
 from sheetscope.session import cut_lineage
 
@@ -49,7 +49,7 @@ def period_start(df: DataFrame, moment: str, unit: str):
     """Start of the calendar period of a date, in the type of the column."""
     if unit not in PERIODS:
         raise ValueError(f"unit must be one of {PERIODS}")
-    return F.date_trunc(unit, F.col(moment)).cast(df.schema[moment].dataType)
+    return F.date_trunc(unit, named(moment)).cast(df.schema[moment].dataType)
 
 
 def trend(df: DataFrame, moment: str, measure: str, unit: str = "month") -> DataFrame:
@@ -58,7 +58,7 @@ def trend(df: DataFrame, moment: str, measure: str, unit: str = "month") -> Data
     The windows run over one row per period; the calendar bounds their number.
     """
     periods = (
-        df.filter(F.col(moment).isNotNull())
+        df.filter(named(moment).isNotNull())
         .groupBy(period_start(df, moment, unit).alias("period"))
         .agg(F.sum(_column(df, measure)).alias("total"))
     )
@@ -79,15 +79,15 @@ def sigma_outliers(df: DataFrame, measure: str, by: Sequence[str], k: float = 3.
     broadcasts them when they are small and splits a hot group when they are not.
     """
     value = _column(df, measure)
-    limits = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("spread"))
+    limits = df.groupBy(*map(named, by)).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("spread"))
     if by:
-        same = [F.col(f"d.{name}").eqNullSafe(F.col(f"l.{name}")) for name in by]
+        same = [named(name, "d").eqNullSafe(named(name, "l")) for name in by]
         joined = df.alias("d").join(limits.alias("l"), same).select("d.*", "mean", "spread")
     else:
         joined = df.withColumn("_limits", limits.select(F.struct("mean", "spread")).scalar()).select(
-            *df.columns, "_limits.*"
+            *map(named, df.columns), "_limits.*"
         )
-    return joined.filter(F.abs(F.col(measure) - F.col("mean")) > k * F.col("spread"))
+    return joined.filter(F.abs(named(measure) - F.col("mean")) > k * F.col("spread"))
 
 
 #: Parts into which a quantile's bracket is cut in one round.
@@ -103,7 +103,7 @@ def quantiles(df: DataFrame, measure: str, by: Sequence[str], probabilities: Seq
     rank is the next bracket, until it holds one value. Rounds are sums that combine in
     the task; no values are put in order, whatever their number.
     """
-    by = list(by)
+    by = [quoted(name) for name in by]
     slack = 5.0 / accuracy
     grid = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-slack, slack)]
     rows = filled(df, measure).select(*by, F.expr(f"cast({quoted(measure)} as double) as v"))
@@ -162,10 +162,11 @@ def _narrowed(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
 
 def fence_outliers(df: DataFrame, measure: str, by: Sequence[str], k: float = 1.5) -> DataFrame:
     """Per group: quartiles, fences, and how many rows lie outside them."""
-    by = list(by)
     value = _column(df, measure)
+    quartiles = quantiles(df, measure, by, [0.25, 0.75])
+    by = [quoted(name) for name in by]
     fences = (
-        quantiles(df, measure, by, [0.25, 0.75])
+        quartiles
         .groupBy(*by)
         .agg(
             F.max(F.when(F.col("p") == 0.25, F.col("quantile"))).alias("q1"),

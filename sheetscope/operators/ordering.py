@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sheetscope.functions.numbers import named
 from sheetscope.session import cut_lineage
 
 
@@ -54,9 +55,9 @@ def is_increasing(df: DataFrame, order: str, columns: Sequence[str]) -> DataFram
     """
     folded = df.groupBy(F.col(order).alias("_at")).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(F.col(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(F.col(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
+        *[F.count(named(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
+        *[F.min(named(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
+        *[F.max(named(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
     )
     sliced = range_slices(folded, [F.col("_at")])
     inside = W.partitionBy("_slice").orderBy("_at")

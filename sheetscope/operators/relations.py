@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.functions.numbers import INTEGRAL, filled, quoted
+from sheetscope.functions.numbers import INTEGRAL, filled, named, quoted
 from sheetscope.operators.profile import integer_words, profile_metrics, words_distinct
 
 KEY_PREFIX = "ID_"
@@ -231,7 +231,7 @@ def fk_orphans(
     first, so the joins meet one row per key.
     """
     def keys(df: DataFrame, column: str) -> DataFrame:
-        return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(
+        return df.filter(named(column).isNotNull()).groupBy(named(column).alias("key")).agg(
             F.count(F.lit(1)).alias("n_rows")
         )
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetscope.functions.names import safe_column_names
-from sheetscope.functions.numbers import FLOATING, known
+from sheetscope.functions.numbers import FLOATING, known, named
 from sheetscope.functions.types import SPARK_TYPES, canonical_type_name, clean_table, infer_types, to_logical
 
 
@@ -54,12 +54,12 @@ def update_records(table: DataFrame, patch: DataFrame, row_id: str, given: Mappi
     """
     base, change = table.alias("base"), patch.alias("patch")
     columns = [
-        F.when(F.col(f"patch.{given[name]}"), F.col(f"patch.{name}")).otherwise(F.col(f"base.{name}")).alias(name)
+        F.when(named(given[name], "patch"), named(name, "patch")).otherwise(named(name, "base")).alias(name)
         if name in given
-        else F.col(f"base.{name}")
+        else named(name, "base")
         for name in table.columns
     ]
-    return base.join(change, F.col(f"base.{row_id}") == F.col(f"patch.{row_id}"), "left").select(columns)
+    return base.join(change, named(row_id, "base") == named(row_id, "patch"), "left").select(columns)
 
 
 def latest_per_key(patch: DataFrame, require: Sequence[str], version: str) -> DataFrame:
@@ -68,8 +68,9 @@ def latest_per_key(patch: DataFrame, require: Sequence[str], version: str) -> Da
     Changes of one version are told apart by their other columns, in order.
     """
     others = [c for c in patch.columns if c not in (*require, version)]
-    newest = F.max(F.struct(version, *others)).alias("_newest")
-    return patch.groupBy(*require).agg(newest).select(*require, *[F.col("_newest").getField(c).alias(c) for c in others])
+    newest = F.max(F.struct(*map(named, [version, *others]))).alias("_newest")
+    keys = [named(c) for c in require]
+    return patch.groupBy(*keys).agg(newest).select(*keys, *[F.col("_newest").getField(c).alias(c) for c in others])
 
 
 def upsert_records(
@@ -89,23 +90,23 @@ def upsert_records(
     if version is not None:
         patch = latest_per_key(patch, require, version)
     base, change = table.alias("base"), patch.alias("patch")
-    same = [F.col(f"base.{name}") == F.col(f"patch.{name}") for name in require]
+    same = [named(name, "base") == named(name, "patch") for name in require]
     columns = []
     for name in table.columns:
         if name in require:
-            columns.append(F.coalesce(F.col(f"base.{name}"), F.col(f"patch.{name}")).alias(name))
+            columns.append(F.coalesce(named(name, "base"), named(name, "patch")).alias(name))
         elif name in given:
-            columns.append(F.when(F.col(f"patch.{given[name]}"), F.col(f"patch.{name}")).otherwise(F.col(f"base.{name}")).alias(name))
+            columns.append(F.when(named(given[name], "patch"), named(name, "patch")).otherwise(named(name, "base")).alias(name))
         elif name in patch.columns:
-            columns.append(F.coalesce(F.col(f"patch.{name}"), F.col(f"base.{name}")).alias(name))
+            columns.append(F.coalesce(named(name, "patch"), named(name, "base")).alias(name))
         else:
-            columns.append(F.col(f"base.{name}"))
+            columns.append(named(name, "base"))
     return base.join(change, same, "full_outer").select(columns)
 
 
 def delete_records(table: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
     """Rows whose id is not listed."""
-    return table.join(ids.select(row_id).distinct(), row_id, "left_anti")
+    return table.alias("base").join(ids.select(named(row_id)).distinct().alias("gone"), named(row_id, "base") == named(row_id, "gone"), "left_anti")
 
 
 def read_records(
@@ -119,9 +120,9 @@ def read_records(
     A ``-`` before a sort column means descending.
     """
     for name, values in (filter or {}).items():
-        table = table.filter(F.col(name).isin(*values))
+        table = table.filter(named(name).isin(*values))
     if sort:
-        table = table.orderBy(*[F.col(s[1:]).desc() if s.startswith("-") else F.col(s).asc() for s in sort])
+        table = table.orderBy(*[named(s[1:]).desc() if s.startswith("-") else named(s).asc() for s in sort])
     return table if limit is None else table.limit(limit)
 
 

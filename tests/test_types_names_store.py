@@ -147,3 +147,28 @@ def test_delete_takes_an_id_once(spark):
     base = spark.range(5)
     ids = spark.createDataFrame([(1,), (1,), (3,)], "id bigint")
     assert sorted(r[0] for r in S.delete_records(base, ids, "id").collect()) == [0, 2, 4]
+
+
+def test_names_with_dots_and_quotes(spark):
+    """Sheets name columns `N. commande`; every operator takes them as they are."""
+    from sheetscope.operators import charts, derive, insights
+
+    base = spark.createDataFrame([(1, "a", 1.0), (2, "b", 5.0), (3, "b", 9.0)], "`N. id` int, `x.y` string, `v``.w` double")
+    patch = spark.createDataFrame([(2, "z", 2), (2, "q", 1), (4, "n", 1)], "`N. id` int, `x.y` string, `ver.` int")
+    found = S.upsert_records(base, patch, ["N. id"], "ver.")
+    assert sorted((r[0], r[1]) for r in found.collect()) == [(1, "a"), (2, "z"), (3, "b"), (4, "n")]
+    marked = patch.filter("`ver.` = 2").withColumn("has.", F.lit(True))
+    assert sorted(r[1] for r in S.update_records(base, marked, "N. id", {"x.y": "has."}).collect()) == ["a", "b", "z"]
+    assert S.delete_records(base, patch, "N. id").columns == base.columns
+    assert S.delete_records(base, patch, "N. id").count() == 2
+    assert [r[0] for r in S.read_records(base, {"x.y": ["b"]}, ["-N. id"], 1).collect()] == [3]
+    assert sorted(map(tuple, charts.chart_data(base, "x.y", "v`.w", "sum").collect())) == [("a", 1.0), ("b", 14.0)]
+    assert charts.chart_extremes(base, "x.y", "v`.w").count() == 2
+    assert sorted(map(tuple, insights.quantiles(base, "v`.w", ["x.y"], [0.5]).collect())) == [("a", 0.5, 1.0), ("b", 0.5, 7.0)]
+    assert insights.fence_outliers(base, "v`.w", ["x.y"]).columns[0] == "x.y"
+    assert insights.sigma_outliers(base, "v`.w", ["x.y"], 0.5).columns[:3] == base.columns
+    assert insights.sigma_outliers(base, "v`.w", [], 0.5).count() == 2
+    features = [derive.RelatedCount("n.", "c", "N. id", "N. id"), derive.RelatedAverage("avg.", "c", "N. id", "N. id", "ver."), derive.NullFlag("none.", "x.y")]
+    got = derive.derive(base, {"c": patch}, features)
+    assert got.columns == [*base.columns, "n.", "avg.", "none."]
+    assert sorted((r[0], r["n."], r["avg."]) for r in got.collect()) == [(1, 0, 0.0), (2, 2, 1.5), (3, 0, 0.0)]
