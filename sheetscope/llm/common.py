@@ -53,9 +53,9 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("bigint"), F.lit(-(2**63))).alias(KEY[0]), F.xxhash64(text).alias(KEY[1])]
 
 
-def whole_row(docs: DataFrame) -> Column:
-    """All columns as one struct, whatever characters their names hold."""
-    return F.struct(*(F.col(quoted(name)) for name in docs.columns))
+def whole_row(docs: DataFrame, carried: Iterable[str] | None = None) -> Column:
+    """All columns, or the ``carried`` ones, as one struct, whatever characters their names hold."""
+    return F.struct(*(F.col(quoted(name)) for name in carried or docs.columns))
 
 
 def lower_ascii(text: Column) -> Column:

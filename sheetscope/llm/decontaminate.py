@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sheetscope.llm.common import WORD, lowered, per_batch, words_of
+from sheetscope.llm.common import WORD, lowered, per_batch, whole_row, words_of
 
 NGRAM = 10
 #: The hash set of one broadcast holds at most about this many bytes of windows and ids.
@@ -106,7 +106,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM
     blocks = -(-size // BLOCK_BYTES)
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(max(blocks, 1))))
 
-    out = docs.select(F.struct(*docs.columns).alias("row")).select(
+    out = docs.select(whole_row(docs).alias("row")).select(
         "row",
         F.lit(0).cast("bigint").alias("n_words"),
         F.lit(None).cast(HITS).alias("hits"),

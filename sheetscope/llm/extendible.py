@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheetscope.llm.common import in_arrow, lowered, partitions, per_batch
+from sheetscope.llm.common import in_arrow, lowered, partitions, per_batch, whole_row
 from sheetscope.session import cut_lineage, shared_folder
 
 #: Buckets per shuffle partition that the directory aims at.
@@ -35,7 +35,7 @@ def _hashed(docs: DataFrame, carried: list[str]) -> DataFrame:
 
     Normalised means A-Z lower-cased and null as empty. The hash is the head of the digest.
     """
-    rows = docs.select(F.struct(*carried).alias("row"), *([] if "text" in carried else ["text"]))
+    rows = docs.select(whole_row(docs, carried).alias("row"), *([] if "text" in carried else ["text"]))
     schema = T.StructType([rows.schema["row"], T.StructField("hash", T.LongType()), T.StructField("digest", T.BinaryType())])
 
     def digest(batch: pa.RecordBatch) -> dict[str, list]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql import types as T
 
-from sheetscope.llm.common import KEY, in_arrow, partitions, per_batch, row_key, words_of
+from sheetscope.llm.common import KEY, in_arrow, partitions, per_batch, row_key, whole_row, words_of
 from sheetscope.llm.components import connected_components
 from sheetscope.session import cut_lineage
 
@@ -302,7 +302,7 @@ def drop_similar(docs: DataFrame, **options) -> DataFrame:
     found = similar_documents(docs, **options)
     classes = found.filter("class is not null").groupBy("class").agg(F.min(F.struct(*KEY)).alias("first")).select("first.*")
     kept = classes.union(found.filter("class is null").select(*KEY).distinct())
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
+    rows = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
     return rows.join(kept, [*KEY], "left_semi").dropDuplicates([*KEY]).select("row.*")
 
 

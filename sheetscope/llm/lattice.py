@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.llm.common import crc_remainder, in_arrow, lowered, per_batch, schema_with
+from sheetscope.llm.common import crc_remainder, in_arrow, lowered, per_batch, schema_with, whole_row
 from sheetscope.session import cut_lineage
 
 FOLDS, HELD_OUT = 7, 2
@@ -229,7 +229,7 @@ def score_documents(
     top = weighed.orderBy(F.desc("times"), "word").limit(frequent).collect()
     known_words = {bytes(r["word"]): (r["c"], r["lattice"]) for r in top}
     shared = docs.sparkSession.sparkContext.broadcast((model, _weights(known_words, model)))
-    rows = docs.select(F.struct(*(carried or docs.columns)).alias("row"), "text")
+    rows = docs.select(whole_row(docs, carried).alias("row"), "text")
 
     def read(batch: pa.RecordBatch) -> dict[str, list]:
         own, weights = shared.value

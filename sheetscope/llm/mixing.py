@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sheetscope.llm.common import whole_row
 from sheetscope.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -119,7 +120,7 @@ def mix_sources(
     """
     member = F.array("source") if membership is None else F.array_sort(F.array_distinct(membership))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).cast("binary"))
-    base = docs.select(F.struct(*docs.columns).alias("row"), text_size(F.col("text")).alias("size"), member.alias("pattern"), order.alias("place"))
+    base = docs.select(whole_row(docs).alias("row"), text_size(F.col("text")).alias("size"), member.alias("pattern"), order.alias("place"))
 
     narrow = cut_lineage(base.groupBy("pattern", F.substring("place", 1, DIGITS).alias("bucket")).agg(F.sum("size").alias("size")))
     capacity = {tuple(r["pattern"]): r["size"] for r in narrow.groupBy("pattern").agg(F.sum("size").alias("size")).collect()}
@@ -177,8 +178,16 @@ def _last_places(base: DataFrame, narrow: DataFrame, plan: DataFrame) -> DataFra
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, with ``taken`` and ``repeats``, the passes over each.
 
-    A column of ``docs`` of one of these names is replaced.
+    All columns of ``docs`` stay. Where one has such a name already, the mix's own takes
+    ``mix_`` before it.
     """
-    own = [c for c in docs.columns if c not in ("taken", "repeats")]
-    passes = (F.col("taken") / F.col("size")).cast("int")
-    return mix_sources(docs, **options).filter("taken > 0").select(*[F.col(f"row.`{c}`").alias(c) for c in own], "taken", passes.alias("repeats"))
+    passes = (F.col("taken") / F.col("size")).cast("int").alias(_free("repeats", docs.columns))
+    taken = F.col("taken").alias(_free("taken", docs.columns))
+    return mix_sources(docs, **options).filter("taken > 0").select("row.*", taken, passes)
+
+
+def _free(name: str, used: Sequence[str]) -> str:
+    """``name``, after as many ``mix_`` as it takes to clash with none of ``used``."""
+    while name.lower() in {c.lower() for c in used}:
+        name = f"mix_{name}"
+    return name

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.llm.common import agreed_labels, crc_remainder, per_batch, sampled_ids, schema_with
+from sheetscope.llm.common import agreed_labels, crc_remainder, per_batch, sampled_ids, schema_with, whole_row
 
 FOLDS, HELD_OUT = 5, 0
 #: At most so many trusted positives, and so many unlabelled texts, are learned from.
@@ -187,7 +187,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, threshold: float
     is 0.5. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = docs.select(whole_row(docs).alias("row"))
 
     def apply(batch: pa.RecordBatch) -> dict[str, list]:
         texts = batch.column(0).field("text").to_pylist()

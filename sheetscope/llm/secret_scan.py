@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.llm.common import KEY, row_key
+from sheetscope.llm.common import KEY, row_key, whole_row
 from sheetscope.session import cut_lineage
 
 #: More alternatives than this are not spelled out when a query is derived.
@@ -190,7 +190,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     trigrams = sorted({t for q in queries.values() for need in q for t in need})
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
+    rows = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
     if queries:
         index = cut_lineage(postings(docs, trigrams))
         rows = rows.join(candidates(index, queries, trigrams), [*KEY], "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetscope.llm.common import KEY, WORD, per_batch, row_key, schema_with
+from sheetscope.llm.common import KEY, WORD, per_batch, row_key, schema_with, whole_row
 from sheetscope.session import cut_lineage
 
 SENTENCES = 2
@@ -94,7 +94,7 @@ def drop_repeated_sentences(docs: DataFrame, sentences: int = SENTENCES, words:
     each other, and get the same result. Sentences without words are never removed.
     """
     removed = repeated_sentences(docs, sentences, words)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
+    rows = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id"), F.col("text")))
     joined = rows.join(removed, [*KEY], "left").select("row", "removed")
     schema = schema_with(joined.select("row"), "n_sentences bigint, n_removed bigint, removed_words bigint")
 

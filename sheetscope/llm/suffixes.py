@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sheetscope.llm.common import KEY, in_arrow, partitions, per_batch, row_key
+from sheetscope.llm.common import KEY, in_arrow, partitions, per_batch, row_key, whole_row
 from sheetscope.llm.induced import MEMORY, suffix_order
 from sheetscope.session import cut_lineage
 
@@ -293,7 +293,7 @@ def cut_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text are one document: they are not each other's repeats and get the same result.
     """
     spans, _ = repeated_bytes(docs, length)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.col("text"))).join(spans, [*KEY], "left")
+    rows = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id"), F.col("text"))).join(spans, [*KEY], "left")
     own = rows.select("row", "spans")
 
     def cut(batch: pa.RecordBatch) -> dict[str, list]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, row string, size int, `a b` string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, row string, size int, `a b` string, `a.b` string"
 PASSAGE = "the quick brown fox jumps over the lazy dog. and then it runs far away into the deep dark green forest near the old stone mill by the river today. "
 
 
 def documents(spark, rows):
     """``rows`` of (doc_id, text, source), with columns whose names clash with ours."""
-    return spark.createDataFrame([(i, t, None, s, None, "x", "y", 7, "z") for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, s, None, "x", "y", 7, "z", "w") for i, t, s in rows], SCHEMA)
 
 
 def awkward(spark):
