@@ -144,6 +144,39 @@ def test_lattice_sums_all_segmentations():
     assert math.isclose(expected[5], 3 * 0.05 / total) and math.isclose(expected[4], 3 * 0.1 * 0.2 / total)
 
 
+def test_words_summed_together_equal_words_summed_alone():
+    pieces = lattice.load_pieces()
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeéinst日\U0001f600.x") for _ in range(rng.choice([1, 2, 3, 7, 20]))) for _ in range(300)] + ["", "z" * 3000]
+    times = [rng.randint(1, 5) for _ in words]
+    assert np.allclose(lattice.log_sums(pieces, words), [pieces.log_sum(w) for w in words], rtol=1e-12)
+    alone, together = np.zeros(len(pieces.logs)), np.zeros(len(pieces.logs))
+    for word, n in zip(words, times):
+        pieces.expect(word, n, alone)
+    lattice.expect_all(pieces, words, times, together)
+    assert np.allclose(alone, together, rtol=1e-9)
+
+
+@pytest.mark.parametrize("frequent", [1, 1000])
+def test_document_scores_are_sums_over_all_segmentations(spark, frequent):
+    """Held-out and taught words, against every segmentation written out."""
+    texts = ["ab abc", "abc", "Ab ca ab", None, "bac cab ab"]
+    docs = documents(spark, [(i, t, None) for i, t in enumerate(texts)])
+    model, words = lattice.train(docs.filter("doc_id < 3"))
+    counts = Counter(w for t in texts[:3] for w in t.lower().split())
+    single = {p: math.exp(model.pieces.logs[i]) for p, i in model.pieces.number.items()}
+
+    def own(word):
+        spelled = sum(segmentations("▁" + word, single))
+        known = counts[word] / model.tokens
+        return math.log10((lattice.WHOLE * known if known else 0) + (1 - lattice.WHOLE) * spelled)
+
+    end = model.pieces.logs[model.pieces.end] / math.log(10)
+    for r in lattice.score_documents(docs, model, words, frequent).collect():
+        expected = end + sum(own(w) for w in (r["row"]["text"] or "").lower().split())
+        assert math.isclose(r["score"], expected, rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("frequent", [3, 1000])
 def test_base_scores_against_brute_force(spark, frequent):
     rng = random.Random(1)
