@@ -15,15 +15,19 @@ from sheetscope.operators.crosstab import summary_name_of
 from sheetscope.operators.insights import report
 from sheetscope.plans.base import Tables
 from sheetscope.session import cut_lineage
+from sheetscope.sources.tables import file_states
 
 
-# Catalogs written so far, by application, folder and builder.
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+# Catalogs written so far, by application, the files they come from, and builder.
+_WRITTEN: dict[tuple, DataFrame] = {}
 
 
 def stored(t: Tables, build) -> DataFrame:
-    """A catalog that queries read several times: computed once a session and written out."""
-    key = t.spark.sparkContext.applicationId, t.root, build.__name__
+    """A catalog that queries read several times: computed once a session and written out.
+
+    It is computed anew when a file of the folder has come, gone or changed.
+    """
+    key = t.spark.sparkContext.applicationId, file_states(t.spark, t.root), build.__name__
     if key not in _WRITTEN:
         _WRITTEN[key] = cut_lineage(build(t))
     return _WRITTEN[key]

@@ -13,6 +13,7 @@ from sheetscope.plans.base import (
     COLUMNS, IDENTIFIER_SQL, NUMERIC, Tables, query, rounded, stats_sql, top_values_sql,
 )
 from sheetscope.session import cut_lineage, shared_folder
+from sheetscope.sources.partitioned import read_summaries, replace_summaries
 from sheetscope.sources.tables import load_profile, save_profile, union_all
 
 STATS = f"WITH stats AS ({stats_sql()}) "
@@ -256,6 +257,19 @@ def crosstab_all_pairs(t: Tables):
     return rounded(X.crosstab_pairs(t.all()).select(X.RESULT), somme=2, moyenne=4)
 
 
+@query(
+    "crosstab_stored",
+    PAIRS
+    + 'SELECT "table", group_by, metric, grp, effectif, round(somme, 2) AS somme, round(moyenne, 4) AS moyenne, min, max FROM kept',
+)
+def crosstab_stored(t: Tables):
+    """All summaries stored, those of one table stored anew, and read back."""
+    path = f"{shared_folder(t.spark)}/summaries-{uuid.uuid4().hex}"
+    replace_summaries(X.crosstab_pairs(t.all()), path)
+    replace_summaries(X.crosstab_pairs(t.pick("orders")), path)
+    return rounded(read_summaries(t.spark, path), somme=2, moyenne=4)
+
+
 @query(
     "crosstab_scores",
     PAIRS + 'SELECT "table", group_by, metric, n_groups, round(coverage, 6) AS coverage, round(score, 6) AS score, rank FROM ranked',

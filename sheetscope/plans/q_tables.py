@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheetscope.functions import names as N
 from sheetscope.functions import types as Y
 from sheetscope.plans.base import LOGICAL, Tables, each_column, query
+from sheetscope.session import shared_folder
 from sheetscope.sources import store as S
+from sheetscope.sources.partitioned import edit_partitions, save_partitioned
 from sheetscope.sources.tables import column_catalog, preview
 
 
@@ -105,6 +109,31 @@ def delete_by_id(t: Tables):
     return S.delete_records(t.orders, ids, "o_orderkey")
 
 
+@query(
+    "edit_by_partition",
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN year(o_orderdate) = 1998 THEN NULL ELSE o_totalprice END AS o_totalprice,
+           o_orderdate, o_orderpriority, CAST(year(o_orderdate) AS INT) AS year
+    FROM orders
+    WHERE year(o_orderdate) NOT IN (1996, 1997) OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+    """,
+)
+def edit_by_partition(t: Tables):
+    """Orders stored by year: those returned go from two years, a third loses its totals,
+    and the folders of all other years stay as they are."""
+    path = f"{shared_folder(t.spark)}/orders-{uuid.uuid4().hex}"
+    orders = t.orders.withColumn("year", F.year("o_orderdate"))
+    save_partitioned(orders, path, ["year"])
+    edit = lambda years, change: edit_partitions(
+        t.spark, path, orders.schema, ["year"], t.spark.createDataFrame([(y,) for y in years], "year int"), change
+    )
+    returned = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    edit((1996, 1997), lambda rows: S.delete_records(rows, returned, "o_orderkey"))
+    emptied = orders.select("o_orderkey", F.lit(None).cast("double").alias("o_totalprice"), F.lit(True).alias("given"))
+    edit((1998,), lambda rows: S.update_records(rows, emptied, "o_orderkey", {"o_totalprice": "given"}))
+    return t.spark.read.schema(orders.schema).parquet(path)
+
+
 @query(
     "read_filter_sort_limit",
     """

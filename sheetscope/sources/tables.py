@@ -58,6 +58,17 @@ def list_tables(spark: SparkSession, root: str) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
+def file_states(spark: SparkSession, root: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of every file under ``root``; what was derived from them holds as long as these."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def read_tables(
     spark: SparkSession,
     root: str,
