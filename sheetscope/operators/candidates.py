@@ -52,6 +52,17 @@ ROLE_DOMAINS = {
     "milestones": "PROJECT",
 }
 DOMAIN_SHARE = 0.6
+# Words of sheet and column names, without accents and in the singular, by domain.
+DOMAIN_WORDS = {
+    "HR": "employee employe salarie personnel salary salaire absence leave conge evaluation manager departement department matricule contrat hire embauche",
+    "DECISIONNEL": "revenue chiffre vente sale budget indicateur kpi marge margin objectif target forecast prevision",
+    "SUPPORT": "ticket customer client agent priorite priority reclamation complaint sla resolution",
+    "STUDENT": "student etudiant eleve grade note course cours matiere classe exam examen semestre",
+    "SI": "asset actif materiel serveur server incident user utilisateur licence license logiciel software inventaire",
+    "PROJECT": "task tache milestone jalon project projet team equipe echeance deadline sprint livrable",
+}
+# A word in a sheet's name says more of a workbook than one in a column's.
+TABLE_WEIGHT, COLUMN_WEIGHT = 3, 1
 GENERIC = "GENERIC"
 
 
@@ -237,7 +248,11 @@ def domain_tags(tables: DataFrame) -> DataFrame:
     with no role at all, the workbook is generic.
     """
     found = role_mapping(tables).select("workbook", F.element_at(_literal_map(ROLE_DOMAINS), F.col("role")).alias("domain"))
-    hits = found.groupBy("workbook", "domain").agg(F.count(F.lit(1)).alias("hits"))
+    return _best_domains(tables, found.groupBy("workbook", "domain").agg(F.count(F.lit(1)).alias("hits")))
+
+
+def _best_domains(tables: DataFrame, hits: DataFrame) -> DataFrame:
+    """The domain with the largest share of each workbook's ``hits``."""
     best = hits.groupBy("workbook").agg(
         F.sum("hits").alias("_all"), F.min(F.struct((-F.col("hits")).alias("rank"), F.col("domain"))).alias("_best")
     )
@@ -249,6 +264,41 @@ def domain_tags(tables: DataFrame) -> DataFrame:
     )
 
 
+def word_domains() -> dict[str, str]:
+    """Domain of every word of ``DOMAIN_WORDS``."""
+    return {word: domain for domain, words in DOMAIN_WORDS.items() for word in words.split()}
+
+
+def name_tokens(name: Column) -> Column:
+    """Words of a name: no accents, lower case, capitals inside a word begin one, no plural ``s``."""
+    parted = F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1 $2")
+    words = F.split(match_key(parted), "[^a-z0-9]+")
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.regexp_replace(w, "s$", "")))))
+
+
+def column_domain_tags(columns: DataFrame) -> DataFrame:
+    """``workbook, domain, confidence`` from the words of sheet and column names.
+
+    ``columns`` has ``workbook, table, column``. A word counts once a workbook, as a word
+    of a sheet or of a column, with that place's weight. A domain's confidence is its share
+    of all weight found; below the limit, or with no word known, the workbook is generic.
+    Nulls have no words; ties go to the domain that is first by name.
+    """
+    words = _literal_map(word_domains())
+    place = lambda name, weight: F.transform(
+        F.coalesce(name_tokens(F.col(name)), F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight"))
+    )
+    named_words = columns.select("workbook", F.inline(F.concat(place("table", TABLE_WEIGHT), place("column", COLUMN_WEIGHT))))
+    found = (
+        named_words.withColumn("domain", F.try_element_at(words, F.col("word")))
+        .filter("domain is not null")
+        .groupBy("workbook", "domain", "word")
+        .agg(F.max("weight").alias("weight"))
+    )
+    hits = found.groupBy("workbook", "domain").agg(F.sum("weight").alias("hits"))
+    return _best_domains(columns, hits)
+
+
 def override_domains(tags: DataFrame, overrides: DataFrame) -> DataFrame:
     """Domain tags with the users' corrections; confidence is kept."""
     chosen = overrides.select("workbook", F.col("domain").alias("_domain"))

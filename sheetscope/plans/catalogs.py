@@ -316,6 +316,21 @@ def event_overrides(t: Tables) -> DataFrame:
     )
 
 
+# Sheet and column that an event of a user's day stands for.
+EVENT_COLUMNS = {
+    "signup": ("Employés", "Salaire brut"), "error": ("Incidents", "numeroSerie"), "view": ("Feuille 1", "Départements"),
+    "click": ("Suivi", "Ticket_No"), "purchase": ("Ventes 2024", "Nom du client"),
+}
+
+
+def event_columns(t: Tables) -> DataFrame:
+    """``workbook, table, column``: a workbook per user and day, a column per event."""
+    kinds = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in EVENT_COLUMNS.items() for x in pair])
+    names = F.try_element_at(kinds, F.col("event_type"))
+    workbook = F.concat(F.lit("u"), F.col("user_id"), F.lit("_"), F.date_format("ts", "yyyy-MM-dd"))
+    return t.events.select(workbook.alias("workbook"), names[0].alias("table"), names[1].alias("column"))
+
+
 EVENT_TABLES_CTE = """
     event_tables AS (
         SELECT 'u' || user_id || '_' || strftime(ts, '%Y-%m-%d') AS workbook,

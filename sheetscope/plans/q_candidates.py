@@ -214,6 +214,34 @@ def domain_tag(t: Tables):
     return rounded(K.domain_tags(C.event_tables(t)), confidence=6)
 
 
+def _column_tags_sql() -> str:
+    kinds = ", ".join("('{}', '{}', '{}')".format(kind, *names) for kind, names in C.EVENT_COLUMNS.items())
+    words = ", ".join(f"('{word}', '{domain}')" for word, domain in K.word_domains().items())
+    tokens = "string_split_regex(lower(strip_accents(regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g'))), '[^a-z0-9]+')"
+    return f"""
+    WITH kinds(event_type, tbl, col) AS (VALUES {kinds}), words(word, domain) AS (VALUES {words}),
+    cols AS (SELECT 'u' || user_id || '_' || strftime(ts, '%Y-%m-%d') AS workbook, tbl, col FROM events LEFT JOIN kinds USING (event_type)),
+    named AS (
+        SELECT DISTINCT workbook, unnest({tokens.format("tbl")}) AS word, {K.TABLE_WEIGHT} AS weight FROM cols
+        UNION SELECT DISTINCT workbook, unnest({tokens.format("col")}), {K.COLUMN_WEIGHT} FROM cols
+    ),
+    found AS (
+        SELECT workbook, domain, w.word, max(weight) AS weight FROM named n JOIN words w ON w.word IN (n.word, regexp_replace(n.word, 's$', '')) GROUP BY ALL
+    ),
+    best AS (
+        SELECT workbook, domain, sum(weight) / sum(sum(weight)) OVER (PARTITION BY workbook) AS share FROM found GROUP BY workbook, domain
+        QUALIFY row_number() OVER (PARTITION BY workbook ORDER BY sum(weight) DESC, domain) = 1
+    )
+    SELECT workbook, CASE WHEN share >= {K.DOMAIN_SHARE} THEN domain ELSE 'GENERIC' END AS domain, round(coalesce(share, 0), 6) AS confidence
+    FROM (SELECT DISTINCT workbook FROM cols) LEFT JOIN best USING (workbook)
+    """
+
+
+@query("domain_tag_columns", _column_tags_sql())
+def domain_tag_columns(t: Tables):
+    return rounded(K.column_domain_tags(C.event_columns(t)), confidence=6)
+
+
 @query(
     "domain_roles",
     TAGS + 'SELECT DISTINCT workbook, lower("table") AS role, "table" FROM event_tables WHERE "table" IS NOT NULL',

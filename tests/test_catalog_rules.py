@@ -296,3 +296,13 @@ def test_quantiles_of_a_million_values_use_no_window(spark):
     assert I.quantiles(odd, "v", [], [0.5, 0.75], accuracy=100).orderBy("p").first()["quantile"] == 1e-300
     plan = I._narrowed(df, spark.createDataFrame([(1, 0.5, "below", 0, 0.0, 9.0)], "n bigint, p double, side string, rank bigint, low double, high double"), [])
     assert "Window" not in plan._jdf.queryExecution().toString()
+
+
+def test_domain_from_column_words(rows):
+    from sheetscope.operators import candidates
+
+    sheets = {"hr": {"Employes": ["ID", "Nom", "Departement", "Salaire"], "Absences": ["ID_Employe", "Date_Debut", "Duree_Jours"]}, "none": {"A": ["b"]}, "two": {"Tickets": ["x"], "Tâches": ["y"]}, "camel": {"F1": ["dateEmbauche", None]}}
+    data = [(w, t, c) for w, tables in sheets.items() for t, names in tables.items() for c in names] + [("null", None, None)]
+    tags = candidates.column_domain_tags(rows(data, "workbook string, table string, column string"))
+    found = {r["workbook"]: (r["domain"], r["confidence"]) for r in tags.collect()}
+    assert found == {"hr": ("HR", 1.0), "none": ("GENERIC", 0.0), "two": ("GENERIC", 0.5), "camel": ("HR", 1.0), "null": ("GENERIC", 0.0)}
