@@ -260,16 +260,28 @@ def report(insights: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
 def rejects(insights: DataFrame, size: int = REPORT_SIZE) -> DataFrame:
     """Insights that are not in the report, with the reason.
 
-    Every insight is in the report or here. A workbook's valid ones are numbered as the
-    report numbers them; those beyond its size are surplus.
+    Every insight is in the report or here. The report's last entry of each workbook is
+    found first, each task keeping ``size`` rows; what comes after it is surplus, told by
+    a join, so that no task holds all insights of a workbook. Insights that tie with the
+    last entry are numbered among themselves.
     """
-    order = W.partitionBy("workbook", valid_insight()).orderBy("priority", "seq")
-    reason = (
-        F.when(~F.coalesce(F.col("type").isin(*INSIGHT_TYPES), F.lit(False)), "unknown type")
-        .when(~valid_insight(), "priority out of range")
-        .when(F.row_number().over(order) > size, "report is full")
+    reason = F.when(~F.coalesce(F.col("type").isin(*INSIGHT_TYPES), F.lit(False)), "unknown type").when(
+        ~valid_insight(), "priority out of range"
     )
-    return insights.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    invalid = insights.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    valid = insights.filter(valid_insight())
+    place = F.struct("priority", "seq")
+    best = W.partitionBy("workbook").orderBy("priority", "seq")
+    kept = valid.select("workbook", place.alias("_last"), F.row_number().over(best).alias("_rank")).filter(F.col("_rank") <= size)
+    # At most ``size`` rows a workbook.
+    lasts = kept.groupBy("workbook", "_last").agg(F.count(F.lit(1)).alias("_ties"))
+    ends = lasts.groupBy("workbook").agg(F.max(F.struct("_last", "_ties")).alias("_end")).select(F.col("workbook").alias("_workbook"), "_end.*")
+    met = valid.join(ends, F.col("workbook").eqNullSafe(F.col("_workbook"))).withColumn("_place", place)
+    beyond = met.filter(F.col("_place") > F.col("_last"))
+    tied = met.filter(F.col("_place") == F.col("_last"))
+    among = W.partitionBy("workbook", "priority", "seq").orderBy("type")
+    surplus = beyond.unionByName(tied.withColumn("_n", F.row_number().over(among)).filter(F.col("_n") > F.col("_ties")).drop("_n"))
+    return invalid.unionByName(surplus.select(*map(named, insights.columns), F.lit("report is full").alias("reason")))
 
 
 def reports_by_workbook(reports: DataFrame) -> DataFrame:

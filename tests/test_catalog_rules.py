@@ -306,3 +306,18 @@ def test_domain_from_column_words(rows):
     tags = candidates.column_domain_tags(rows(data, "workbook string, table string, column string"))
     found = {r["workbook"]: (r["domain"], r["confidence"]) for r in tags.collect()}
     assert found == {"hr": ("HR", 1.0), "none": ("GENERIC", 0.0), "two": ("GENERIC", 0.5), "camel": ("HR", 1.0), "null": ("GENERIC", 0.0)}
+
+
+def test_report_and_rejects_hold_every_insight_once(rows):
+    from collections import Counter
+
+    from sheetscope.operators import insights
+
+    data = [(w, i // 2, "trend" if i % 7 else "odd", "t", "c", f"f{i}", (i * 5) % 8) for w in (1, 2, None) for i in range(40 if w == 1 else 4)]
+    df = rows(data, "workbook bigint, seq int, type string, table string, col string, finding string, priority int")
+    kept = Counter(r["workbook"] for r in insights.report(df).collect())
+    gone = insights.rejects(df).collect()
+    assert Counter(r["workbook"] for r in gone) + kept == Counter(r[0] for r in data)
+    assert {r["reason"] for r in gone} == {"unknown type", "priority out of range", "report is full"}
+    worst = sorted((r[6], r[1]) for r in data if r[0] == 1 and r[2] == "trend" and 1 <= r[6] <= 5)[insights.REPORT_SIZE - 1]
+    assert all((r["priority"], r["seq"]) >= worst for r in gone if r["workbook"] == 1 and r["reason"] == "report is full")
