@@ -108,7 +108,13 @@ def _dense(major: np.ndarray, minor: np.ndarray, rank: np.ndarray, tied: np.ndar
 
     A rank is the number of members below, so breaking ties inside a rank moves no other.
     """
-    order = np.lexsort((minor, major))
+    top = int(minor.max()) + 1
+    if not major.any():
+        order = np.argsort(minor)
+    elif top < 2**62 // len(rank):
+        order = np.argsort(major * top + minor.astype(np.int64))
+    else:
+        order = np.lexsort((minor, major))
     a, b = major[order], minor[order]
     new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
     group = np.append(True, a[1:] != a[:-1])
@@ -119,8 +125,9 @@ def _dense(major: np.ndarray, minor: np.ndarray, rank: np.ndarray, tied: np.ndar
     return out
 
 
-def _order_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
-    """S* places in the order of their suffixes, ties beyond ``depth`` bytes by place.
+def _order_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """S* places in the order of their suffixes, ties beyond ``depth`` bytes by place, and
+    their ranks; suffixes of one rank agree over ``depth`` bytes.
 
     The names' ranks are the reduced string; its suffixes are ordered by ranks of twice
     as many names each round, among the tied alone.
@@ -132,7 +139,8 @@ def _order_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
         reach = bounds[np.minimum(tied + step, m)] - stars[tied]
         tied = tied[reach < depth]
         if not len(tied):
-            return stars[np.argsort(rank, kind="stable")]
+            order = np.argsort(rank, kind="stable")
+            return stars[order], rank[order]
         # A tied suffix whose twin reaches the depth does so itself, so ranks stay whole.
         after = tied + step
         minor = np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
@@ -153,10 +161,10 @@ class _Minima:
         with the one put in before it: one more than the least in between."""
         out, whole = [], prefix.min()
         order = np.argsort(byte, kind="stable")
-        cuts = np.flatnonzero(np.diff(byte[order], prepend=-1))
+        cuts = np.append(0, np.flatnonzero(np.diff(byte[order])) + 1)
         self.least, before = np.minimum(self.least, whole), self.least
         for begin, end in zip(cuts, np.append(cuts[1:], len(order))):
-            own = np.sort(order[begin:end])
+            own = order[begin:end]
             b, places = int(byte[own[0]]), at[own]
             starts = np.append(0, places + 1)
             inside = starts[starts < len(prefix)]
@@ -179,11 +187,12 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
         return np.zeros(0, np.int64), np.zeros(0, np.int16)
     small = _s_types(text)
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(stars):
-        stars = _order_stars(text, stars, depth)
     star_prefix = np.zeros(len(stars), np.int16)
-    if len(stars) > 1:
-        star_prefix[1:] = _common(text, stars[:-1], stars[1:], depth)
+    if len(stars):
+        stars, rank = _order_stars(text, stars, depth)
+        new = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+        star_prefix[1:] = depth
+        star_prefix[new] = _common(text, stars[new - 1], stars[new], depth)
     star_at = np.searchsorted(text[stars], np.arange(257))
     with tempfile.TemporaryDirectory() as scratch:
         larges = _induce_large(text, small, stars, star_prefix, star_at, depth, Path(scratch), memory)
@@ -191,7 +200,13 @@ def suffix_order(text: np.ndarray, depth: int, memory: int = MEMORY) -> tuple[np
 
 
 def _seam(text: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
-    return int(_common(text[: max(low[-1], high[0]) + depth], low[-1:], high[:1], depth)[0]) if len(low) and len(high) else 0
+    """The common prefix of the last suffix below and the first above, up to ``depth``."""
+    if not len(low) or not len(high):
+        return 0
+    a, b = int(low[-1]), int(high[0])
+    n = min(depth, len(text) - max(a, b))
+    differ = np.flatnonzero(text[a : a + n] != text[b : b + n])
+    return int(differ[0]) if len(differ) else n
 
 
 def _induce_large(text, small, stars, star_prefix, star_at, depth, scratch, memory) -> TupleQueue:
@@ -257,7 +272,7 @@ def _put(text, kind, places, prefix, minima, queue) -> None:
         minima.least = np.minimum(minima.least, prefix.min())
         return
     moved = left[at]
-    for byte, own, values in minima.spread(text[moved].astype(np.int64), at, prefix):
+    for byte, own, values in minima.spread(text[moved], at, prefix):
         queue.push(byte, moved[own], values)
 
 

@@ -32,6 +32,10 @@ GRAM = 32
 COMMON, SHARE = 64, 10_000
 #: A shard orders the suffixes of about so many bytes at once, a common hash's at a time.
 AT_ONCE = 2_000_000
+#: Texts are hashed about so many bytes at a time, few enough for a core's cache.
+CHUNK = 65_536
+#: Common hashes are looked up by so many first bits before they are searched for.
+HEAD_BITS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,47 +53,114 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """A text's bytes, its grams' hashes, and of each segment hash, first and last window."""
+    """Texts' bytes in one array, and of each segment its text, hash, first and last window.
 
-    data: bytes
-    hashes: np.ndarray
+    Windows count from the start of their text; ``start`` is where that lies in ``data``.
+    """
+
+    data: np.ndarray
+    start: np.ndarray
+    text: np.ndarray
     least: np.ndarray
     first: np.ndarray
     last: np.ndarray
+    twice: np.ndarray
 
-    def weighted(self, length: int) -> np.ndarray:
+    def weighted(self) -> np.ndarray:
         """The segments' hashes, those twice that occur more than once in their own segment:
         such a segment may repeat within itself."""
-        more = [
-            v for v, a, b in zip(self.least, self.first, self.last + length - GRAM + 1) if np.count_nonzero(self.hashes[a:b] == v) > 1
-        ]
-        return np.concatenate([self.least, np.array(more, np.uint64)])
+        return np.concatenate([self.least, self.least[self.twice]])
+
+    def piece(self, i: int, length: int) -> bytes:
+        begin = self.start[self.text[i]]
+        return self.data[begin + self.first[i] : begin + self.last[i] + length].tobytes()
 
 
-def segments_of(text: str | None, length: int, common: np.ndarray) -> Segments:
-    """Cut a text into segments.
+def segments_of(texts: list[str | None], length: int, common: np.ndarray, inner: bool = False) -> Iterator[Segments]:
+    """Cut texts into segments, about ``CHUNK`` bytes of whole texts at a time.
 
     ``common`` hashes are taken only in windows that have no other, so that a window
-    which reaches beyond a widespread passage is dealt by what stands around it.
+    which reaches beyond a widespread passage is dealt by what stands around it. With
+    ``inner``, segments that hold their hash more than once are marked in ``twice``.
     """
-    data = (text or "").encode()
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return Segments(data, none.view(np.uint64), none.view(np.uint64), none, none)
-    hashes = gram_hashes(np.frombuffer(data, np.uint8))
-    least = _sliding_least(hashes, length - GRAM + 1)
+    held, numbers, size = [], [], 0
+    for number, text in enumerate(texts):
+        data = (text or "").encode()
+        if len(data) < length:
+            continue
+        held.append(data)
+        numbers.append(number)
+        size += len(data)
+        if size >= CHUNK:
+            yield _cut_segments(held, np.array(numbers), len(texts), length, common, inner)
+            held, numbers, size = [], [], 0
+    if held:
+        yield _cut_segments(held, np.array(numbers), len(texts), length, common, inner)
+
+
+def _cut_segments(held: list[bytes], numbers: np.ndarray, n_texts: int, length: int, common: np.ndarray, inner: bool) -> Segments:
+    """Hashes run over all bytes; windows that reach into the next text are left out."""
+    data = np.frombuffer(b"".join(held), np.uint8)
+    ends = np.cumsum([len(h) for h in held])
+    begins = np.append(0, ends[:-1])
+    hashes, width = gram_hashes(data), length - GRAM + 1
     if len(common):
-        if _among(least, common).any():
-            late = _among(hashes, common).astype(np.uint64)
-            hashes = (hashes >> np.uint64(1)) | (late << np.uint64(63))
-            least = _sliding_least(hashes, length - GRAM + 1)
-        else:
-            hashes, least = hashes >> np.uint64(1), least >> np.uint64(1)
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    return Segments(data, hashes, least[first], first, np.append(first[1:], len(least)) - 1)
+        late = _among(hashes, common).astype(np.uint64)
+        hashes = (hashes >> np.uint64(1)) | (late << np.uint64(63))
+    # Two stretches of half a window cover a window; its least hash is the least of one of them.
+    half = (width + 1) // 2
+    halves = _sliding_least(hashes, half)
+    least = np.minimum(halves[: len(halves) - (width - half)], halves[width - half :])
+    own = np.zeros(len(data), bool)
+    for begin, end in zip(begins, ends):
+        own[begin : end - length + 1] = True
+    edge = np.append(True, least[1:] != least[:-1])
+    edge[begins[begins < len(edge)]] = True
+    first = np.flatnonzero(edge & own[: len(least)])
+    text = np.searchsorted(ends, first, "right")
+    last = np.minimum(np.append(first[1:], len(least)), ends[text] - length + 1) - 1
+    value = least[first]
+    twice = np.zeros(len(first), bool)
+    if inner:
+        twice = _more_than_once(hashes, halves, half, value, first, last + width)
+    start = np.zeros(n_texts, np.int64)
+    start[numbers] = begins
+    return Segments(data, start, numbers[text], value, first - begins[text], last - begins[text], twice)
+
+
+def _more_than_once(hashes: np.ndarray, halves: np.ndarray, half: int, value: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each ``value`` occurs more than once in ``hashes[a:b]``.
+
+    It can only where it is the least of the half window behind it or before it.
+    """
+    least = np.zeros(len(hashes), bool)
+    least[: len(halves)] = hashes[: len(halves)] == halves
+    least[half - 1 :] |= hashes[half - 1 :] == halves
+    places = np.flatnonzero(least)
+    # Few hashes occur in two places at all; only their segments are looked into.
+    ordered = np.sort(hashes[places])
+    often = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    out = np.zeros(len(value), bool)
+    if len(often):
+        places = places[_found(hashes[places], often)]
+        keys = np.sort(np.searchsorted(often, hashes[places]) * len(hashes) + places)
+        own = np.flatnonzero(_found(value, often))
+        base = np.searchsorted(often, value[own]) * len(hashes)
+        out[own] = np.searchsorted(keys, base + b[own]) - np.searchsorted(keys, base + a[own]) > 1
+    return out
 
 
 def _among(hashes: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
+    """Which are among ``sorted_hashes``; their first bits rule out most without a search."""
+    heads = np.zeros(1 << HEAD_BITS, bool)
+    heads[sorted_hashes >> np.uint64(64 - HEAD_BITS)] = True
+    out = heads[hashes >> np.uint64(64 - HEAD_BITS)]
+    maybe = np.flatnonzero(out)
+    out[maybe] = _found(hashes[maybe], sorted_hashes)
+    return out
+
+
+def _found(hashes: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
     return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, hashes), len(sorted_hashes) - 1)] == hashes
 
 
@@ -113,7 +184,7 @@ def _common_hashes(source: DataFrame, length: int) -> np.ndarray:
     none = np.zeros(0, np.uint64)
 
     def heads(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [segments_of(t, length, none).least for t in batch.column(0).to_pylist()]
+        found = [cut.least for cut in segments_of(batch.column(0).to_pylist(), length, none)]
         return {"v": pa.array(np.concatenate([none, *found]).view(np.int64))}
 
     counted = cut_lineage(per_batch(source.select("text"), heads, "v bigint").groupBy("v").count().filter(f"count >= {COMMON}"))
@@ -125,10 +196,9 @@ def _common_hashes(source: DataFrame, length: int) -> np.ndarray:
 
     def around(batch: pa.RecordBatch) -> dict[str, list]:
         rows: dict[str, list] = {"v": [], "side": [], "left": [], "right": []}
-        for text in batch.column(0).to_pylist():
-            cut = segments_of(text, length, none)
+        for cut in segments_of(batch.column(0).to_pylist(), length, none):
             for i in np.flatnonzero(_among(cut.least, shared.value)):
-                own = cut.data[cut.first[i] : cut.last[i] + length]
+                own = cut.piece(i, length)
                 at = int(np.flatnonzero(gram_hashes(np.frombuffer(own, np.uint8)) == cut.least[i])[0])
                 rows["v"].append(int(cut.least[i].view(np.int64)))
                 rows["side"].append(hashlib.blake2b(own, digest_size=8).digest())
@@ -161,19 +231,23 @@ def repeated_windows(strings: list[tuple[bytes, int]], length: int, memory: int
     windows that reach into the next string are passed over.
     """
     text = np.frombuffer(b"".join(s for s, _ in strings), np.uint8)
-    ends = np.cumsum([len(s) for s, _ in strings])
+    sizes = [len(s) for s, _ in strings]
+    ends = np.cumsum(sizes)
     order, common = suffix_order(text, length, memory)
-    owner = np.searchsorted(ends, order, "right")
+    owner = np.repeat(np.arange(len(strings), dtype=np.int32), sizes)[order]
     valid = order + length <= ends[owner]
     group = np.cumsum(common < length) - 1
     weight = np.array([n for _, n in strings], np.int64)
     total = np.bincount(group, np.where(valid, weight[owner], 0), minlength=1)
     repeats = np.zeros(len(text) + 1, bool)
     repeats[order[valid & (total[group] > 1)]] = True
-    out = []
-    for begin, end in zip(np.append(0, ends[:-1]), ends):
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], repeats[begin:end].view(np.int8), [0]))))
-        out.append([(int(a), int(b)) for a, b in edges.reshape(-1, 2)])
+    # The last windows of a string reach into the next, so no run goes over its end.
+    edges = np.flatnonzero(np.diff(np.append(False, repeats).view(np.int8))).reshape(-1, 2)
+    of = np.searchsorted(ends, edges[:, 0], "right")
+    begins = np.append(0, ends[:-1])[of]
+    out: list[list[tuple[int, int]]] = [[] for _ in strings]
+    for i, a, b in zip(of.tolist(), (edges[:, 0] - begins).tolist(), (edges[:, 1] - begins).tolist()):
+        out[i].append((a, b))
     return out
 
 
@@ -222,14 +296,15 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     source = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
     common = spark.sparkContext.broadcast(_common_hashes(source, length))
 
-    def narrow(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        found = [segments_of(t, length, common.value) for t in batch.column(2).to_pylist()]
-        keys = {k: pa.array(np.repeat(batch.column(i).to_numpy(), [len(f.least) for f in found])) for i, k in enumerate(KEY)}
-        v, a, b = (np.concatenate([np.zeros(0, np.int64), *(getattr(f, n).view(np.int64) for f in found)]) for n in ("least", "first", "last"))
-        return keys | {"v": pa.array(v), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))}
+    def narrow(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
+        for cut in segments_of(batch.column(2).to_pylist(), length, common.value):
+            of = pa.array(cut.text)
+            keys = {k: batch.column(i).take(of) for i, k in enumerate(KEY)}
+            places = {"a": pa.array(cut.first.astype(np.int32)), "b": pa.array(cut.last.astype(np.int32))}
+            yield keys | {"v": pa.array(cut.least.view(np.int64))} | places
 
     def heads(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        found = [segments_of(t, length, common.value).weighted(length) for t in batch.column(0).to_pylist()]
+        found = [cut.weighted() for cut in segments_of(batch.column(0).to_pylist(), length, common.value, inner=True)]
         return {"v": pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))}
 
     places = f"{KEY[0]} bigint, {KEY[1]} bigint, v bigint, a int, b int"
