@@ -34,8 +34,8 @@ COMMON, SHARE = 64, 10_000
 AT_ONCE = 2_000_000
 #: Texts are hashed about so many bytes at a time, few enough for a core's cache.
 CHUNK = 65_536
-#: Common hashes are looked up by so many first bits before they are searched for.
-HEAD_BITS = 16
+#: Common hashes are looked up by at most so many first bits before they are searched for.
+HEAD_BITS = 26
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +76,7 @@ class Segments:
         return self.data[begin + self.first[i] : begin + self.last[i] + length].tobytes()
 
 
-def segments_of(texts: list[str | None], length: int, common: np.ndarray, inner: bool = False) -> Iterator[Segments]:
+def segments_of(texts: list[str | None], length: int, common: Common, inner: bool = False) -> Iterator[Segments]:
     """Cut texts into segments, about ``CHUNK`` bytes of whole texts at a time.
 
     ``common`` hashes are taken only in windows that have no other, so that a window
@@ -98,14 +98,14 @@ def segments_of(texts: list[str | None], length: int, common: np.ndarray, inner:
         yield _cut_segments(held, np.array(numbers), len(texts), length, common, inner)
 
 
-def _cut_segments(held: list[bytes], numbers: np.ndarray, n_texts: int, length: int, common: np.ndarray, inner: bool) -> Segments:
+def _cut_segments(held: list[bytes], numbers: np.ndarray, n_texts: int, length: int, common: Common, inner: bool) -> Segments:
     """Hashes run over all bytes; windows that reach into the next text are left out."""
     data = np.frombuffer(b"".join(held), np.uint8)
     ends = np.cumsum([len(h) for h in held])
     begins = np.append(0, ends[:-1])
     hashes, width = gram_hashes(data), length - GRAM + 1
     if len(common):
-        late = _among(hashes, common).astype(np.uint64)
+        late = common.among(hashes).astype(np.uint64)
         hashes = (hashes >> np.uint64(1)) | (late << np.uint64(63))
     # Two stretches of half a window cover a window; its least hash is the least of one of them.
     half = (width + 1) // 2
@@ -150,14 +150,33 @@ def _more_than_once(hashes: np.ndarray, halves: np.ndarray, half: int, value: np
     return out
 
 
-def _among(hashes: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
-    """Which are among ``sorted_hashes``; their first bits rule out most without a search."""
-    heads = np.zeros(1 << HEAD_BITS, bool)
-    heads[sorted_hashes >> np.uint64(64 - HEAD_BITS)] = True
-    out = heads[hashes >> np.uint64(64 - HEAD_BITS)]
-    maybe = np.flatnonzero(out)
-    out[maybe] = _found(hashes[maybe], sorted_hashes)
-    return out
+class Common:
+    """A sorted set of hashes, looked up by their first bits before a search.
+
+    The table of first bits has sixteen places a hash or more, so most other hashes fall on
+    an empty one. It is made where it is used, once a worker.
+    """
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self._heads: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "_heads": None}
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of ``hashes`` are in the set."""
+        shift = np.uint64(64 - min(HEAD_BITS, max(8, (16 * len(self)).bit_length())))
+        if self._heads is None:
+            self._heads = np.zeros(1 << (64 - int(shift)), bool)
+            self._heads[self.hashes >> shift] = True
+        out = self._heads[hashes >> shift]
+        maybe = np.flatnonzero(out)
+        out[maybe] = _found(hashes[maybe], self.hashes)
+        return out
 
 
 def _found(hashes: np.ndarray, sorted_hashes: np.ndarray) -> np.ndarray:
@@ -184,7 +203,7 @@ def _common_hashes(source: DataFrame, length: int) -> np.ndarray:
     none = np.zeros(0, np.uint64)
 
     def heads(batch: pa.RecordBatch) -> dict[str, list]:
-        found = [cut.least for cut in segments_of(batch.column(0).to_pylist(), length, none)]
+        found = [cut.least for cut in segments_of(batch.column(0).to_pylist(), length, Common(none))]
         return {"v": pa.array(np.concatenate([none, *found]).view(np.int64))}
 
     counted = cut_lineage(per_batch(source.select("text"), heads, "v bigint").groupBy("v").count().filter(f"count >= {COMMON}"))
@@ -192,12 +211,12 @@ def _common_hashes(source: DataFrame, length: int) -> np.ndarray:
     often = [r["v"] for r in counted.filter(F.col("count") >= total // SHARE).orderBy(F.desc("count"), "v").limit(SHARE).collect()]
     if not often:
         return none
-    shared = source.sparkSession.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
+    shared = source.sparkSession.sparkContext.broadcast(Common(np.sort(np.array(often, np.int64).view(np.uint64))))
 
     def around(batch: pa.RecordBatch) -> dict[str, list]:
         rows: dict[str, list] = {"v": [], "side": [], "left": [], "right": []}
-        for cut in segments_of(batch.column(0).to_pylist(), length, none):
-            for i in np.flatnonzero(_among(cut.least, shared.value)):
+        for cut in segments_of(batch.column(0).to_pylist(), length, Common(none)):
+            for i in np.flatnonzero(shared.value.among(cut.least)):
                 own = cut.piece(i, length)
                 at = int(np.flatnonzero(gram_hashes(np.frombuffer(own, np.uint8)) == cut.least[i])[0])
                 rows["v"].append(int(cut.least[i].view(np.int64)))
@@ -294,7 +313,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     """
     spark = docs.sparkSession
     source = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
-    common = spark.sparkContext.broadcast(_common_hashes(source, length))
+    common = spark.sparkContext.broadcast(Common(_common_hashes(source, length)))
 
     def narrow(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Array]]:
         for cut in segments_of(batch.column(2).to_pylist(), length, common.value):
