@@ -272,3 +272,32 @@ def test_components(spark):
     found = components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"))
     assert {r["node"]: r["component"] for r in found.collect()} == label
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("length", [32, 33, 40, 64])
+def test_segments_against_every_window(length):
+    """Segments tile the windows by their least hash, also where texts are hashed together."""
+    rng = random.Random(length)
+    units = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 40))) for _ in range(4)]
+    texts = [None, "", *("".join(rng.choice(units) for _ in range(rng.randint(0, 30))) for _ in range(20))]
+    grams = [suffixes.gram_hashes(np.frombuffer((t or "").encode(), np.uint8)) for t in texts if len((t or "").encode()) >= length]
+    for common in (np.zeros(0, np.uint64), np.unique(np.concatenate([g[:3] for g in grams]))):
+        found = {}
+        for cut in suffixes.segments_of(texts, length, suffixes.Common(common), inner=True):
+            for i, of in enumerate(cut.text):
+                found.setdefault(int(of), []).append((int(cut.first[i]), int(cut.last[i]), int(cut.least[i]), bool(cut.twice[i])))
+                assert cut.piece(i, length) == texts[of].encode()[cut.first[i] : cut.last[i] + length]
+        for of, text in enumerate(texts):
+            data = (text or "").encode()
+            if len(data) < length:
+                assert of not in found
+                continue
+            hashes = [int(h) for h in suffixes.gram_hashes(np.frombuffer(data, np.uint8))]
+            if len(common):
+                late = set(common.tolist())
+                hashes = [h >> 1 | (h in late) << 63 for h in hashes]
+            width = length - suffixes.GRAM + 1
+            least = [min(hashes[i : i + width]) for i in range(len(data) - length + 1)]
+            own = sorted(found[of])
+            assert [v for a, b, v, _ in own for _ in range(a, b + 1)] == least
+            assert all(twice == (hashes[a : b + width].count(v) > 1) for a, b, v, twice in own)
