@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetscope.functions.numbers import quoted, text_literal
+from sheetscope.session import cut_lineage
 
 PROFILE_SCHEMAS = {
     "columns": "table string, position int, column string, spark_type string, logical_type string, is_numeric boolean",
@@ -95,6 +96,31 @@ def read_tables(
     return tables
 
 
+def read_with_rejects(
+    spark: SparkSession, path: str, schema: str | T.StructType, format: str = "csv", **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV or JSON source that fit ``schema``, and the lines that do not.
+
+    The rejects have one column, ``record``: the line as it stands. A CSV line of another
+    number of fields is one, as is a value that its type cannot read. The source
+    is parsed once, into the shared folder, and every line that is not blank is in exactly
+    one of the two.
+    """
+    if format not in ("csv", "json"):
+        raise ValueError(f"{format} has no lines to reject")
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    mark = "_rejected"
+    while mark in declared.names:
+        mark += "_"
+    if format == "csv":
+        options = {"header": "true", "enforceSchema": "true"} | options
+    # Without column pruning every value of a line is judged, whichever columns are asked for.
+    given = {**options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": mark, "columnPruning": "false"}
+    whole = T.StructType([*declared.fields, T.StructField(mark, T.StringType())])
+    read = cut_lineage(spark.read.schema(whole).format(format).options(**given).load(path))
+    return read.filter(F.col(mark).isNull()).drop(mark), read.filter(F.col(mark).isNotNull()).select(F.col(mark).alias("record"))
+
+
 def preview(df: DataFrame, key: list[str], rows: int = 50) -> DataFrame:
     """The first rows in key order; each task keeps at most ``rows`` of them."""
     return df.orderBy(*key).limit(rows)
