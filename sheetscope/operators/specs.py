@@ -95,31 +95,31 @@ def resolve_tables(sections: DataFrame, roles: DataFrame, tables: DataFrame) ->
     )
 
 
-def _spellings(columns: DataFrame) -> DataFrame:
-    """Per workbook, table and match key: the columns spelled that way, by position."""
+def _by_table(columns: DataFrame) -> DataFrame:
+    """One row per workbook and table: its columns' names and match keys, by position."""
+    column = F.struct("position", "column", match_key(F.col("column")).alias("key"))
     return (
-        columns.groupBy("workbook", F.col("table").alias("table_id"), match_key(F.col("column")).alias("_key"))
-        .agg(F.array_sort(F.collect_set(F.struct("position", "column"))).alias("_same"))
-        .select("workbook", "table_id", "_key", F.transform("_same", lambda s: s["column"]).alias("_same"))
+        columns.groupBy("workbook", F.col("table").alias("table_id"))
+        .agg(F.array_sort(F.collect_set(column)).alias("_columns"))
+        .select("workbook", "table_id", F.col("_columns.column").alias("_names"), F.col("_columns.key").alias("_keys"))
     )
 
 
-def _with_axes(resolved: DataFrame, columns: DataFrame) -> DataFrame:
-    """Add ``_x`` and ``_y``: the column each axis names, exact spelling first."""
-    found = _spellings(columns)
-    result = resolved
-    for axis in ("x", "y"):
-        side = found.withColumnsRenamed({"_key": f"_{axis}_key", "_same": f"_{axis}_same"})
-        picked = F.when(
-            F.array_contains(f"_{axis}_same", F.col(axis)), F.col(axis)
-        ).otherwise(F.try_element_at(f"_{axis}_same", F.lit(1)))
-        result = (
-            result.withColumn(f"_{axis}_key", match_key(F.col(axis)))
-            .join(side, ["workbook", "table_id", f"_{axis}_key"], "left")
-            .withColumn(f"_{axis}", F.when(~_blank(axis), picked))
-            .drop(f"_{axis}_key", f"_{axis}_same")
-        )
-    return result
+def _axis(axis: str) -> Column:
+    """The column of the joined table that ``axis`` names, exact spelling first."""
+    place = F.array_position("_keys", match_key(F.col(axis))).cast("int")
+    return F.when(
+        ~_blank(axis),
+        F.when(F.array_contains("_names", F.col(axis)), F.col(axis)).when(place > 0, F.try_element_at("_names", place)),
+    )
+
+
+def _with_axes(resolved: DataFrame, tables: DataFrame) -> DataFrame:
+    """Add ``_x`` and ``_y``, the column each axis names, and what else ``tables`` tells.
+
+    ``tables`` is one row per table, so one join serves both axes.
+    """
+    return resolved.join(tables, ["workbook", "table_id"], "left").withColumns({"_x": _axis("x"), "_y": _axis("y")})
 
 
 def check_specs(resolved: DataFrame, columns: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def check_specs(resolved: DataFrame, columns: DataFrame) -> DataFrame:
         .when(_is_chart() & ~_blank("x") & F.col("_x").isNull(), missing("x"))
         .when(_is_chart() & ~_blank("y") & F.col("_y").isNull(), missing("y"))
     )
-    return _with_axes(resolved, columns).withColumn("reason", reason).select(*resolved.columns, "reason")
+    return _with_axes(resolved, _by_table(columns)).withColumn("reason", reason).select(*resolved.columns, "reason")
 
 
 def drop_ratios(checked: DataFrame) -> DataFrame:
@@ -151,9 +151,11 @@ def drop_ratios(checked: DataFrame) -> DataFrame:
 def chart_axes(resolved: DataFrame, columns: DataFrame) -> DataFrame:
     """Add ``axes``: x and y, x alone when y is absent or the same, else the first
     two columns of the table."""
+    # Both groupings are by table, so the catalog is shuffled once.
+    by_table = columns.repartition("workbook", "table")
     first = W.partitionBy("workbook", "table").orderBy("position")
     leading = (
-        columns.withColumn("_rank", F.row_number().over(first))
+        by_table.withColumn("_rank", F.row_number().over(first))
         .filter(F.col("_rank") <= FALLBACK_COLUMNS)
         .groupBy("workbook", F.col("table").alias("table_id"))
         .agg(F.array_sort(F.collect_list(F.struct("_rank", "column"))).alias("_leading"))
@@ -163,8 +165,5 @@ def chart_axes(resolved: DataFrame, columns: DataFrame) -> DataFrame:
         .when(F.col("_x").isNotNull(), F.array("_x"))
         .otherwise(F.transform("_leading", lambda c: c["column"]))
     )
-    return (
-        _with_axes(resolved, columns)
-        .join(leading, ["workbook", "table_id"], "left")
-        .select(*resolved.columns, axes.alias("axes"))
-    )
+    tables = _by_table(by_table).join(leading, ["workbook", "table_id"])
+    return _with_axes(resolved, tables).select(*resolved.columns, axes.alias("axes"))
