@@ -87,12 +87,16 @@ def shared_columns(columns: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 
 
 def apparent_fk(columns: DataFrame, within: Sequence[str] = ()) -> DataFrame:
-    """Edges of both name rules; an edge found twice keeps the prefix rule."""
-    within = list(within)
-    edges = fk_by_prefix(columns, within).unionByName(fk_by_name(columns, within))
-    return edges.groupBy(*within, "from_table", "from_column", "to_table", "to_column").agg(
-        F.max("rule").alias("rule"), F.bool_or("target_exists").alias("target_exists")
-    )
+    """Edges of both name rules, each once.
+
+    A prefix edge ends at an ``ID`` and a name edge never does, so no edge is of both
+    rules, and neither rule repeats an edge where no column is repeated. So columns are
+    told apart here, not edges, of which a shared name has many times as many. Names are
+    dealt the way that both sides of their join want them.
+    """
+    keys = [*within, "table", "column"]
+    dealt = columns.select(*keys).repartition(*within, "column").distinct()
+    return fk_by_prefix(columns.select(*keys).distinct(), within).unionByName(fk_by_name(dealt, within))
 
 
 def fk_value_overlap(

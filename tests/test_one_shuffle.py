@@ -1,5 +1,6 @@
 """Steps that read or shuffle their rows once, and the rows they must still give."""
 
+from sheetscope.operators import relations as R
 from sheetscope.operators import specs as V
 
 COLUMNS = "workbook int, table string, position int, column string"
@@ -25,3 +26,13 @@ def test_fallback_axes_keep_repeated_columns(rows):
     resolved = rows([(1, "chart", None, None, "t", "t")], "workbook int, widget string, x string, y string, table string, table_id string")
     columns = rows([(1, "t", 1, "b"), (1, "t", 0, "a"), (1, "t", 0, "a")], COLUMNS)
     assert V.chart_axes(resolved, columns).first()["axes"] == ["a", "a"]
+
+
+def test_edges_are_not_told_apart_again(rows):
+    columns = rows([(1, "A", "k"), (1, "A", "k"), (1, "B", "k"), (1, "B", "ID"), (1, "A", "ID_B"), (1, "A", "ID_B"), (None, "C", "k"), (1, None, "k")], "workbook int, table string, column string")
+    edges = R.apparent_fk(columns, ["workbook"])
+    found = [tuple(r) for r in edges.orderBy("from_table", "from_column", "to_table").collect()]
+    assert found == [
+        (1, "A", "ID_B", "B", "ID", "prefix", True), (1, "A", "k", "B", "k", "name", True), (1, "B", "k", "A", "k", "name", True),
+    ]
+    assert optimized(edges).startswith("Union")
