@@ -85,8 +85,11 @@ def geo_columns(columns: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     columns = columns.withColumn("_token", search_token(F.col("column")))
     token = F.col("_token")
     numeric = F.coalesce("is_numeric", F.lit(False))
+    # Columns that no pick can take, mostly all of them, are not put in order.
+    any_pick = contains_any(token, (*LATITUDE_WORDS, *LONGITUDE_WORDS, *GEOCODE_WORDS, *ADDRESS_WORDS, *GEOCODED_WORDS))
     picks = (
-        columns.groupBy(*keys)
+        columns.filter(any_pick)
+        .groupBy(*keys)
         .agg(
             _first(numeric & contains_any(token, LATITUDE_WORDS)).alias("latitude"),
             _first(numeric & contains_any(token, LONGITUDE_WORDS)).alias("longitude"),

@@ -67,11 +67,16 @@ def columns(t: Tables) -> DataFrame:
         cell(status_sheet, F.concat(F.lit("ID_"), _sheet()), F.lit(False)),
         cell(status_sheet, _total(), F.lit(True)),
     )
-    named = (
-        t.orders.select(F.col("o_custkey").alias("workbook"), F.inline(cells)).filter("column is not null").distinct()
+    # Cells of a sheet meet by one shuffle and one order, which numbers the columns and lays
+    # equal cells side by side. Telling cells apart by hash held most of a split's at once.
+    named = t.orders.select(F.col("o_custkey").alias("workbook"), F.inline(cells)).filter("column is not null")
+    by_name = W.partitionBy("workbook", "table").orderBy("column", "is_numeric")
+    own = F.struct("column", "is_numeric")
+    return (
+        named.withColumns({"position": F.dense_rank().over(by_name) - 1, "_before": F.lag(own).over(by_name)})
+        .filter(~F.col("_before").eqNullSafe(own))
+        .drop("_before")
     )
-    by_name = W.partitionBy("workbook", "table").orderBy("column")
-    return named.withColumn("position", F.row_number().over(by_name) - 1)
 
 
 COLUMNS_CTE = """
