@@ -11,7 +11,7 @@ words that many clean documents hold once and toxic ones again and again.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -40,8 +40,10 @@ NEAR = 0.75
 PIECE = 16
 #: Tokens whose triples are laid out at once; a long one has hundreds.
 AT_ONCE = 256
-#: A worker remembers so many tokens' weights before it forgets the oldest.
+#: A worker remembers so many tokens' weights at most; those not met for long are forgotten.
 REMEMBERED = 200_000
+#: A worker takes texts apart for about so many characters at once; one text is never cut.
+PART = 1 << 18
 
 _DIGITS = bytes.maketrans(b"0134578", b"oieastb")
 _DROPPED = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -151,42 +153,59 @@ class ToxicityModel:
     bias: float
     document_weights: np.ndarray
     calibrations: list[np.ndarray]
-    _memory: OrderedDict = field(default_factory=OrderedDict)
+    _memory: dict = field(default_factory=dict)
+    _older: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"_memory": OrderedDict(), "_kernel": None}
+        return self.__dict__ | {"_memory": {}, "_older": {}, "_kernel": None}
 
     def _likeness_of(self, tokens: set[bytes]) -> dict[bytes, np.ndarray | None]:
         """Likeness of each token to the landmarks; those like none are remembered as None."""
-        memory = self._memory
+        memory, older = self._memory, self._older
         new = [t for t in tokens if t not in memory]
+        memory.update((t, older[t]) for t in new if t in older)
+        new = [t for t in new if t not in older]
         if new:
             if getattr(self, "_kernel", None) is None:
                 self._kernel = Kernel(self.landmarks)
             memory.update(dict.fromkeys(new))
-            memory.update(self._kernel(new))
+            memory.update((t, x.copy()) for t, x in self._kernel(new).items())
         return memory
 
     def _forget(self) -> None:
-        while len(self._memory) > REMEMBERED:
-            self._memory.popitem(last=False)
+        if len(self._memory) > REMEMBERED // 2:
+            self._memory, self._older = {}, self._memory
 
     def score(self, texts: list[str | None]) -> list[float]:
         """Probability of label 1, from the most toxic sentence of each text and from what all of them add up to."""
-        split = [sentences_of(t) for t in texts]
-        memory = self._likeness_of({t for sentences in split for s in sentences for t in s})
-        alone, sums = [], np.zeros((len(texts), len(self.landmarks)))
-        for i, sentences in enumerate(split):
-            own = [v for s in sentences if (v := [memory[t] for t in sorted(set(s)) if memory[t] is not None])]
-            x = np.array([np.sum(v, 0) for v in own]).reshape(-1, len(self.landmarks))
-            sums[i] = x.sum(0)
-            alone.append(sentence_evidence(x @ self.weights, self.bias, len(sentences)))
-        self._forget()
-        whole = document_rows(sums, np.array([len(s) for s in split])) @ self.document_weights
+        alone, counts, sums = [], [], np.zeros((len(texts), len(self.landmarks)))
+        for part in _parts(texts):
+            split = [sentences_of(t) for t in part]
+            memory = self._likeness_of({t for sentences in split for s in sentences for t in s})
+            for sentences in split:
+                own = [v for s in sentences if (v := [memory[t] for t in sorted(set(s)) if memory[t] is not None])]
+                x = np.array([np.sum(v, 0) for v in own]).reshape(-1, len(self.landmarks))
+                sums[len(alone)] = x.sum(0)
+                alone.append(sentence_evidence(x @ self.weights, self.bias, len(sentences)))
+                counts.append(len(sentences))
+            self._forget()
+        whole = document_rows(sums, np.array(counts)) @ self.document_weights
         found = np.max([x @ t for x, t in zip(_views(np.array(alone).reshape(-1, 4), whole), self.calibrations)], 0)
         return (1 / (1 + np.exp(-np.clip(found, -30, 30)))).tolist()
 
 
+def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in order, in runs of at most ``PART`` characters or of one text."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text or "") > PART:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield texts[start:]
+
+
 def sentence_evidence(margins: np.ndarray, bias: float, sentences: int) -> list[float]:
     """A document's highest sentence margin, the sum of what its sentences add to the bias, and their number."""
     return [bias + max(margins.max(initial=0.0), 0.0), float(np.log1p(np.maximum(margins, 0).sum())), float(np.log1p(sentences)), 1.0]

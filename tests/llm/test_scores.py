@@ -85,6 +85,21 @@ def test_toxicity_finds_held_out_and_gapped_insults(spark):
     assert max(model.score(["Nothing of the sort", "", None])) < 0.3
 
 
+def test_toxicity_takes_a_slice_apart_in_parts(spark, monkeypatch):
+    rows, labels = corpus(3, insulted)
+    model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    texts = [None, "", "x" * 500, *(t for _, t, _ in rows[:60])]
+    whole = model.score(texts)
+    held = []
+    monkeypatch.setattr(toxicity, "PART", 400)
+    monkeypatch.setattr(toxicity, "REMEMBERED", 40)
+    ask = toxicity.ToxicityModel._likeness_of
+    monkeypatch.setattr(toxicity.ToxicityModel, "_likeness_of", lambda self, tokens: held.append(len(tokens)) or ask(self, tokens))
+    assert model.score(texts) == whole
+    assert len(held) > 5 and max(held) <= 200
+    assert len(model._memory) <= 20
+
+
 def test_toxicity_finds_insults_with_letters_put_in(spark):
     rows, labels = corpus(3, insulted)
     model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
