@@ -28,6 +28,7 @@ BUCKETS_PER_PARTITION = 8
 BITS_A_ROUND = 8
 #: A task hands on its distinct texts when it holds this many bytes of them.
 HELD_BYTES = 16_000_000
+HASHED = (T.StructField("hash", T.LongType()), T.StructField("digest", T.BinaryType()))
 
 
 def _hashed(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -36,17 +37,21 @@ def _hashed(docs: DataFrame, carried: list[str]) -> DataFrame:
     Normalised means A-Z lower-cased and null as empty. The hash is the head of the digest.
     """
     rows = docs.select(whole_row(docs, carried).alias("row"), *([] if "text" in carried else ["text"]))
-    schema = T.StructType([rows.schema["row"], T.StructField("hash", T.LongType()), T.StructField("digest", T.BinaryType())])
+    schema = T.StructType([rows.schema["row"], *HASHED])
 
     def digest(batch: pa.RecordBatch) -> dict[str, list]:
         row = batch.column(0)
-        texts = row.field("text") if "text" in carried else batch.column(1)
-        digests = [hashlib.sha256(lowered(t)).digest() for t in texts.to_pylist()]
-        return {"row": row, "hash": [int.from_bytes(d[:8], "big", signed=True) for d in digests], "digest": digests}
+        return {"row": row} | _digests(row.field("text") if "text" in carried else batch.column(1))
 
     return per_batch(rows, digest, schema)
 
 
+def _digests(texts: pa.Array) -> dict[str, list]:
+    """``hash`` and ``digest`` of each normalised text."""
+    digests = [hashlib.sha256(lowered(t)).digest() for t in texts.to_pylist()]
+    return {"hash": [int.from_bytes(d[:8], "big", signed=True) for d in digests], "digest": digests}
+
+
 def _sizes(docs: DataFrame) -> DataFrame:
     """``hash`` and ``bytes`` of each normalised text."""
 
@@ -85,7 +90,7 @@ def directory(keys: DataFrame, capacity: int) -> np.ndarray:
 
 
 def _column(spark, prefixes: set[int]) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in sorted(prefixes)], "prefix bigint")
+    return spark.createDataFrame(pa.table({"prefix": pa.array(sorted(prefixes), pa.int64())}))
 
 
 def _split(p: int, depth: int, deepest: int, loads: dict, capacity: int, done: list, again: set) -> None:
@@ -111,14 +116,15 @@ def build_index(docs: DataFrame, folder: str | None = None) -> DataFrame:
     ``BUCKETS_PER_PARTITION`` times the session's shuffle partitions.
     """
     spark = docs.sparkSession
-    hashed = _hashed(docs, docs.columns)
     keys = cut_lineage(_sizes(docs).groupBy("hash").agg(F.max("bytes").alias("bytes")))
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     owners = partitions(spark)
     buckets = spark.sparkContext.broadcast(directory(keys, max(1, total // (BUCKETS_PER_PARTITION * owners))))
 
-    gathered_schema = T.StructType([T.StructField("bucket", T.LongType()), *hashed.schema.fields, T.StructField("n", T.LongType())])
-    gathered = in_arrow(hashed, lambda batches: _gather(batches, buckets.value, to_arrow_schema(gathered_schema)), gathered_schema)
+    rows = docs.select(whole_row(docs).alias("row"))
+    gathered_schema = T.StructType([T.StructField("bucket", T.LongType()), rows.schema["row"], *HASHED, T.StructField("n", T.LongType())])
+    # Hashed and joined in one Python step: each further step of a task is a worker more, which idles on.
+    gathered = in_arrow(rows, lambda batches: _gather(batches, buckets.value, to_arrow_schema(gathered_schema)), gathered_schema)
     owned = gathered.repartition(owners, "bucket").sortWithinPartitions("bucket", "hash")
 
     record_schema = T.StructType(
@@ -144,8 +150,10 @@ def _gather(batches: Iterator[pa.RecordBatch], buckets: np.ndarray, arrow: pa.Sc
     """
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
+        row = batch.column(0)
+        made = _digests(row.field("text"))
+        held.append(pa.RecordBatch.from_arrays([row, pa.array(made["hash"], pa.int64()), pa.array(made["digest"], pa.binary())], names=["row", *made]))
+        size += held[-1].nbytes
         if size >= HELD_BYTES:
             yield from _joined(held, buckets, arrow)
             held, size = [], 0

@@ -30,7 +30,8 @@ BANDS, ROWS = 32, 5
 STEP, TOLERANCE = 32, 1e-6
 #: Larger gatherings are compared block by block, so many texts a block.
 BLOCK = 256
-_WORDS_KNOWN = 300_000
+#: A worker remembers so many words' hashes; it lives on after the join, and they with it.
+_WORDS_KNOWN = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 

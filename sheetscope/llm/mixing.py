@@ -11,9 +11,12 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sheetscope.llm.common import whole_row
 from sheetscope.session import cut_lineage
@@ -132,12 +135,14 @@ def mix_sources(
     targets = share_targets(sizes, sum(capacity.values()), weights, passes)
     flow = route(capacity, {s: int(t + 0.5) for s, t in targets.items()}, passes)
 
+    schema = T._parse_datatype_string("pattern array<string>, whole bigint, rest bigint, source_size bigint, target double")
+    shares = [
+        (list(p), flow[p] // n if n else 0, flow[p] % n if n else 0, sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0)
+        for p, n in capacity.items()
+    ]
+    # From Arrow: rows given as Python objects would start workers of their own, which idle on.
     plan = docs.sparkSession.createDataFrame(
-        [
-            (list(p), flow[p] // n if n else 0, flow[p] % n if n else 0, sizes[p[0]] if p else 0, targets[p[0]] if p else 0.0)
-            for p, n in capacity.items()
-        ],
-        "pattern array<string>, whole bigint, rest bigint, source_size bigint, target double",
+        pa.Table.from_pylist([dict(zip(schema.names, s)) for s in shares], to_arrow_schema(schema)), schema
     )
     last = _last_places(base, narrow, plan)
     chosen = F.coalesce(F.col("place") <= F.col("last"), F.lit(False))

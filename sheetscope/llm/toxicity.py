@@ -206,6 +206,15 @@ def _parts(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield texts[start:]
 
 
+def _labelled_parts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]:
+    """Labels and texts of a batch of both, a part at a time."""
+    labels, texts = (c.to_pylist() for c in batch.columns)
+    at = 0
+    for part in _parts(texts):
+        yield labels[at : at + len(part)], part
+        at += len(part)
+
+
 def sentence_evidence(margins: np.ndarray, bias: float, sentences: int) -> list[float]:
     """A document's highest sentence margin, the sum of what its sentences add to the bias, and their number."""
     return [bias + max(margins.max(initial=0.0), 0.0), float(np.log1p(np.maximum(margins, 0).sum())), float(np.log1p(sentences)), 1.0]
@@ -316,9 +325,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
         return None
     ratio = drawn[1] / drawn[0]
 
-    def tokens(batch: pa.RecordBatch) -> dict[str, list]:
-        pairs = [(t, y) for y, text in zip(*(c.to_pylist() for c in batch.columns)) for t in _stems_of_all(text)]
-        return {"token": [t for t, _ in pairs], "label": [y for _, y in pairs]}
+    def tokens(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        for labels_, texts in _labelled_parts(batch):
+            pairs = [(t, y) for y, text in zip(labels_, texts) for t in _stems_of_all(text)]
+            yield {"token": [t for t, _ in pairs], "label": [y for _, y in pairs]}
 
     counted = (
         per_batch(learned, tokens, "token binary, label int")
@@ -344,15 +354,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
 
     shared = docs.sparkSession.sparkContext.broadcast(landmarks)
 
-    def sentences(batch: pa.RecordBatch) -> dict[str, list]:
-        labels_, texts = (c.to_pylist() for c in batch.columns)
-        split = [sentences_of(t) for t in texts]
-        like = Kernel(shared.value)(list({t for d in split for s in d for t in s}))
-        vectors = []
-        for d in split:
-            own = [np.sum([like[t] for t in sorted(set(s)) if t in like], 0) for s in d if any(t in like for t in s)]
-            vectors.append(np.array(own, np.float32).tobytes())
-        return {"label": labels_, "n": [len(d) for d in split], "x": vectors}
+    def sentences(batch: pa.RecordBatch) -> Iterator[dict[str, list]]:
+        kernel, like, met = Kernel(shared.value), {}, set()
+        for labels_, texts in _labelled_parts(batch):
+            split = [sentences_of(t) for t in texts]
+            new = {t for d in split for s in d for t in s} - met
+            met |= new
+            like |= kernel(list(new))
+            vectors = []
+            for d in split:
+                own = [np.sum([like[t] for t in sorted(set(s)) if t in like], 0) for s in d if any(t in like for t in s)]
+                vectors.append(np.array(own, np.float32).tobytes())
+            yield {"label": labels_, "n": [len(d) for d in split], "x": vectors}
 
     rows = per_batch(learned, sentences, "label int, n int, x binary").orderBy("label", "n", "x").toArrow()
     return _fit_documents(landmarks, rows, shares)

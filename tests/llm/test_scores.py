@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sheetscope.llm import decontaminate, lattice, mixing, quality, secret_scan, toxicity
 from sheetscope.llm.common import words_of
+from sheetscope.session import cut_lineage
 
 
 def brute_hits(text, items, n=10):
@@ -100,6 +102,16 @@ def test_toxicity_takes_a_slice_apart_in_parts(spark, monkeypatch):
     assert len(model._memory) <= 20
 
 
+def test_toxicity_learns_from_a_slice_in_parts(spark, monkeypatch):
+    rows, labels = corpus(3, insulted)
+    text, label = [None, "", *(t for _, t, _ in rows[:60])], [0, 1, *(y for *_, y in labels[:60])]
+    batch = pa.RecordBatch.from_pydict({"label": label, "text": text})
+    monkeypatch.setattr(toxicity, "PART", 400)
+    parts = list(toxicity._labelled_parts(batch))
+    assert [x for own, texts in parts for x in zip(own, texts)] == list(zip(label, text))
+    assert len(parts) > 5 and all(len(texts) == 1 or sum(len(t or "") for t in texts) <= 400 for _, texts in parts)
+
+
 def test_toxicity_finds_insults_with_letters_put_in(spark):
     rows, labels = corpus(3, insulted)
     model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
@@ -320,3 +332,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert 2000 in seen[2] and 2000 not in seen[3]
     assert {"taken", "repeats"} <= set(docs.columns)
     assert len(seen[4]) <= len(seen[3])
+
+
+def test_pipeline_tasks_have_one_python_step(spark, tmp_path, monkeypatch):
+    rows, labels = corpus(3, insulted)
+    documents(spark, rows + rows[:40]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[0][1])], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame, context, inputs, given = type(spark.range(1)), type(spark.sparkContext), [], []
+    plain = frame.mapInArrow, context.parallelize
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: inputs.append(self) or plain[0](self, *a, **b))
+    monkeypatch.setattr(context, "parallelize", lambda self, *a, **b: given.append(a) or plain[1](self, *a, **b))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut_lineage(stage(spark, docs, str(tmp_path)))
+        for df in inputs:
+            # What a task does before this step: the plan down to the shuffle or join it reads.
+            own = re.split("RepartitionByExpression|Join|Aggregate", df._jdf.queryExecution().optimizedPlan().toString())[0]
+            assert "MapInArrow" not in own, name
+        inputs.clear()
+        assert not given, name  # rows given as Python objects run a Python step too
