@@ -300,7 +300,8 @@ def drop_similar(docs: DataFrame, **options) -> DataFrame:
 
     Texts without words all stay, each once for its id.
     """
-    found = similar_documents(docs, **options)
+    # Written out, as it is read twice: the driver would plan all of the join twice over.
+    found = cut_lineage(similar_documents(docs, **options).select(*KEY, "class"))
     classes = found.filter("class is not null").groupBy("class").agg(F.min(F.struct(*KEY)).alias("first")).select("first.*")
     kept = classes.union(found.filter("class is null").select(*KEY).distinct())
     rows = docs.select(whole_row(docs).alias("row"), *row_key(F.col("doc_id"), F.col("text")))

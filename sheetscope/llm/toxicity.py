@@ -11,13 +11,13 @@ words that many clean documents hold once and toxic ones again and again.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sheetscope.llm.common import agreed_labels, crc_remainder, lowered, per_batch, sampled_ids, schema_with, whole_row
@@ -346,8 +346,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
         numbers = [sorted(candidates.value[t] for t in _stems_of_all(text) if t in candidates.value) for text in batch.column(0).to_pylist()]
         return {"numbers": [np.array(n, np.int32).tobytes() for n in numbers]}
 
-    held = per_batch(learned.filter("label = 1").select("text"), candidates_of, "numbers binary").orderBy("numbers").toArrow()
-    toxic_documents = [[counts[i][0] for i in np.frombuffer(n.as_buffer(), np.int32)] for n in held.column(0)]
+    # What grows with the sample comes a partition at a time: whole, the driver's heap would hold it twice.
+    held = per_batch(learned.filter("label = 1").select("text"), candidates_of, "numbers binary").orderBy("numbers").toLocalIterator()
+    toxic_documents = [[counts[i][0] for i in np.frombuffer(r["numbers"], np.int32)] for r in held]
     landmarks = choose_landmarks(counts, LANDMARKS, ratio, toxic_documents)
     if not landmarks:
         return None
@@ -367,27 +368,34 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", samp
                 vectors.append(np.array(own, np.float32).tobytes())
             yield {"label": labels_, "n": [len(d) for d in split], "x": vectors}
 
-    rows = per_batch(learned, sentences, "label int, n int, x binary").orderBy("label", "n", "x").toArrow()
-    return _fit_documents(landmarks, rows, shares)
+    rows = per_batch(learned, sentences, "label int, n int, x binary").orderBy("label", "n", "x")
+    return _fit_documents(landmarks, rows.toLocalIterator(), shares)
 
 
-def _fit_documents(landmarks: list[bytes], rows: pa.Table, shares: dict[int, int]) -> ToxicityModel:
-    """Fit on ``label``, number of sentences ``n`` and the like sentences' vectors ``x`` of each document."""
+def _fit_documents(landmarks: list[bytes], rows: Iterable[Row], shares: dict[int, int]) -> ToxicityModel:
+    """Fit on ``label``, number of sentences ``n`` and the like sentences' vectors ``x`` of each document.
+
+    ``rows`` are read once; of the vectors only the machine's rows stay, in single precision.
+    """
     m = len(landmarks)
     kernel = Kernel(landmarks)
     gram = np.stack([kernel([z]).get(z, np.zeros(m)) for z in landmarks])
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
-    label, n = (rows.column(c).to_numpy() for c in ("label", "n"))
-    raw = [np.frombuffer(v.as_buffer(), np.float32).reshape(-1, m) for v in rows.column("x")]
-    like = np.array([len(r) for r in raw])
-    document = np.repeat(np.arange(len(raw)), like)
+    labels, counts, lengths, sums, held = [], [], [], [], bytearray()
+    for row in rows:
+        own_vectors = np.frombuffer(row["x"], np.float32).reshape(-1, m)
+        labels.append(row["label"])
+        counts.append(row["n"])
+        lengths.append(len(own_vectors))
+        sums.append(own_vectors.sum(0, dtype=np.float64))
+        held += np.column_stack([own_vectors @ root, np.ones(len(own_vectors))]).astype(np.float32).tobytes()
+    held += np.append(np.zeros(m), 1).astype(np.float32).tobytes()  # the last row: all sentences that are like no landmark
+    x = np.frombuffer(held, np.float32).reshape(-1, m + 1)
+    label, n, like = (np.array(c) for c in (labels, counts, lengths))
+    document = np.repeat(np.arange(len(like)), like)
     own = len(document)
-    x = np.zeros((own + 1, m + 1), np.float32)  # the last row: all sentences that are like no landmark
-    x[:, -1] = 1
-    for at, vectors_of in zip(np.cumsum(like) - like, raw):
-        x[at : at + len(vectors_of), :-1] = vectors_of @ root
     y = np.append(np.where(label[document] == 1, 1.0, -1.0), -1.0)
     cost = np.append(np.ones(own), float(np.log1p((n - like).sum())))
     for _ in range(4):
@@ -396,17 +404,17 @@ def _fit_documents(landmarks: list[bytes], rows: pa.Table, shares: dict[int, int
     margins = np.split(x[:own, :-1] @ w[:-1].astype(np.float32), np.cumsum(like)[:-1])
     alone = np.array([sentence_evidence(own_margins, float(w[-1]), int(k)) for own_margins, k in zip(margins, n)])
     # Evidence that single sentences don't give: words that toxic documents hold again and again.
-    whole = document_rows(np.stack([r.sum(0, dtype=np.float64) for r in raw]), n)
+    whole = document_rows(np.stack(sums), n)
     sign = np.where(label == 1, 1.0, -1.0)
-    apart = np.empty(len(raw))
+    apart = np.empty(len(label))
     for fold in range(CROSS):  # margins of documents that the machine has not seen
-        out = np.arange(len(raw)) % CROSS == fold
+        out = np.arange(len(label)) % CROSS == fold
         apart[out] = whole[out] @ fit_svm(whole[~out], sign[~out], np.ones((~out).sum()))
     weight = np.where(label == 1, shares[1] / max((label == 1).sum(), 1), shares[0] / max((label == 0).sum(), 1))
     # A toxic document without a toxic sentence says nothing about the margin of one.
-    told = [(label == 0) | (alone[:, 0] > 0), np.ones(len(raw), bool), np.ones(len(raw), bool)]
+    told = [(label == 0) | (alone[:, 0] > 0), np.ones(len(label), bool), np.ones(len(label), bool)]
     views = [_calibrated(v[rows], label[rows].astype(float), weight[rows]) for v, rows in zip(_views(alone, apart), told)]
-    return ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), fit_svm(whole, sign, np.ones(len(raw))), views)
+    return ToxicityModel(landmarks, root @ w[:-1], float(w[-1]), fit_svm(whole, sign, np.ones(len(label))), views)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None, threshold: float = THRESHOLD) -> DataFrame:

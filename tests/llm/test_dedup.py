@@ -255,6 +255,15 @@ def test_one_document_of_each_class_stays(spark):
     assert jaccard.drop_similar(documents(spark, [])).count() == 0
 
 
+def test_jaccard_join_plans_its_last_join_once(spark):
+    docs = documents(spark, [(1, PASSAGE * 4, "a"), (2, PASSAGE * 4 + "End.", "a"), (3, "Other words alone.", "b"), (4, None, None)])
+    kept = jaccard.drop_similar(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    # The rows that stay, and nothing of how they were found: two reads of one written table.
+    assert plan.count("Join") == 1 and plan.count("parquet") == 2
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     table = dict(jaccard.least_matches(0.8, 1e-6))
     assert 0 < table[32] < 32 * 0.8 and table[160] < 160 * 0.8

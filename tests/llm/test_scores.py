@@ -112,6 +112,21 @@ def test_toxicity_learns_from_a_slice_in_parts(spark, monkeypatch):
     assert len(parts) > 5 and all(len(texts) == 1 or sum(len(t or "") for t in texts) <= 400 for _, texts in parts)
 
 
+def test_toxicity_takes_its_rows_to_the_driver_by_partitions(spark, monkeypatch):
+    rows, labels = corpus(3, insulted)
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+    def whole(self):
+        raise AssertionError("the whole result went to the driver at once")
+
+    monkeypatch.setattr(type(docs), "toArrow", whole)
+    read, fit = [], toxicity._fit_documents
+    monkeypatch.setattr(toxicity, "_fit_documents", lambda m, rows, s: fit(m, (read.append(r["label"]) or r for r in rows), s))
+    model = toxicity.train_toxicity(docs, marks)
+    assert set(read) == {0, 1} and len(read) > 100
+    assert model.score(["you are an oaf", ""])[1] < 0.5
+
+
 def test_toxicity_finds_insults_with_letters_put_in(spark):
     rows, labels = corpus(3, insulted)
     model = toxicity.train_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
